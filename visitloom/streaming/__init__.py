@@ -1,0 +1 @@
+"""Empty on purpose: every job of this engine is a batch job over stored events, so there is nothing to stream."""
