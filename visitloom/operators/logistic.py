@@ -57,7 +57,7 @@ def _vectors(rows: DataFrame, features, buckets: int) -> DataFrame:
 
 
 def fit_hashed_logistic(encoded: DataFrame, features=START_FEATURES, buckets: int = HASH_BUCKETS,
-                        l2: float = LOGISTIC_L2, max_iter: int = 300, tol: float = 1e-12) -> HashedLogistic:
+                        l2: float = LOGISTIC_L2, max_iter: int = 200, tol: float = 1e-9) -> HashedLogistic:
     """Minimise mean log loss + l2/2 |w|^2, intercept free.
 
     Sessions with the same buckets and label are one weighted row: the objective stays the same and the rows the solver
@@ -79,7 +79,7 @@ def fit_hashed_logistic(encoded: DataFrame, features=START_FEATURES, buckets: in
 
 def score_hashed_logistic(model: HashedLogistic, encoded: DataFrame) -> DataFrame:
     """Add ``model`` and ``predicted_probability`` = sigmoid(intercept + one weight per feature bucket)."""
-    weights = F.lit([float(w) for w in model.weights])
+    weights = F.split(F.lit(",".join(repr(float(w)) for w in model.weights)), ",").cast("array<double>")
     logit = F.lit(float(model.intercept))
     for feature in model.features:
         logit = logit + F.get(weights, F.col(bucket_column(feature)))
