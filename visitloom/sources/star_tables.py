@@ -8,60 +8,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.sources.events import EVENT_SCHEMA
+# Only the columns that are used; given, so that no job is spent on reading file footers.
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+CUSTOMER = "c_custkey long, c_nationkey int, c_mktsegment string"
+NATION = "n_nationkey int, n_name string"
 
 
 def nested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    # No hints: Spark broadcasts the customer side only while its files are small, and splits skewed users otherwise.
-    buyers = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(
-        "c_custkey", "c_mktsegment", "n_name")
+    events = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
+    customer = spark.read.schema(CUSTOMER).parquet(f"{sf_dir}/customer.parquet")
+    nation = spark.read.schema(NATION).parquet(f"{sf_dir}/nation.parquet")
+    # No hints: Spark broadcasts either table only while its files are small, and splits skewed users otherwise. Both are
+    # joined to the events directly, because the planner knows the size of a file but not of a join.
     flat = (
-        events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-        .join(buyers, F.col("user_id") == F.col("c_custkey"), "left")
+        events.withColumn("k", F.regexp_extract("props", '"k": *([0-9]+)', 1).cast("int"))
+        .join(customer, F.col("user_id") == F.col("c_custkey"), "left")
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     )
-    k = F.col("k")
+    return flat.selectExpr(*MAPPING)
 
-    def entry(key, value):
-        return F.struct(F.lit(key).alias("key"), F.struct(value.cast("long").alias("int_value")).alias("value"))
 
-    session = entry("ga_session_id", F.unix_date(F.to_date("ts")))
-    engagement = entry("engagement_time_msec", k * 100)
-    has_session, has_engagement = k != 99, k % 2 == 0
-    params = (
-        F.when(has_session & has_engagement, F.array(session, engagement))
-        .when(has_session, F.array(session))
-        .when(has_engagement, F.array(engagement))
-        .otherwise(F.array().cast(EVENT_SCHEMA["event_params"].dataType))
-    )
-    kind = F.col("event_type")
-    name = (
-        F.when(kind == "click", F.when(k < 50, "page_view").when(k < 70, "scroll")
-               .when(k < 85, "view_search_results").otherwise("view_promotion"))
-        .when(kind == "view", "view_item")
-        .when(kind == "signup", F.when(k < 60, "add_to_cart").when(k < 95, "session_start").otherwise("refund"))
-        .when(kind == "error", F.when(k < 50, "begin_checkout").when(k < 75, "add_shipping_info")
-              .otherwise("add_payment_info"))
-        .when(kind == "purchase", F.when(k < 25, "purchase").otherwise("page_view"))
-    )
-    medium = F.when(k % 4 == 0, "organic").when(k % 4 == 1, "cpc").when(k % 4 == 2, "referral")
-    device = F.when(k % 3 == 0, "desktop").when(k % 3 == 1, "mobile").when(k % 3 == 2, "tablet")
-    system = F.when(k % 5 != 4, F.concat(F.lit("OS_"), (k % 5).cast("string")))
-    return flat.select(
-        F.date_format("ts", "yyyyMMdd").alias("event_date"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("event_timestamp"),
-        "event_id",
-        name.alias("event_name"),
-        F.col("user_id").cast("string").alias("user_pseudo_id"),
-        params.alias("event_params"),
-        F.struct(F.when(k >= 3, F.col("c_mktsegment")).alias("source"), medium.alias("medium")).alias("traffic_source"),
-        F.struct(device.alias("category"), system.alias("operating_system")).alias("device"),
-        F.struct(F.col("n_name").alias("country")).alias("geo"),
-        F.struct(
-            F.concat(F.lit("T"), (F.col("event_id") % 7).cast("string")).alias("transaction_id"),
-            F.when(k % 10 != 0, F.col("value")).alias("purchase_revenue"),
-        ).alias("ecommerce"),
-    )
+def _param(key: str, value: str) -> str:
+    return f"named_struct('key', '{key}', 'value', named_struct('int_value', CAST({value} AS BIGINT)))"
+
+
+MAPPING = [
+    "date_format(ts, 'yyyyMMdd') AS event_date",
+    "unix_micros(CAST(ts AS TIMESTAMP)) AS event_timestamp",
+    "event_id",
+    """CASE event_type
+        WHEN 'click' THEN CASE WHEN k < 50 THEN 'page_view' WHEN k < 70 THEN 'scroll'
+                               WHEN k < 85 THEN 'view_search_results' ELSE 'view_promotion' END
+        WHEN 'view' THEN 'view_item'
+        WHEN 'signup' THEN CASE WHEN k < 60 THEN 'add_to_cart' WHEN k < 95 THEN 'session_start' ELSE 'refund' END
+        WHEN 'error' THEN CASE WHEN k < 50 THEN 'begin_checkout' WHEN k < 75 THEN 'add_shipping_info'
+                               ELSE 'add_payment_info' END
+        WHEN 'purchase' THEN CASE WHEN k < 25 THEN 'purchase' ELSE 'page_view' END
+    END AS event_name""",
+    "CAST(user_id AS STRING) AS user_pseudo_id",
+    # A parameter without a value is left out of the array.
+    "filter(array({}, {}), p -> p.value.int_value IS NOT NULL) AS event_params".format(
+        _param("ga_session_id", "CASE WHEN k <> 99 THEN unix_date(CAST(ts AS DATE)) END"),
+        _param("engagement_time_msec", "CASE WHEN k % 2 = 0 THEN k * 100 END")),
+    """named_struct(
+        'source', CASE WHEN k >= 3 THEN c_mktsegment END,
+        'medium', CASE k % 4 WHEN 0 THEN 'organic' WHEN 1 THEN 'cpc' WHEN 2 THEN 'referral' END) AS traffic_source""",
+    """named_struct(
+        'category', CASE k % 3 WHEN 0 THEN 'desktop' WHEN 1 THEN 'mobile' WHEN 2 THEN 'tablet' END,
+        'operating_system', CASE WHEN k % 5 <> 4 THEN concat('OS_', k % 5) END) AS device""",
+    "named_struct('country', n_name) AS geo",
+    """named_struct(
+        'transaction_id', concat('T', event_id % 7),
+        'purchase_revenue', CASE WHEN k % 10 <> 0 THEN value END) AS ecommerce""",
+]
