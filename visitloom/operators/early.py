@@ -31,16 +31,18 @@ def label_after_horizon(flat: DataFrame, spec: SessionSpec = DEFAULT_SPEC,
 def early_features(flat: DataFrame, spec: SessionSpec = DEFAULT_SPEC, window_seconds: int | None = None) -> DataFrame:
     """One row per session with at least one allowed event inside the window (both ends included).
 
-    Sessions are found by an equi-join of events with session starts; the time window is a filter on top. Unlike a
-    window function, the join lets adaptive execution split a session that holds very many events. The aggregation
-    groups by the session's text id, so it has a shuffle of its own and does not stop that split; it is two-level with
-    constant state, as in ``sessionize``.
+    Events meet the start of their session in an equi-join; the time window is a filter on top. Unlike a window function,
+    the join lets adaptive execution split a session that holds very many events. It can do so only where both join
+    inputs come straight from a shuffle and no later step relies on the join's partitioning. Hence starts are grouped by
+    the two-part session key, joined by its text, and the joined rows are grouped by the two-part key again. That
+    aggregation is two-level with constant state, as in ``sessionize``.
     """
     window_seconds = spec.early_window_seconds if window_seconds is None else window_seconds
-    allowed = flat.where(~F.col("event_name").isin(*spec.early_excluded))
-    early = allowed.join(_starts(flat, spec, window_seconds), list(SESSION_KEY)).where(
+    allowed = flat.where(~F.col("event_name").isin(*spec.early_excluded)).withColumn("session_id", session_id())
+    starts = _starts(flat, spec, window_seconds).select(session_id().alias("session_id"), "start_ts", "converted")
+    early = allowed.join(starts, "session_id").where(
         F.col("event_timestamp") <= F.col("start_ts") + F.lit(window_seconds * MICROS).cast("long"))
-    steps = early.groupBy(session_id().alias("session_id"), "event_name").agg(
+    steps = early.groupBy(*SESSION_KEY, "event_name").agg(
         F.count(F.lit(1)).alias("events"),
         F.min("event_date").alias("event_date"),
         F.min("start_ts").alias("start_ts"),
@@ -48,7 +50,7 @@ def early_features(flat: DataFrame, spec: SessionSpec = DEFAULT_SPEC, window_sec
         F.sum(F.coalesce("engagement_time_msec", F.lit(0))).alias("engagement"),
         *[earliest(a) for a in spec.attributes],
     )
-    sessions = steps.groupBy("session_id").agg(
+    sessions = steps.groupBy(*SESSION_KEY).agg(
         F.to_date(F.min("event_date"), "yyyyMMdd").alias("session_date"),
         F.max("converted").alias("converted"),
         F.sum("events").alias("early_event_count"),
@@ -59,7 +61,8 @@ def early_features(flat: DataFrame, spec: SessionSpec = DEFAULT_SPEC, window_sec
         F.min("start_ts").alias("start_ts"),
     )
     return sessions.select(
-        *[c for c in sessions.columns if c != "start_ts"],
+        session_id().alias("session_id"),
+        *[c for c in sessions.columns if c not in (*SESSION_KEY, "start_ts")],
         *calendar("session_date"),
         F.expr(f"pmod(start_ts div {MICROS_PER_HOUR}, 24)").cast("int").alias("session_hour"),
     )

@@ -385,8 +385,9 @@ def experiment_assignment(spark, sf_dir):
 
 
 def experiment_outcomes(spark, sf_dir):
-    assigned = monitoring.assign_arms(nb_ranked(spark, sf_dir))
-    return rounded(monitoring.experiment_outcomes(assigned, session_rows(spark, sf_dir)), 5)
+    stored = materialize(session_rows(spark, sf_dir).select(KEY, DATE, LABEL, *START_FEATURES, "revenue"), "sessions")
+    scored = nb_scored(spark, sf_dir, stored.drop("revenue"))
+    return rounded(monitoring.experiment_outcomes(monitoring.assign_arms(ranking.rank_scores(scored)), stored), 5)
 
 
 QUERIES = {

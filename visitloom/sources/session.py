@@ -13,6 +13,8 @@ def build_session(master: str | None = None, name: str = "visitloom", **settings
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Do not record a Python stack trace for every column expression; it makes building a wide query slow.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for key, value in {**defaults, **settings}.items():
         builder = builder.config(key, value)
