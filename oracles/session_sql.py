@@ -358,7 +358,12 @@ FROM scored"""),
     "model_metrics_nb": q(RANKED, f"SELECT {NB_NAME}, {_metric_columns()} FROM placed"),
     "metrics_payload": q(RANKED + f", m AS (SELECT {', '.join(f'{e} AS {n}' for n, e in METRICS.items())} FROM placed)",
                          " UNION ALL ".join(
-                             f"SELECT {NB_NAME}, '{n}' AS metric, {r(n, 'value')} FROM m" for n in METRICS)),
+                             [f"SELECT {NB_NAME}, '{n}' AS metric, {r(n, 'value')} FROM m" for n in METRICS]
+                             + [f"SELECT 'data', '{side}_{n}', {r(f'CAST({e} AS DOUBLE)', 'value')} FROM {side}"
+                                for side in ("train", "test") for n, e in (
+                                    ("rows", "count(*)"), ("purchases", "sum(converted)"),
+                                    ("conversion_rate", "avg(converted)"))]
+                             + ["SELECT 'data', 'rows', CAST(count(*) AS DOUBLE) FROM features"])),
     "decile_lift_nb": q(RANKED, _lift_table(DECILE)),
     "lift_ntile_nb": q(RANKED + """, tiled AS (
   SELECT *, CAST(ntile(10) OVER (ORDER BY s DESC, session_id) AS INTEGER) AS tile FROM numbered)""",

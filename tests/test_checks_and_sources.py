@@ -62,6 +62,20 @@ def test_reconcile_fails_on_values_and_on_missing_rows(spark):
     assert quality.difference(actual, actual.where("name <> 'a'")).collect()[0].side == "actual only"
 
 
+def test_reconcile_takes_a_tolerance_per_check(spark):
+    actual = spark.createDataFrame([("lift", 2.01), ("auc", 0.51)], "name string, value double")
+    expected = spark.createDataFrame([("lift", 2.0, 0.02), ("auc", 0.5, 1e-4)], "name string, value double, tolerance double")
+    assert {r.check: r.passed for r in quality.reconcile(actual, expected, "name").collect()} == {"lift": True, "auc": False}
+
+
+def test_catalog_table_is_replaced_and_described(spark):
+    for rows in (3, 2):
+        stored = tables.save_as_table(spark.range(rows).withColumnRenamed("id", "total_events"), "shop", "sessions")
+    assert stored.count() == 2
+    described = tables.column_catalog(spark, "shop.sessions")
+    assert [tuple(r) for r in described.collect()] == [("total_events", "bigint")]
+
+
 def test_event_store_reads_only_the_days_asked_for(spark, tmp_path):
     nested = spark.createDataFrame([event("page_view", i, event_id=i, day=f"202311{10 + i}") for i in range(9)],
                                    events.EVENT_SCHEMA)

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitloom.functions.scalar import is_close, ratio
-from visitloom.spec import DATE, KEY, LABEL, PROHIBITED_COLUMNS, REQUIRED_COLUMNS, START_FEATURES
+from visitloom.spec import (CONTRACT_CONTROLS, DATE, KEY, LABEL, PROHIBITED_COLUMNS, QUALITY_CHECKS, REQUIRED_COLUMNS,
+                            START_FEATURES)
 
 
 def missing_columns(df: DataFrame) -> list[str]:
@@ -21,7 +22,7 @@ def quality_report(sessions: DataFrame) -> DataFrame:
     absent = missing_columns(sessions)
     present = [c for c in REQUIRED_COLUMNS if c in sessions.columns]
     nulls = sum((F.count_if(F.col(c).isNull()) for c in present), F.lit(0))
-    names = ["Required columns missing", "Missing values", "Duplicate session IDs", "Start date", "End date"]
+    names = list(QUALITY_CHECKS)
     return sessions.agg(
         F.lit("[" + ", ".join(absent) + "]").alias(names[0]),
         nulls.cast("string").alias(names[1]),
@@ -71,8 +72,7 @@ def leakage_audit_regex(df: DataFrame, words, label: str | None = None) -> DataF
 def leakage_audit_tokens(df: DataFrame, features, tokens) -> DataFrame:
     """Feature list against a token list: (control, result) rows; features must all be present in ``df``."""
     found = features_with_token(features, tokens)
-    names = ["Score-time feature count", "Post-session or outcome feature matches", "Sessions with every feature",
-             "Feature contract"]
+    names = list(CONTRACT_CONTROLS)
     complete = F.lit(True)
     for feature in features:
         complete = complete & F.col(feature).isNotNull()
@@ -126,10 +126,15 @@ def split_summary(df: DataFrame, cutoff: dt.date) -> DataFrame:
 
 def reconcile(actual: DataFrame, expected: DataFrame, on: str, tolerance: float = 0.0,
               relative: float = 1e-5) -> DataFrame:
-    """Compare two (check, value) tables row by row; a check absent on one side fails."""
+    """Compare two (check, value) tables row by row; a check absent on one side fails.
+
+    ``expected`` may carry a ``tolerance`` per check; otherwise the one given holds for all.
+    """
+    allowed = F.col("tolerance") if "tolerance" in expected.columns else F.lit(tolerance)
     left = actual.select(F.col(on).alias("check"), F.col("value").cast("double").alias("actual"))
-    right = expected.select(F.col(on).alias("check"), F.col("value").cast("double").alias("expected"))
-    close = is_close(F.col("actual"), F.col("expected"), F.lit(tolerance), relative)
+    right = expected.select(F.col(on).alias("check"), F.col("value").cast("double").alias("expected"),
+                            allowed.alias("tolerance"))
+    close = is_close(F.col("actual"), F.col("expected"), F.col("tolerance"), relative)
     return left.join(right, "check", "full").select(
         "check", "actual", "expected", F.coalesce(close, F.lit(False)).alias("passed"))
 

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from visitloom.functions.scalar import ratio
 from visitloom.operators.funnel import funnel, funnel_transitions
-from visitloom.operators.metrics import calibration_table, decile_table
+from visitloom.operators.metrics import calibration_table, decile_table, metrics_long
 from visitloom.operators.quality import split_summary
 from visitloom.operators.ranking import Ranked
-from visitloom.spec import MODEL_LABELS
+from visitloom.spec import (CAPACITY_CONTROL, GATE_CONTROL, LEAKAGE_CONTROL, METRIC_CONTROL, MODEL_LABELS,
+                            SPLIT_CONTROL)
 
 
 def dashboard_kpis(sessions: DataFrame) -> DataFrame:
@@ -69,18 +70,34 @@ def dashboard_model_controls(features: DataFrame, metrics: DataFrame, model: str
     same_month = F.date_format("test_start", "yyyyMM") == F.date_format("test_end", "yyyyMM")
     last = F.when(same_month, F.date_format("test_end", "d")).otherwise(F.date_format("test_end", "MMM d"))
 
-    def control(name, implementation, status):
-        return F.struct(F.lit(name).alias("control"), implementation.alias("implementation"), status.alias("status"))
+    def row(control, implementation=None, status=None):
+        name, implementation_text, status_text = control
+        return F.struct(
+            F.lit(name).alias("control"),
+            (F.lit(implementation_text) if implementation is None else implementation).alias("implementation"),
+            (F.lit(status_text) if status is None else status).alias("status"))
 
+    first, future = F.date_format("test_start", "MMM d"), F.format_number("test_sessions", 0)
     return facts.select(F.inline(F.array(
-        control("Chronological split",
-                F.concat(F.lit("Train through "), F.date_format("train_end", "MMM d"), F.lit("; test "),
-                         F.date_format("test_start", "MMM d"), F.lit("–"), last), F.lit("Passed")),
-        control("Leakage audit", F.lit("Full-session behavior and outcomes excluded"), F.lit("Passed")),
-        control("Primary metric",
-                F.concat(F.lit("PR-AUC on "), F.format_number("test_sessions", 0), F.lit(" future sessions")),
-                F.format_string("%.4f", "pr_auc")),
-        control("Capacity metric", F.lit("Recall and lift at highest-score 10%"),
-                F.format_string("%.1f%% / %.2f×", F.col("recall_at_top_10pct") * 100, F.col("lift_top_10pct"))),
-        control("Deployment gate", F.lit("Requires prospective controlled experiment"), F.lit("Experiment only")),
+        row(SPLIT_CONTROL, F.format_string(SPLIT_CONTROL[1], F.date_format("train_end", "MMM d"), first, last)),
+        row(LEAKAGE_CONTROL),
+        row(METRIC_CONTROL, F.format_string(METRIC_CONTROL[1], future), F.format_string(METRIC_CONTROL[2], "pr_auc")),
+        row(CAPACITY_CONTROL, status=F.format_string(
+            CAPACITY_CONTROL[2], F.col("recall_at_top_10pct") * 100, F.col("lift_top_10pct"))),
+        row(GATE_CONTROL),
     ))).orderBy("control")
+
+
+def training_payload(features: DataFrame, metrics: DataFrame, cutoff: dt.date) -> DataFrame:
+    """(model, metric, value): the size of both samples under the name ``data``, then the metrics of each model."""
+    sides = split_summary(features, cutoff)
+    side = F.lower("sample")
+
+    def row(name, value):
+        return F.struct(F.concat(side, F.lit(name)).alias("metric"), F.col(value).cast("double").alias("value"))
+
+    sizes = sides.select(F.inline(F.array(
+        row("_rows", "sessions"), row("_purchases", "purchases"), row("_conversion_rate", "conversion_rate"))))
+    total = sides.agg(F.lit("rows").alias("metric"), F.sum("sessions").cast("double").alias("value"))
+    return sizes.unionByName(total).select(F.lit("data").alias("model"), "metric", "value").unionByName(
+        metrics_long(metrics))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitloom.functions.scalar import or_missing, ratio
-from visitloom.spec import DEFAULT_SPEC, SessionSpec
+from visitloom.spec import DEFAULT_SPEC, KPI_NAMES, SessionSpec
 
 SESSION_KEY = ("user_pseudo_id", "ga_session_id")
 
@@ -91,10 +91,8 @@ def core_totals(sessions: DataFrame) -> DataFrame:
 
 def kpis(sessions: DataFrame) -> DataFrame:
     """Business indicators as (kpi, value) rows."""
-    names = ("Events analyzed", "Unique users", "Sessions", "Purchases", "Conversion rate", "Recorded revenue",
-             "Revenue per session")
     totals = core_totals(sessions).withColumn("per_session", ratio("total_revenue", "total_sessions"))
     columns = ("total_events", "unique_users", "total_sessions", "converted_sessions", "conversion_rate",
                "total_revenue", "per_session")
-    return totals.select(*[F.col(c).cast("double").alias(n) for c, n in zip(columns, names)]).unpivot(
-        [], list(names), "kpi", "value")
+    return totals.select(*[F.col(c).cast("double").alias(n) for c, n in zip(columns, KPI_NAMES)]).unpivot(
+        [], list(KPI_NAMES), "kpi", "value")

@@ -117,7 +117,9 @@ def scores_export(spark, sf_dir):
 
 def metrics_payload(spark, sf_dir):
     path = new_path(spark, "metrics-json")
-    tables.write_metrics(metrics.metrics_long(nb_metrics(spark, sf_dir)), path)
+    table = feature_rows(spark, sf_dir)
+    measured = metrics.model_metrics(nb_scored(spark, sf_dir, table))
+    tables.write_metrics(reports.training_payload(table, measured, SPEC.cutoff), path)
     return rounded(tables.read_metrics(spark, path))
 
 

@@ -85,6 +85,18 @@ PROHIBITED_COLUMNS = (
     "session_duration_seconds", "engagement_time_seconds",
 )
 
+KPI_NAMES = ("Events analyzed", "Unique users", "Sessions", "Purchases", "Conversion rate", "Recorded revenue",
+             "Revenue per session")
+QUALITY_CHECKS = ("Required columns missing", "Missing values", "Duplicate session IDs", "Start date", "End date")
+CONTRACT_CONTROLS = ("Score-time feature count", "Post-session or outcome feature matches", "Sessions with every feature",
+                     "Feature contract")
+# Control, implementation, status; the marks are filled from the data.
+SPLIT_CONTROL = ("Chronological split", "Train through %s; test %s–%s", "Passed")
+LEAKAGE_CONTROL = ("Leakage audit", "Full-session behavior and outcomes excluded", "Passed")
+METRIC_CONTROL = ("Primary metric", "PR-AUC on %s future sessions", "%.4f")
+CAPACITY_CONTROL = ("Capacity metric", "Recall and lift at highest-score 10%", "%.1f%% / %.2f×")
+GATE_CONTROL = ("Deployment gate", "Requires prospective controlled experiment", "Experiment only")
+
 HASH_BUCKETS = 2048
 LOGISTIC_L2 = 1e-5
 NAIVE_BAYES_ALPHA = 10.0
