@@ -16,9 +16,20 @@ def connection():
     return duck(SMALL)
 
 
+def check_plan(df):
+    """No cross join, and nothing but partial aggregates (one row per task) may meet in a single task."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, plan
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            assert "Aggregate" in lines[i + 1], plan
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, connection, name):
     df = QUERIES[name](spark, SMALL)
+    check_plan(df)
     assert type_differences(df, connection, ORACLES[name]) == {}
     assert spark_rows(df) == duck_rows(connection, ORACLES[name])
 
@@ -47,15 +58,3 @@ def test_known_values_of_the_medium_tables(spark):
     for name, rows, positives in (("early_features", 2964, 221), ("early_features_wide", 3182, 189)):
         got = QUERIES[name](spark, MEDIUM).selectExpr("count(*) AS n", "sum(converted) AS y").first()
         assert (got.n, got.y) == (rows, positives)
-
-
-@pytest.mark.parametrize("name", [
-    "sessionize", "funnel", "core_totals", "early_features", "label_after_horizon", "nb_scores", "model_metrics_nb",
-    "decile_lift_nb", "calibration_nb", "segment_metrics", "experiment_outcomes", "input_coverage", "feature_drift"])
-def test_plan_has_no_cross_join_and_no_single_task_window(spark, name):
-    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    lines = plan.splitlines()
-    for i, line in enumerate(lines):
-        if "Exchange SinglePartition" in line:  # allowed only above a partial aggregate: one row per task
-            assert "Aggregate" in lines[i + 1] or "Sort" in lines[i + 1], plan

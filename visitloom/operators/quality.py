@@ -107,7 +107,10 @@ def leakage_audit_columns(df: DataFrame, features=START_FEATURES, prohibited=PRO
 
 
 def chrono_split(df: DataFrame, cutoff: dt.date, date: str = DATE) -> tuple[DataFrame, DataFrame]:
-    """Rows before the cutoff, rows from the cutoff on; raises when a side is empty."""
+    """Rows before the cutoff, rows from the cutoff on; raises when a side is empty.
+
+    Both sides are probed for one row, so the table should be a stored one.
+    """
     train, test = df.where(F.col(date) < F.lit(cutoff)), df.where(F.col(date) >= F.lit(cutoff))
     if train.isEmpty() or test.isEmpty():
         raise ValueError(f"the split at {cutoff} leaves one side empty")

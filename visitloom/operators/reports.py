@@ -64,9 +64,10 @@ def dashboard_model_controls(features: DataFrame, metrics: DataFrame, model: str
         F.max(F.when(F.col("sample") == "Test", F.col("start_date"))).alias("test_start"),
         F.max(F.when(F.col("sample") == "Test", F.col("end_date"))).alias("test_end"),
         F.max(F.when(F.col("sample") == "Test", F.col("sessions"))).alias("test_sessions"),
-        F.lit(model).alias("model"),
     )
-    facts = sides.join(metrics.where(F.col("model") == model), "model")  # one row on each side
+    measured = metrics.where(F.col("model") == model).select("pr_auc", "recall_at_top_10pct", "lift_top_10pct")
+    both = sides.unionByName(measured, allowMissingColumns=True)  # two rows, each with the other's columns null
+    facts = both.agg(*[F.max(c).alias(c) for c in both.columns])
     same_month = F.date_format("test_start", "yyyyMM") == F.date_format("test_end", "yyyyMM")
     last = F.when(same_month, F.date_format("test_end", "d")).otherwise(F.date_format("test_end", "MMM d"))
 
