@@ -123,7 +123,7 @@ counts AS (
 
 
 def _ranked(group: str = "") -> str:
-    part = f"PARTITION BY {group} " if group else ""
+    part, same_score = (f"PARTITION BY {group} ", f"{group}, s") if group else ("", "s")
     return f""", keyed AS (SELECT *, round(p, 9) AS s FROM scored),
 numbered AS (
   SELECT *, row_number() OVER ({part}ORDER BY s DESC, session_id) - 1 AS i,
@@ -131,7 +131,7 @@ numbered AS (
     count(*) OVER ({part}) AS n, CAST(sum(converted) OVER ({part}) AS BIGINT) AS n1
   FROM keyed
 ), placed AS (
-  SELECT *, sum(converted) OVER ({part}ORDER BY i) AS found, avg(n - i) OVER (PARTITION BY {group + ', ' if group else ''}s) AS mean_rank,
+  SELECT *, sum(converted) OVER ({part}ORDER BY i) AS found, avg(n - i) OVER (PARTITION BY {same_score}) AS mean_rank,
     i < greatest(1, ceil(CAST(0.1 AS DOUBLE) * n)) AS top FROM numbered)"""
 
 

@@ -127,6 +127,12 @@ def test_early_attributes_stay_null_and_skip_nulls(spark):
     assert row.country == "C" and row.device_category is None
 
 
+def test_sessions_with_the_same_text_id_stay_apart(spark):
+    rows = early_features(flat(spark, event("page_view", 0, user="a", session=-2),
+                               event("page_view", 900 * SECOND, user="a-", session=2))).collect()
+    assert [(r.session_id, r.early_event_count) for r in rows] == [("a--2", 1)] * 2
+
+
 def test_input_order_does_not_matter(spark):
     events = [event("page_view", i % 3, user=f"u{i % 4}", event_id=i, source=f"s{i % 5}" if i % 2 else None)
               for i in range(60)]

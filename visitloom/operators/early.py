@@ -33,14 +33,14 @@ def early_features(flat: DataFrame, spec: SessionSpec = DEFAULT_SPEC, window_sec
 
     Events meet the start of their session in an equi-join; the time window is a filter on top. Unlike a window function,
     the join lets adaptive execution split a session that holds very many events. It can do so only where both join
-    inputs come straight from a shuffle and no later step relies on the join's partitioning. Hence starts are grouped by
-    the two-part session key, joined by its text, and the joined rows are grouped by the two-part key again. That
+    inputs come straight from a shuffle and no later step relies on the join's partitioning. Hence the join key is the
+    two-part session key plus its text, while the groupings before and after it use the two parts alone. The last
     aggregation is two-level with constant state, as in ``sessionize``.
     """
     window_seconds = spec.early_window_seconds if window_seconds is None else window_seconds
     allowed = flat.where(~F.col("event_name").isin(*spec.early_excluded)).withColumn("session_id", session_id())
-    starts = _starts(flat, spec, window_seconds).select(session_id().alias("session_id"), "start_ts", "converted")
-    early = allowed.join(starts, "session_id").where(
+    starts = _starts(flat, spec, window_seconds).withColumn("session_id", session_id())
+    early = allowed.join(starts, [*SESSION_KEY, "session_id"]).where(
         F.col("event_timestamp") <= F.col("start_ts") + F.lit(window_seconds * MICROS).cast("long"))
     steps = early.groupBy(*SESSION_KEY, "event_name").agg(
         F.count(F.lit(1)).alias("events"),
