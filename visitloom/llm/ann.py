@@ -206,7 +206,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, curves: int = CURVES, bloc
     asking = placed.where("is_query").select("curve", F.explode(reach).alias("block"), F.expr(f"pos div {asks_of}").alias("asker"),
                                              "vec_id", "v", F.lit(True).alias("asks"))
 
-    def block_scores(key, group: pd.DataFrame) -> pd.DataFrame:
+    def block_scores(group: pd.DataFrame) -> pd.DataFrame:
         asks = group["asks"].to_numpy()
         ids = group["vec_id"].to_numpy()
         matrix = np.frombuffer(b"".join(group["v"]), np.float64).reshape(len(group), -1)
