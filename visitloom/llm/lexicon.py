@@ -6,7 +6,7 @@ Python worker maps into memory. A unit the automaton does not accept is merged e
 
 A unit starts at a space between two non-spaces and runs up to the next such space: byte-level pre-tokens never cross
 these places, so a text's ids are the ids of its units in order. Units come from all documents and are counted in Spark;
-only the ``size`` most frequent reach the driver.
+only the most frequent, ``size`` at most, reach the driver.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitloom.llm.common import whole_text
+from visitloom.sources.workspace import materialize
 
 CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Longest unit, in characters, that may enter the automaton, and most units that do.
@@ -49,9 +50,15 @@ def unit_counts(docs: DataFrame) -> DataFrame:
 
 
 def frequent_units(docs: DataFrame, size: int = SIZE) -> list[str]:
-    """The ``size`` most frequent units, each with its leading space; ties by the unit."""
-    top = unit_counts(docs).orderBy(F.desc("n"), "unit").limit(size).select("unit").toPandas()
-    return [" " + u for u in top["unit"]]
+    """The units above the lowest count that leaves at most ``size`` of them, each with its leading space; units that occur once
+    never count. The cut comes from the number of units for each count, so the driver gets these units and no other."""
+    counts = materialize(unit_counts(docs).where("n > 1"), "unit-counts")
+    for_count = counts.groupBy("n").agg(F.count(F.lit(1)).alias("units"))
+    above = F.sum("units").over(Window.orderBy(F.desc("n")))  # one row for each different count
+    least = for_count.withColumn("above", above).where(F.col("above") <= size).agg(F.min("n")).first()[0]
+    if least is None:
+        return []
+    return sorted(" " + r.unit for r in counts.where(F.col("n") >= least).select("unit").collect())
 
 
 class _Builder:
