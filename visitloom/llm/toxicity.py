@@ -277,22 +277,33 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
 
 
+def _smallest(rows: DataFrame, key: str, most: int, of: int) -> DataFrame:
+    """The ``most`` rows of the smallest hash. Rows far from the cut go first, so tasks send about as many rows as are taken."""
+    hashed = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    if of > 2 * most:
+        rows = rows.where(hashed < int((1 << 40) * 2 * most / of))
+    return rows.orderBy(hashed, key).limit(most)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Machine:
     """Trains on a bounded sample of the labelled rows that are not held out. A document with both labels counts as both."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
         F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).distinct()
-    picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(DOCUMENTS) for y in (0, 1)]
+    counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    picked = [_smallest(known.where(F.col("toxic") == y), "doc_id", DOCUMENTS, counts.get(y, 0)) for y in (0, 1)]
     # At most 2 * DOCUMENTS rows of two numbers: a bounded broadcast, so that no text is shuffled.
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(docs).alias("text")).join(
         F.broadcast(picked[0].union(picked[1])), "doc_id")
     sample = materialize(sample, "labelled-sample")
     sentences = sample.select("toxic", F.explode(F.split("text", r"[.!?\n]+")).alias("sentence")).select(
         "toxic", F.trim(F.substring("sentence", 1, SENTENCE_CHARS)).alias("sentence")).where("sentence != ''").distinct()
-    rows = [r for y in (0, 1) for r in sentences.where(F.col("toxic") == y).orderBy(F.xxhash64("sentence"), "sentence")
-            .limit(SENTENCES).collect()]
+    sentences = materialize(sentences, "labelled-sentences")
+    rows = []
+    for y in (0, 1):
+        some = sentences.where(F.col("toxic") == y)
+        rows += _smallest(some, "sentence", SENTENCES, some.count()).collect()
     machine = train([(r.sentence, r.toxic) for r in rows])
     if machine.useful:
-        counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
         found = _margins(sample, machine).join(known, "doc_id").select("margin", "toxic").limit(4 * DOCUMENTS).toPandas()
         y = found["toxic"].to_numpy()
         share = np.array([counts[c] / max((y == c).sum(), 1) for c in (0, 1)])
