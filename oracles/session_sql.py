@@ -34,7 +34,6 @@ SESSION_COLUMNS = (
     + ["total_events", "distinct_event_types"] + list(COUNTERS) + list(FLAGS)
     + ["transaction_count", "revenue", "session_duration_seconds", "engagement_time_seconds"])
 START_WORDS = "page|product|cart|checkout|shipping|payment|purchase|revenue|transaction|duration|engagement|event"
-EARLY_WORDS = "purchase|revenue|transaction|payment|checkout|duration|total_events"
 CUTOFF = "DATE '2024-01-22'"
 
 NESTED = """
@@ -101,17 +100,18 @@ def _unpivot(table: str) -> str:
         f"SELECT session_id, converted, '{f}' AS col, CAST({f} AS VARCHAR) AS val FROM {table}" for f in FEATURES)
 
 
-NB = FEATURE_ROWS + f""", train_long AS ({_unpivot('train')}), test_long AS ({_unpivot('test')}),
+def _nb(alpha: int) -> str:
+    return FEATURE_ROWS + f""", train_long AS ({_unpivot('train')}), test_long AS ({_unpivot('test')}),
 counts AS (
   SELECT col, val, count(*) FILTER (WHERE converted = 0) AS n0, count(*) FILTER (WHERE converted = 1) AS n1
   FROM train_long GROUP BY col, val
 ), sizes AS (
   SELECT col, CAST(sum(n0) AS DOUBLE) AS t0, CAST(sum(n1) AS DOUBLE) AS t1, count(*) + 1 AS v FROM counts GROUP BY col
 ), params AS (
-  SELECT col, val, n0, n1, (n0 + 10) / (t0 + 10.0::DOUBLE * v) AS p0, (n1 + 10) / (t1 + 10.0::DOUBLE * v) AS p1
+  SELECT col, val, n0, n1, (n0 + {alpha}) / (t0 + {alpha}.0::DOUBLE * v) AS p0, (n1 + {alpha}) / (t1 + {alpha}.0::DOUBLE * v) AS p1
   FROM counts JOIN sizes USING (col)
 ), defaults AS (
-  SELECT col, 10 / (t0 + 10.0::DOUBLE * v) AS d0, 10 / (t1 + 10.0::DOUBLE * v) AS d1, (t1 + 10) / (t0 + t1 + 20) AS prior
+  SELECT col, {alpha} / (t0 + {alpha}.0::DOUBLE * v) AS d0, {alpha} / (t1 + {alpha}.0::DOUBLE * v) AS d1, (t1 + {alpha}) / (t0 + t1 + 2 * {alpha}) AS prior
   FROM sizes
 ), logits AS (
   SELECT l.session_id, max(ln(prior) - ln(1 - prior))
@@ -122,9 +122,12 @@ counts AS (
   SELECT t.*, 1 / (1 + exp(-greatest(-35, least(35, logit)))) AS p FROM test t JOIN logits USING (session_id))"""
 
 
-def _ranked(group: str = "") -> str:
+NB = _nb(10)
+
+
+def _ranked(group: str = "", source: str = "scored") -> str:
     part, same_score = (f"PARTITION BY {group} ", f"{group}, s") if group else ("", "s")
-    return f""", keyed AS (SELECT *, round(p, 9) AS s FROM scored),
+    return f""", keyed AS (SELECT *, round(p, 9) AS s FROM {source}),
 numbered AS (
   SELECT *, row_number() OVER ({part}ORDER BY s DESC, session_id) - 1 AS i,
     row_number() OVER ({part}ORDER BY s, session_id) - 1 AS i_asc,
@@ -172,31 +175,28 @@ def _lift_table(band: str) -> str:
 FROM numbered GROUP BY 1"""
 
 
+_SESSION = "PARTITION BY user_pseudo_id, ga_session_id"
+_LATE = "('purchase', 'refund', 'add_payment_info', 'add_shipping_info', 'begin_checkout')"
+
+
 def _early(seconds: int) -> str:
-    micros = f"CAST({seconds} AS BIGINT) * 1000000"
-    return q(NESTED + f""", starts AS (
-  SELECT user_pseudo_id, ga_session_id, min(event_timestamp) AS start_ts FROM flat GROUP BY ALL
-), labels AS (
-  SELECT user_pseudo_id, ga_session_id, start_ts,
-    CAST(max(CASE WHEN event_name = 'purchase' AND event_timestamp > start_ts + {micros} THEN 1 ELSE 0 END) AS INTEGER)
-      AS converted
-  FROM flat JOIN starts USING (user_pseudo_id, ga_session_id) GROUP BY ALL
-), early AS (
-  SELECT f.*, start_ts, converted FROM flat f JOIN labels USING (user_pseudo_id, ga_session_id)
-  WHERE event_timestamp BETWEEN start_ts AND start_ts + {micros}
-    AND event_name NOT IN ('purchase', 'refund', 'add_payment_info', 'add_shipping_info', 'begin_checkout')
-), built AS (
-  SELECT user_pseudo_id || '-' || ga_session_id AS session_id,
-    CAST(strptime(min(event_date), '%Y%m%d') AS DATE) AS session_date, converted,
-    count(*) AS early_event_count, count(DISTINCT event_name) AS early_distinct_event_types,
-    {', '.join(f"{_count(e)} AS {c}" for c, e in EARLY_COUNTERS.items())},
-    {r('CAST(sum(coalesce(engagement_time_msec, 0)) AS DOUBLE) / 1000', 'early_engagement_seconds', 4)},
-    {', '.join(f"{_first(a)} AS {a}" for a in ATTRIBUTES)},
-    CAST(hour(make_timestamp(min(start_ts))) AS INTEGER) AS session_hour
-  FROM early GROUP BY user_pseudo_id, ga_session_id, converted)""", """
-SELECT *, CAST(dayofweek(session_date) + 1 AS INTEGER) AS day_of_week,
-  CASE WHEN dayofweek(session_date) IN (0, 6) THEN 1 ELSE 0 END AS is_weekend
-FROM built""")
+    """Each event with the time since its session's first one, then one conditional aggregate for each session."""
+    inside = f"(since <= {seconds}000000 AND event_name NOT IN {_LATE})"
+    first = ", ".join(f"arg_min({a}, (since, event_id)) FILTER (WHERE {a} IS NOT NULL AND {inside}) AS {a}" for a in ATTRIBUTES)
+    counters = ", ".join(f"count(*) FILTER (WHERE {inside} AND event_name = '{e}') AS {c}" for c, e in EARLY_COUNTERS.items())
+    return q(NESTED + f""", clocked AS (
+  SELECT *, event_timestamp - min(event_timestamp) OVER ({_SESSION}) AS since FROM flat
+), summed AS (
+  SELECT concat_ws('-', user_pseudo_id, ga_session_id) AS session_id,
+    strptime(min(event_date) FILTER (WHERE {inside}), '%Y%m%d')::DATE AS session_date,
+    bool_or(event_name = 'purchase' AND since > {seconds}000000)::INTEGER AS converted,
+    count(*) FILTER (WHERE {inside}) AS early_event_count,
+    count(DISTINCT event_name) FILTER (WHERE {inside}) AS early_distinct_event_types, {counters},
+    {r(f"coalesce(sum(engagement_time_msec) FILTER (WHERE {inside}), 0)::DOUBLE / 1000", 'early_engagement_seconds', 4)},
+    {first}, ((min(event_timestamp) // 3600000000) % 24)::INTEGER AS session_hour
+  FROM clocked GROUP BY user_pseudo_id, ga_session_id)""", """
+SELECT *, (isodow(session_date) % 7 + 1)::INTEGER AS day_of_week, (isodow(session_date) > 5)::INTEGER AS is_weekend
+FROM summed WHERE early_event_count > 0""")
 
 
 def _populated(columns, name: str = "column_name", extra: str = "") -> str:
@@ -321,7 +321,7 @@ UNION ALL SELECT 'Duplicate session IDs', CAST(count(*) - count(DISTINCT session
 UNION ALL SELECT 'Start date', CAST(min(session_date) AS VARCHAR) FROM sessions
 UNION ALL SELECT 'End date', CAST(max(session_date) AS VARCHAR) FROM sessions"""),
     "leakage_audit_regex": q(SESSIONS, _populated(_words(START_WORDS, "converted"))),
-    "leakage_audit_early": q(SESSIONS, _populated(_words(EARLY_WORDS))),
+    "leakage_audit_early": _populated([]),  # the early table has no such column
     "leakage_audit_tokens": q(SESSIONS, """
 SELECT 'Score-time feature count' AS control, '7' AS result
 UNION ALL SELECT 'Post-session or outcome feature matches', '[]'
@@ -376,12 +376,11 @@ SELECT CAST(least(9, floor(p * 10)) AS INTEGER) AS probability_band, count(*) AS
   {r('avg(p)', 'avg_predicted_rate')}, {r('avg(converted)', 'observed_rate')} FROM scored GROUP BY 1"""),
     "early_features": _early(300),
     "early_features_wide": _early(14400),
-    "label_after_horizon": q(NESTED, """
-, starts AS (SELECT user_pseudo_id, ga_session_id, min(event_timestamp) AS start_ts FROM flat GROUP BY ALL)
-SELECT user_pseudo_id || '-' || ga_session_id AS session_id,
-  CAST(max(CASE WHEN event_name = 'purchase' AND event_timestamp > start_ts + 300000000 THEN 1 ELSE 0 END) AS INTEGER)
-    AS converted
-FROM flat JOIN starts USING (user_pseudo_id, ga_session_id) GROUP BY user_pseudo_id, ga_session_id"""),
+    "label_after_horizon": q(NESTED + f""", clocked AS (
+  SELECT *, event_timestamp - min(event_timestamp) OVER ({_SESSION}) AS since FROM flat)""", """
+SELECT concat_ws('-', user_pseudo_id, ga_session_id) AS session_id,
+  bool_or(event_name = 'purchase' AND since > 300000000)::INTEGER AS converted
+FROM clocked GROUP BY user_pseudo_id, ga_session_id"""),
     "dashboard_model_kpis": q(RANKED, f"""
 SELECT {r(AP, 'pr_auc')}, {r(AUC, 'roc_auc')}, {r(LIFT, 'top_decile_lift')}, {r(RECALL, 'top_10_recall')}
 FROM placed"""),
@@ -422,3 +421,42 @@ SELECT o.score_band, o.arm, o.eligible_sessions, {r('o.rate', 'conversion_rate',
   {r('o.rate - c.rate', 'conversion_difference', 5)}, {r('o.revenue - c.revenue', 'revenue_difference', 5)}
 FROM outcomes o LEFT JOIN outcomes c ON c.score_band = o.score_band AND c.arm = 0"""),
 }
+
+_MODELS = {f"alpha_{a}": _nb(a) + _ranked() for a in (10, 1)}
+
+
+def _of_models(columns: str, tail: str = "FROM placed") -> str:
+    """The same columns for both models, one row each."""
+    return " UNION ALL ".join(f"SELECT '{name}' AS model, {columns} FROM ({q(sql, 'SELECT * ' + tail)})" for name, sql in _MODELS.items())
+
+
+_PRECISION = "sum(CASE WHEN s >= 0.12::DOUBLE THEN converted END) / nullif(CAST(count(*) FILTER (WHERE s >= 0.12::DOUBLE) AS DOUBLE), 0)"
+_RECALL_AT = "sum(CASE WHEN s >= 0.12::DOUBLE THEN converted ELSE 0 END) / CAST(sum(converted) AS DOUBLE)"
+_TYPES = {"session_date": "date", "revenue": "double", "session_duration_seconds": "double", "engagement_time_seconds": "double"} | {
+    c: "string" for c in ["session_id", "user_pseudo_id", *ATTRIBUTES]} | {c: "int" for c in ["day_of_week", "is_weekend", *FLAGS]}
+ORACLES |= {
+    "segment_metrics_nulls": q(
+        NB + ", segmented AS (SELECT *, nullif(device_category, 'mobile') AS segment FROM scored)" + _ranked("segment", "segmented"),
+        f"SELECT {NB_NAME}, segment, {_metric_columns()} FROM placed GROUP BY segment"),
+    "nb_comparison": f"SELECT *, pr_auc = max(pr_auc) OVER () AS selected FROM ({_of_models(_metric_columns())})",
+    "nb_selected": f"SELECT arg_max(model, pr_auc) AS selected_by_pr_auc, max(pr_auc) AS pr_auc FROM ({_of_models(_metric_columns())})",
+    "nb_dashboard_comparison": " UNION ALL ".join(
+        f"SELECT model, '{text}' AS metric, {m} AS value FROM ({_of_models(_metric_columns())})"
+        for text, m in (("PR-AUC", "pr_auc"), ("ROC-AUC", "roc_auc"))),
+    "nb_evaluation": f"SELECT model, {r('precision', 'precision')}, {r('recall', 'recall')}, {r('accuracy', 'accuracy')}, "
+                     f"{r('2 * precision * recall / nullif(precision + recall, 0)', 'f1_score')}, log_loss, roc_auc FROM ("
+                     + _of_models(f"{_PRECISION} AS precision, {_RECALL_AT} AS recall, "
+                                  "avg(CASE WHEN (s >= 0.12::DOUBLE) = (converted = 1) THEN 1 ELSE 0 END) AS accuracy, "
+                                  + _metric_columns(6, ["log_loss", "roc_auc"])) + ")",
+    "class_weights": q(f"early_rows AS ({_early(14400)})", f"""
+SELECT converted, count(*) AS sessions, {r('sum(count(*)) OVER () / (2.0::DOUBLE * count(*))', 'class_weight')}
+FROM early_rows WHERE session_date < {CUTOFF} GROUP BY converted"""),
+    "nb_reloaded_scores": ORACLES["nb_scores"],
+    "logistic_certificate": q(FEATURE_ROWS + f", train_long AS ({_unpivot('train')}), buckets(col, val, bucket) AS "
+                              f"(VALUES {_bucket_rows()})", """
+SELECT CAST(bucket AS INTEGER) AS bucket, count(*) AS hits, true AS optimal
+FROM train_long JOIN buckets USING (col, val) GROUP BY bucket"""),
+    "lift_csv": ORACLES["decile_lift_nb"],
+    "session_catalog": " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, '{_TYPES.get(c, 'bigint')}' AS data_type" for c in SESSION_COLUMNS),
+}

@@ -6,14 +6,13 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.functions.scalar import or_missing, ratio
-from visitloom.operators.lookups import distinct_values
-from visitloom.operators.metrics import probability_quality, roc_auc
+from visitloom.functions.scalar import log_loss, or_missing, ratio
+from visitloom.operators.metrics import roc_auc
 from visitloom.operators.ranking import rank_scores
 from visitloom.spec import ATTRIBUTES, DATE, KEY, LABEL
 
@@ -25,8 +24,8 @@ TREE_STEP = 0.05
 TREE_DEPTH = 5
 TREE_SUBSAMPLE = 0.8
 
-# A feature with more values than this is hashed into as many slots instead of listing its values on the driver.
-MAX_CATEGORIES = 2048
+# Every attribute is hashed into this many slots, whatever number of values it has; more slots mean fewer collisions.
+SLOTS = 256
 WEIGHT = "class_weight"
 
 
@@ -35,6 +34,19 @@ class EarlyModel:
     name: str
     pipeline: PipelineModel
     inputs: tuple
+    slots: int = SLOTS
+
+    def save(self, path: str) -> None:
+        """The fitted pipeline, and a table with name, inputs and slots."""
+        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        spark = SparkSession.active()
+        spark.createDataFrame([(self.name, list(self.inputs), self.slots)], "name string, inputs array<string>, slots int").coalesce(
+            1).write.mode("overwrite").parquet(f"{path}/model")
+
+
+def load_early_model(spark: SparkSession, path: str) -> EarlyModel:
+    row = spark.read.parquet(f"{path}/model").first()
+    return EarlyModel(row["name"], PipelineModel.load(f"{path}/pipeline"), tuple(row["inputs"]), row["slots"])
 
 
 def _filled(df: DataFrame) -> DataFrame:
@@ -51,40 +63,27 @@ def with_class_weights(train: DataFrame) -> tuple[DataFrame, float]:
     return train.withColumn(WEIGHT, weight), total
 
 
-def _encoders(train: DataFrame) -> tuple[list, list[str]]:
-    """Feature stages and the columns they produce, one per input feature."""
-    counts = distinct_values(train, ATTRIBUTES).groupBy("column").count().collect()  # one row per attribute
-    listed = sorted(row["column"] for row in counts if row["count"] <= MAX_CATEGORIES)
-    hashed = [a for a in ATTRIBUTES if a not in listed]
-    stages = [FeatureHasher(inputCols=[a], outputCol=f"{a}_slots", numFeatures=MAX_CATEGORIES) for a in hashed]
-    if listed:
-        stages += [
-            StringIndexer(inputCols=listed, outputCols=[f"{a}_index" for a in listed], handleInvalid="keep"),
-            OneHotEncoder(inputCols=[f"{a}_index" for a in listed], outputCols=[f"{a}_slots" for a in listed],
-                          dropLast=False),
-        ]
+def _fit(name: str, train: DataFrame, classifier, slots: int) -> EarlyModel:
+    """Numbers as they are, attributes as hashed slots; no pass over the data before the fit itself."""
+    hashers = [FeatureHasher(inputCols=[a], outputCol=f"{a}_slots", numFeatures=slots) for a in ATTRIBUTES]
     numbers = [c for c in train.columns if c not in {KEY, DATE, LABEL, WEIGHT, *ATTRIBUTES}]
-    return stages, numbers + [f"{a}_slots" for a in ATTRIBUTES]
-
-
-def _fit(name: str, train: DataFrame, classifier) -> EarlyModel:
-    stages, inputs = _encoders(train)
+    inputs = numbers + [f"{a}_slots" for a in ATTRIBUTES]
     assembler = VectorAssembler(inputCols=inputs, outputCol="features")
-    return EarlyModel(name, Pipeline(stages=[*stages, assembler, classifier]).fit(train), tuple(inputs))
+    return EarlyModel(name, Pipeline(stages=[*hashers, assembler, classifier]).fit(train), tuple(inputs), slots)
 
 
-def fit_early_logistic(train: DataFrame) -> EarlyModel:
+def fit_early_logistic(train: DataFrame, slots: int = SLOTS) -> EarlyModel:
     weighted, rows = with_class_weights(_filled(train))
     # The solver minimises the mean loss, so a penalty meant for the summed loss is divided by the number of rows.
     return _fit("logistic", weighted, LogisticRegression(
-        labelCol=LABEL, weightCol=WEIGHT, maxIter=LOGISTIC_ITERATIONS, regParam=LOGISTIC_PENALTY / rows))
+        labelCol=LABEL, weightCol=WEIGHT, maxIter=LOGISTIC_ITERATIONS, regParam=LOGISTIC_PENALTY / rows), slots)
 
 
-def fit_early_trees(train: DataFrame, seed: int = 7) -> EarlyModel:
+def fit_early_trees(train: DataFrame, seed: int = 7, slots: int = SLOTS) -> EarlyModel:
     weighted, _ = with_class_weights(_filled(train))
     return _fit("boosted_tree", weighted, GBTClassifier(
         labelCol=LABEL, weightCol=WEIGHT, maxIter=TREE_ROUNDS, stepSize=TREE_STEP, maxDepth=TREE_DEPTH,
-        subsamplingRate=TREE_SUBSAMPLE, seed=seed))
+        subsamplingRate=TREE_SUBSAMPLE, seed=seed), slots)
 
 
 def score_early(model: EarlyModel, df: DataFrame) -> DataFrame:
@@ -101,23 +100,22 @@ def evaluate(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     precision, recall = ratio(F.col("both"), F.col("hits")), ratio(F.col("both"), F.col("positives"))
     at_threshold = ranked.rows.groupBy("model").agg(
         F.count_if(hit & label).alias("both"), F.count_if(hit).alias("hits"), F.count_if(label).alias("positives"),
-        F.avg((hit == label).cast("int")).alias("accuracy"),
+        F.avg((hit == label).cast("int")).alias("accuracy"), F.avg(log_loss(F.col("label"), F.col("score"))).alias("log_loss"),
     ).select("model", precision.alias("precision"), recall.alias("recall"), "accuracy",
-             ratio(2 * precision * recall, precision + recall).alias("f1_score"))
-    quality = probability_quality(ranked.rows, ("model",), "score", "label").select("model", "log_loss")
-    return at_threshold.join(quality, "model").join(roc_auc(ranked), "model", "left")
+             ratio(2 * precision * recall, precision + recall).alias("f1_score"), "log_loss")
+    both = at_threshold.unionByName(roc_auc(ranked), allowMissingColumns=True)
+    return both.groupBy("model").agg(*[F.max(c).alias(c) for c in both.columns if c != "model"])
 
 
 def global_explain(model: EarlyModel, df: DataFrame) -> DataFrame:
     """(feature, attribution): impurity importances of a tree model, slots added up per source column.
 
-    Of ``df`` only the schema is used: it names the slots of the feature vector.
+    A number has one place in the feature vector, an attribute has its slots, in the order of the inputs.
     """
-    importances = model.pipeline.stages[-1].featureImportances
-    attributes = model.pipeline.transform(_filled(df)).schema["features"].metadata["ml_attr"]["attrs"]
-    totals = {column.removesuffix("_slots"): 0.0 for column in model.inputs}
-    for kind in attributes.values():
-        for slot in kind:
-            column = next(c for c in model.inputs if slot["name"] == c or slot["name"].startswith(f"{c}_"))
-            totals[column.removesuffix("_slots")] += float(importances[slot["idx"]])
-    return df.sparkSession.createDataFrame(sorted(totals.items()), "feature string, attribution double")
+    importances = model.pipeline.stages[-1].featureImportances.toArray()
+    totals, at = [], 0
+    for column in model.inputs:
+        width = model.slots if column.endswith("_slots") else 1
+        totals.append((column.removesuffix("_slots"), float(importances[at: at + width].sum())))
+        at += width
+    return df.sparkSession.createDataFrame(sorted(totals), "feature string, attribution double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -24,6 +25,7 @@ class HashedLogistic:
     intercept: float
     history: tuple
     features: tuple
+    converged: bool = True
 
     def weight_table(self) -> DataFrame:
         rows = [(i, float(w)) for i, w in enumerate(self.weights)]
@@ -72,9 +74,12 @@ def fit_hashed_logistic(encoded: DataFrame, features=START_FEATURES, buckets: in
         regParam=l2, elasticNetParam=0.0, standardization=False, weightCol="n", maxIter=max_iter, tol=tol,
         family="binomial")
     model: LogisticRegressionModel = solver.fit(data)
+    converged = model.summary.totalIterations < max_iter
+    if not converged:
+        warnings.warn(f"the solver stopped at {max_iter} iterations before it converged", RuntimeWarning, stacklevel=2)
     return HashedLogistic(
         encoded.sparkSession, tuple(model.coefficients.toArray()), model.intercept,
-        tuple(model.summary.objectiveHistory), tuple(features))
+        tuple(model.summary.objectiveHistory), tuple(features), converged)
 
 
 def score_hashed_logistic(model: HashedLogistic, encoded: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -36,7 +37,12 @@ class Lookup:
     def read(self, feature: str) -> DataFrame:
         """Rows of one feature; read from its own folder, so that Spark plans with the size of that feature alone."""
         schema = T.StructType([f for f in self.schema if f.name != "column"])
-        return read_table(self.spark, f"{self.path}/column={feature}", schema)
+        try:
+            return read_table(self.spark, f"{self.path}/column={feature}", schema)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)  # no row had a value of this feature
 
     def attach(self, df: DataFrame, feature: str, rows: DataFrame) -> DataFrame:
         """Left join by feature text. No hint: the file size decides between broadcast and shuffled join."""

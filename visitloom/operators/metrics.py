@@ -27,12 +27,14 @@ def roc_auc(ranked: Ranked) -> DataFrame:
     ties = ranked.rows.groupBy(*ranked.groups, "sort_score").agg(
         F.min("rank_index").alias("first"), F.max("rank_index").alias("last"), F.sum("label").alias("positives"),
         F.max("group_rows").alias("n"), F.max("group_positives").alias("n1"))
-    # Ascending 1-based ranks of a tie run from n - last to n - first.
+    return ties.groupBy(*ranked.groups).agg(_rank_sum_auc().alias("roc_auc"))
+
+
+def _rank_sum_auc():
+    """Aggregate over ties (first, last, positives, n, n1). Ascending 1-based ranks of a tie run from n - last to n - first."""
     mean_rank = F.col("n") - (F.col("first") + F.col("last")) / F.lit(2.0)
     n1 = F.max("n1").cast("double")
-    return ties.groupBy(*ranked.groups).agg(
-        ratio(F.sum(F.col("positives") * mean_rank) - n1 * (n1 + 1) / F.lit(2.0), n1 * (F.max("n") - n1))
-        .alias("roc_auc"))
+    return ratio(F.sum(F.col("positives") * mean_rank) - n1 * (n1 + 1) / F.lit(2.0), n1 * (F.max("n") - n1))
 
 
 def probability_quality(scored: DataFrame, groups=("model",), score: str = "predicted_probability",
@@ -61,14 +63,23 @@ def model_metrics(scored: DataFrame, groups=("model",), capacity: float = CAPACI
 
 
 def metrics_of(ranked: Ranked, capacity: float = CAPACITY) -> DataFrame:
-    quality = probability_quality(ranked.rows, ranked.groups, "score", "label")
-    keys = list(ranked.groups)
-    return (
-        quality.join(top_share_metrics(ranked, capacity), keys)
-        .join(roc_auc(ranked), keys, "left")
-        .join(average_precision(ranked), keys, "left")
-        .select(*keys, *METRICS)
-    )
+    """Two reads of the ranked rows: one summed by score and then by group, one of the positives for average precision.
+
+    The two meet in a grouping and not in a join, so a group whose key is null keeps its row.
+    """
+    keys, top, p, y = list(ranked.groups), top_share(capacity), F.col("score"), F.col("label")
+    ties = ranked.rows.groupBy(*keys, "sort_score").agg(
+        F.min("rank_index").alias("first"), F.max("rank_index").alias("last"), F.sum("label").alias("positives"),
+        F.max("group_rows").alias("n"), F.max("group_positives").alias("n1"), F.count(F.lit(1)).alias("rows"),
+        F.sum(log_loss(y, p)).alias("loss"), F.sum(squared_error(y, p)).alias("error"),
+        F.count_if(top).alias("chosen"), F.sum(F.when(top, y).otherwise(0)).alias("found"))
+    found, rate, n, n1 = F.sum("found"), ratio(F.sum("found"), F.sum("chosen")), F.max("n"), F.max("n1")
+    summed = ties.groupBy(*keys).agg(
+        _rank_sum_auc().alias("roc_auc"), ratio(F.sum("loss"), F.sum("rows")).alias("log_loss"),
+        ratio(F.sum("error"), F.sum("rows")).alias("brier_score"), ratio(found, n1).alias("recall_at_top_10pct"),
+        rate.alias("conversion_rate_top_10pct"), ratio(rate, ratio(n1, n)).alias("lift_top_10pct"))
+    both = summed.unionByName(average_precision(ranked), allowMissingColumns=True)
+    return both.groupBy(*keys).agg(*[F.max(m).alias(m) for m in METRICS])
 
 
 def metrics_long(metrics: DataFrame) -> DataFrame:
@@ -122,10 +133,10 @@ def calibration_table(ranked: Ranked, bands: int = BANDS) -> DataFrame:
 
 
 def calibration_fixed_width(scored: DataFrame, bands: int = BANDS, score: str = "predicted_probability",
-                            label: str = LABEL) -> DataFrame:
-    """Bands of equal width on the probability scale."""
+                            label: str = LABEL, groups=("model",)) -> DataFrame:
+    """Bands of equal width on the probability scale, for each group."""
     band = F.least(F.lit(bands - 1), F.floor(F.col(score) * bands)).cast("int")
-    return scored.groupBy(band.alias("probability_band")).agg(
+    return scored.groupBy(*groups, band.alias("probability_band")).agg(
         F.count(F.lit(1)).alias("sessions"),
         F.avg(score).alias("avg_predicted_rate"),
         F.avg(label).alias("observed_rate"))

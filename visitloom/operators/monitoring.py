@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitloom.functions.scalar import ratio
@@ -61,22 +61,23 @@ def segment_metrics(scored: DataFrame, segment: str) -> DataFrame:
 
 
 def assign_arms(ranked: Ranked, arms: int = 2, seed: str = "experiment") -> DataFrame:
-    """Score band and random arm per session. The arm depends on seed and session id only, so it can be repeated."""
+    """Score band and random arm per group (model) and session. The arm depends on seed and session id only, so it can be repeated."""
     digest = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(KEY))), 1, 8), 16, 10).cast("long")
     return ranked.rows.select(
-        KEY, equal_frequency_band().alias("score_band"), (digest % arms).cast("int").alias("arm"))
+        *ranked.groups, KEY, equal_frequency_band().alias("score_band"), (digest % arms).cast("int").alias("arm"))
 
 
 def experiment_outcomes(assigned: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Conversion and revenue per eligible session by band and arm, with the difference to arm 0 of the band."""
-    outcomes = assigned.join(sessions.select(KEY, "converted", "revenue"), KEY).groupBy("score_band", "arm").agg(
+    """Conversion and revenue per eligible session by group, band and arm, with the difference to arm 0 of the band."""
+    groups = [c for c in assigned.columns if c not in {KEY, "score_band", "arm"}]
+    band = Window.partitionBy(*groups, "score_band")  # one row for each arm
+    outcomes = assigned.join(sessions.select(KEY, "converted", "revenue"), KEY).groupBy(*groups, "score_band", "arm").agg(
         F.count(F.lit(1)).alias("eligible_sessions"),
         F.avg("converted").alias("conversion_rate"),
         F.avg("revenue").alias("revenue_per_session"),
         F.stddev_samp("revenue").alias("revenue_stddev"))
-    control = outcomes.where("arm = 0").select(
-        "score_band", F.col("conversion_rate").alias("control_rate"), F.col("revenue_per_session").alias("control_revenue"))
-    return outcomes.join(control, "score_band", "left").select(
-        "score_band", "arm", "eligible_sessions", "conversion_rate", "revenue_per_session", "revenue_stddev",
-        (F.col("conversion_rate") - F.col("control_rate")).alias("conversion_difference"),
-        (F.col("revenue_per_session") - F.col("control_revenue")).alias("revenue_difference"))
+    control = {c: F.max(F.when(F.col("arm") == 0, F.col(c))).over(band) for c in ("conversion_rate", "revenue_per_session")}
+    return outcomes.select(
+        *groups, "score_band", "arm", "eligible_sessions", "conversion_rate", "revenue_per_session", "revenue_stddev",
+        (F.col("conversion_rate") - control["conversion_rate"]).alias("conversion_difference"),
+        (F.col("revenue_per_session") - control["revenue_per_session"]).alias("revenue_difference"))

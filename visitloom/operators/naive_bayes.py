@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitloom.functions.scalar import sigmoid
@@ -48,12 +48,27 @@ class NaiveBayes:
 
         return self.counts.table().select("column", "value", "n0", "n1", by_feature(0), by_feature(1))
 
+    def save(self, path: str) -> None:
+        """Counts per value, one folder per feature, and totals per feature."""
+        self.counts.table().hint("rebalance", "column").write.mode("overwrite").partitionBy("column").parquet(f"{path}/counts")
+        rows = [(i, f, *map(int, t), self.alpha) for i, (f, t) in enumerate(self.totals.items())]
+        self.counts.spark.createDataFrame(rows, _TOTALS).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+
     def defaults(self) -> DataFrame:
         """(column, d0, d1, prior), one row per feature."""
         rows = [(f, self.default(f, 0), self.default(f, 1), self.prior) for f in self.features]
         return self.counts.spark.createDataFrame(rows, "column string, d0 double, d1 double, prior double")
 
 
+_TOTALS = "place int, feature string, negatives long, positives long, distinct_values long, alpha double"
+
+
+def load_naive_bayes(spark: SparkSession, path: str) -> NaiveBayes:
+    totals = spark.read.schema(_TOTALS).parquet(f"{path}/totals").orderBy("place").collect()  # one row per feature
+    counts = Lookup(spark, f"{path}/counts", spark.createDataFrame([], "column string, value string, n0 long, n1 long").schema)
+    return NaiveBayes(counts, {r.feature: (r.negatives, r.positives, r.distinct_values) for r in totals}, totals[0].alpha)
+
+
 def fit_naive_bayes(train: DataFrame, features=START_FEATURES, alpha: float = NAIVE_BAYES_ALPHA) -> NaiveBayes:
     """Count every feature value per class in one pass; repeated values are combined before the shuffle."""
     counts = feature_values(train, features, (LABEL,)).groupBy("column", "value").agg(
@@ -61,6 +76,8 @@ def fit_naive_bayes(train: DataFrame, features=START_FEATURES, alpha: float = NA
     lookup = write_lookup(counts, "naive-bayes-counts")
     totals = lookup.table().groupBy("column").agg(F.sum("n0"), F.sum("n1"), F.count(F.lit(1)))
     by_feature = {row[0]: tuple(row[1:]) for row in totals.collect()}  # one row per feature
+    if not by_feature:
+        raise ValueError("training rows are needed")
     return NaiveBayes(lookup, {f: by_feature[f] for f in features}, alpha)
 
 

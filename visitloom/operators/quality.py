@@ -26,17 +26,22 @@ def quality_report(sessions: DataFrame) -> DataFrame:
     return sessions.agg(
         F.lit("[" + ", ".join(absent) + "]").alias(names[0]),
         nulls.cast("string").alias(names[1]),
-        (F.count(KEY) - F.count_distinct(KEY)).cast("string").alias(names[2]),
+        _repeats(KEY).cast("string").alias(names[2]),
         F.min(DATE).cast("string").alias(names[3]),
         F.max(DATE).cast("string").alias(names[4]),
     ).unpivot([], names, "check", "result")
 
 
+def _repeats(key: str):
+    """Rows beyond the first of their key; all rows without a key count as one key."""
+    return F.count(F.lit(1)) - F.count_distinct(key) - F.coalesce(F.max(F.col(key).isNull().cast("int")), F.lit(0))
+
+
 def uniqueness_audit(df: DataFrame, key: str = KEY) -> DataFrame:
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.count_distinct(key).alias("unique_sessions"),
-        (F.count(F.lit(1)) - F.count_distinct(key)).alias("duplicate_sessions"),
+        (F.count(F.lit(1)) - _repeats(key)).alias("unique_sessions"),
+        _repeats(key).alias("duplicate_sessions"),
     )
 
 

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from visitloom.sources.workspace import materialize
 from visitloom.spec import BANDS, CAPACITY, KEY, LABEL
 
-# Scores are compared after rounding, so that noise in the last bits of a sum neither splits nor reorders ties.
-SCORE_DIGITS = 9
 _TASK_SHIFT = 33  # monotonically_increasing_id keeps the partition number above this bit
 
 
@@ -34,19 +32,23 @@ class Ranked:
 
 
 def rank_scores(scored: DataFrame, groups=("model",), descending: bool = True, score: str = "predicted_probability",
-                label: str = LABEL, key: str = KEY) -> Ranked:
-    """Rank rows within each group by score, ties by key in ascending order."""
+                label: str = LABEL, key: str = KEY, rank_by: str | None = None) -> Ranked:
+    """Rank rows within each group by score, ties by key in ascending order.
+
+    Scores are compared as they are; ``rank_by`` names another column to order by. A null group is a group. The rows are
+    stored with their rank, so that every table built on them is a plain read.
+    """
     direction = F.col("sort_score").desc() if descending else F.col("sort_score").asc()
     order = [*[F.col(g) for g in groups], direction, F.col(key)]
     ordered = materialize(
         scored.select(
             *groups, F.col(key), F.col(label).cast("int").alias("label"), F.col(score).alias("score"),
-            F.round(score, SCORE_DIGITS).alias("sort_score"))
+            F.col(rank_by or score).alias("sort_score"))
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("position", F.monotonically_increasing_id()),
         "ordered-scores",
-    ).withColumn("part", F.shiftrightunsigned("position", _TASK_SHIFT))
+    ).withColumn("part", F.shiftrightunsigned("position", _TASK_SHIFT).cast("int"))
 
     by_part = Window.partitionBy(*groups).orderBy("part")  # at most one row per group and partition
     earlier, whole = by_part.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*groups)
@@ -61,9 +63,15 @@ def rank_scores(scored: DataFrame, groups=("model",), descending: bool = True, s
             F.sum("positives").over(whole).alias("group_positives")),
         "rank-offsets",
     )
-    rows = ordered.join(offsets, [*groups, "part"]).withColumn(
-        "rank_index", F.col("rows_before") + F.col("position") - F.col("first_position"))
-    return Ranked(rows, tuple(groups))
+    named = offsets.select(F.col("part").alias("offset_part"), *[F.col(g).alias(f"offset_{g}") for g in groups],
+                           *[c for c in offsets.columns if c not in {"part", *groups}])
+    same = ordered["part"] == named["offset_part"]
+    for g in groups:
+        same = same & ordered[g].eqNullSafe(named[f"offset_{g}"])
+    rows = ordered.join(named, same).withColumn(
+        "rank_index", F.col("rows_before") + F.col("position") - F.col("first_position")).drop(
+            "offset_part", *[f"offset_{g}" for g in groups])
+    return Ranked(materialize(rows, "ranked-scores"), tuple(groups))
 
 
 def equal_frequency_band(bands: int = BANDS) -> Column:

@@ -13,7 +13,7 @@ from visitloom.operators.metrics import calibration_table, decile_table, metrics
 from visitloom.operators.quality import split_summary
 from visitloom.operators.ranking import Ranked
 from visitloom.spec import (CAPACITY_CONTROL, GATE_CONTROL, LEAKAGE_CONTROL, METRIC_CONTROL, MODEL_LABELS,
-                            SPLIT_CONTROL)
+                            PROHIBITED_COLUMNS, SPLIT_CONTROL)
 
 
 def dashboard_kpis(sessions: DataFrame) -> DataFrame:
@@ -58,7 +58,9 @@ def dashboard_calibration_tidy(ascending: Ranked) -> DataFrame:
 
 
 def dashboard_model_controls(features: DataFrame, metrics: DataFrame, model: str, cutoff: dt.date) -> DataFrame:
-    """Controls with their state, in name order. The leakage check must have passed for a model to exist."""
+    """Controls with their state, in name order. The audit passes if no feature is on the prohibited list, the split if every
+    training day lies before the test days."""
+    clean = not set(features.columns) & set(PROHIBITED_COLUMNS)
     sides = split_summary(features, cutoff).groupBy().agg(
         F.max(F.when(F.col("sample") == "Train", F.col("end_date"))).alias("train_end"),
         F.max(F.when(F.col("sample") == "Test", F.col("start_date"))).alias("test_start"),
@@ -80,8 +82,9 @@ def dashboard_model_controls(features: DataFrame, metrics: DataFrame, model: str
 
     first, future = F.date_format("test_start", "MMM d"), F.format_number("test_sessions", 0)
     return facts.select(F.inline(F.array(
-        row(SPLIT_CONTROL, F.format_string(SPLIT_CONTROL[1], F.date_format("train_end", "MMM d"), first, last)),
-        row(LEAKAGE_CONTROL),
+        row(SPLIT_CONTROL, F.format_string(SPLIT_CONTROL[1], F.date_format("train_end", "MMM d"), first, last),
+            F.when(F.col("train_end") < F.col("test_start"), SPLIT_CONTROL[2]).otherwise("Failed")),
+        row(LEAKAGE_CONTROL, status=F.lit(LEAKAGE_CONTROL[2] if clean else "Failed")),
         row(METRIC_CONTROL, F.format_string(METRIC_CONTROL[1], future), F.format_string(METRIC_CONTROL[2], "pr_auc")),
         row(CAPACITY_CONTROL, status=F.format_string(
             CAPACITY_CONTROL[2], F.col("recall_at_top_10pct") * 100, F.col("lift_top_10pct"))),

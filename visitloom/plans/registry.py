@@ -16,7 +16,7 @@ from visitloom.operators import quality, ranking, reports, sessions
 from visitloom.sources import events, tables
 from visitloom.sources.star_tables import nested_events
 from visitloom.sources.workspace import materialize, new_path
-from visitloom.spec import (DATE, DEFAULT_SPEC, EARLY_LEAKAGE_WORDS, KEY, LABEL, NAIVE_BAYES, START_FEATURES,
+from visitloom.spec import (DATE, DEFAULT_SPEC, EARLY_LEAKAGE_WORDS, KEY, LABEL, LOGISTIC_L2, NAIVE_BAYES, START_FEATURES,
                             START_LEAKAGE_WORDS)
 
 SPEC = dataclasses.replace(DEFAULT_SPEC, cutoff=dt.date(2024, 1, 22))
@@ -56,7 +56,8 @@ def nb_scored(spark: SparkSession, sf_dir: str, table: DataFrame | None = None)
 def hashed_model(spark: SparkSession, sf_dir: str, table: DataFrame | None = None):
     """The fitted hashed logistic model and the encoded test rows."""
     table = feature_rows(spark, sf_dir) if table is None else table
-    train, test = quality.chrono_split(features.hash_encode(table), SPEC.cutoff)
+    encoded = materialize(features.hash_encode(table), "encoded")  # looked up once, read by the split, the fit and the scores
+    train, test = quality.chrono_split(encoded, SPEC.cutoff)
     return logistic.fit_hashed_logistic(train), test
 
 
@@ -64,8 +65,14 @@ def logistic_scored(spark: SparkSession, sf_dir: str, table: DataFrame | None =
     return logistic.score_hashed_logistic(*hashed_model(spark, sf_dir, table))
 
 
+def ranked(scored: DataFrame, groups=("model",), descending: bool = True) -> ranking.Ranked:
+    """Ranked by the score in nine digits: another engine adds the terms of a score in another order."""
+    return ranking.rank_scores(scored.withColumn("rank_key", F.round("predicted_probability", 9)), groups,
+                               descending=descending, rank_by="rank_key")
+
+
 def nb_ranked(spark: SparkSession, sf_dir: str, descending: bool = True) -> ranking.Ranked:
-    return ranking.rank_scores(nb_scored(spark, sf_dir), descending=descending)
+    return ranked(nb_scored(spark, sf_dir), descending=descending)
 
 
 def nb_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,12 +82,31 @@ def nb_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def both_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = feature_rows(spark, sf_dir)
     columns = ["model", KEY, DATE, LABEL, "predicted_probability"]
-    return metrics.compare_models(
-        logistic_scored(spark, sf_dir, table).select(*columns), nb_scored(spark, sf_dir, table).select(*columns))
+    both = logistic_scored(spark, sf_dir, table).select(*columns).unionByName(
+        nb_scored(spark, sf_dir, table).select(*columns))
+    return metrics.mark_selected(metrics.metrics_of(ranked(both)))
+
+
+def two_nb_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of two Naive Bayes models that differ in their smoothing; SQL can compute them exactly."""
+    train, test = quality.chrono_split(feature_rows(spark, sf_dir), SPEC.cutoff)
+    scored = [naive_bayes.score_naive_bayes(naive_bayes.fit_naive_bayes(train, alpha=alpha), test).select(
+        F.lit(f"alpha_{alpha:g}").alias("model"), KEY, DATE, LABEL, "predicted_probability") for alpha in (10.0, 1.0)]
+    return scored[0].unionByName(scored[1])
+
+
+def two_nb_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.mark_selected(metrics.metrics_of(ranked(two_nb_models(spark, sf_dir))))
+
+
+def early_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return early.early_features(flat_events(spark, sf_dir), SPEC, WIDE_WINDOW_SECONDS)
 
 
 def early_split(spark: SparkSession, sf_dir: str):
-    table = materialize(early.early_features(flat_events(spark, sf_dir), SPEC, WIDE_WINDOW_SECONDS), "early-features")
+    table = materialize(early_table(spark, sf_dir), "early-features")
+    if late := quality.columns_matching(table.columns, EARLY_LEAKAGE_WORDS, LABEL):
+        raise ValueError(f"columns known only after the early window: {late}")
     return quality.chrono_split(table, SPEC.cutoff)
 
 
@@ -118,7 +144,7 @@ def scores_export(spark, sf_dir):
 def metrics_payload(spark, sf_dir):
     path = new_path(spark, "metrics-json")
     table = feature_rows(spark, sf_dir)
-    measured = metrics.model_metrics(nb_scored(spark, sf_dir, table))
+    measured = metrics.metrics_of(ranked(nb_scored(spark, sf_dir, table)))
     tables.write_metrics(reports.training_payload(table, measured, SPEC.cutoff), path)
     return rounded(tables.read_metrics(spark, path))
 
@@ -171,8 +197,8 @@ def leakage_audit_regex(spark, sf_dir):
 
 
 def leakage_audit_early(spark, sf_dir):
-    """Session columns that the early-window word policy forbids."""
-    return quality.leakage_audit_regex(session_rows(spark, sf_dir), EARLY_LEAKAGE_WORDS)
+    """Columns of the early-window table that its word policy forbids: none."""
+    return quality.leakage_audit_regex(early_table(spark, sf_dir), EARLY_LEAKAGE_WORDS)
 
 
 def leakage_audit_tokens(spark, sf_dir):
@@ -236,7 +262,7 @@ def logistic_scores(spark, sf_dir):
 
 
 def logistic_metrics(spark, sf_dir):
-    return rounded(metrics.model_metrics(logistic_scored(spark, sf_dir)), 5)
+    return rounded(metrics.metrics_of(ranked(logistic_scored(spark, sf_dir))), 5)
 
 
 def logistic_history(spark, sf_dir):
@@ -286,7 +312,7 @@ def lift_ntile_nb(spark, sf_dir):
 
 
 def calibration_fixed_width_nb(spark, sf_dir):
-    return rounded(metrics.calibration_fixed_width(nb_scored(spark, sf_dir)))
+    return rounded(metrics.calibration_fixed_width(nb_scored(spark, sf_dir)).drop("model"))
 
 
 # --- early behaviour --------------------------------------------------------------------------------------------------
@@ -324,7 +350,7 @@ def early_gbt_scores(spark, sf_dir):
 def early_gbt_lift(spark, sf_dir):
     train, test = early_split(spark, sf_dir)
     scored = early_models.score_early(early_models.fit_early_trees(train), test)
-    return metrics.lift_ntile(ranking.rank_scores(scored)).drop("model")
+    return metrics.lift_ntile(ranked(scored)).drop("model")
 
 
 def early_gbt_explain(spark, sf_dir):
@@ -360,7 +386,7 @@ def dashboard_calibration_tidy(spark, sf_dir):
 
 def dashboard_model_controls(spark, sf_dir):
     table = feature_rows(spark, sf_dir)
-    scored = metrics.model_metrics(nb_scored(spark, sf_dir, table))
+    scored = metrics.metrics_of(ranked(nb_scored(spark, sf_dir, table)))
     return reports.dashboard_model_controls(table, scored, NAIVE_BAYES, SPEC.cutoff)
 
 
@@ -379,17 +405,92 @@ def score_distribution(spark, sf_dir):
 
 
 def segment_metrics(spark, sf_dir):
-    return rounded(monitoring.segment_metrics(nb_scored(spark, sf_dir), "device_category"))
+    return rounded(metrics.metrics_of(ranked(nb_scored(spark, sf_dir), ("model", "device_category"))))
 
 
 def experiment_assignment(spark, sf_dir):
-    return monitoring.assign_arms(nb_ranked(spark, sf_dir))
+    return monitoring.assign_arms(nb_ranked(spark, sf_dir)).drop("model")
 
 
 def experiment_outcomes(spark, sf_dir):
     stored = materialize(session_rows(spark, sf_dir).select(KEY, DATE, LABEL, *START_FEATURES, "revenue"), "sessions")
     scored = nb_scored(spark, sf_dir, stored.drop("revenue"))
-    return rounded(monitoring.experiment_outcomes(monitoring.assign_arms(ranking.rank_scores(scored)), stored), 5)
+    return rounded(monitoring.experiment_outcomes(monitoring.assign_arms(ranked(scored)), stored).drop("model"), 5)
+
+
+def segment_metrics_nulls(spark, sf_dir):
+    """Segments of which one is null."""
+    scored = nb_scored(spark, sf_dir).withColumn("segment", F.expr("nullif(device_category, 'mobile')"))
+    return rounded(metrics.metrics_of(ranked(scored, ("model", "segment"))))
+
+
+# --- models that SQL can compute exactly, and models read back --------------------------------------------------------
+
+def nb_comparison(spark, sf_dir):
+    return rounded(two_nb_metrics(spark, sf_dir))
+
+
+def nb_selected(spark, sf_dir):
+    return rounded(metrics.best_model(two_nb_metrics(spark, sf_dir)))
+
+
+def nb_dashboard_comparison(spark, sf_dir):
+    return rounded(reports.dashboard_model_comparison(two_nb_metrics(spark, sf_dir)))
+
+
+def nb_evaluation(spark, sf_dir):
+    """Precision, recall, accuracy, F1, log loss and AUC of two models at a threshold near the base rate."""
+    scored = two_nb_models(spark, sf_dir).withColumn("predicted_probability", F.round("predicted_probability", 9))
+    return rounded(early_models.evaluate(scored, 0.12))
+
+
+def class_weights(spark, sf_dir):
+    train, _ = early_split(spark, sf_dir)
+    weighted, _ = early_models.with_class_weights(train)
+    return rounded(weighted.groupBy(LABEL).agg(
+        F.count(F.lit(1)).alias("sessions"), F.max(early_models.WEIGHT).alias("class_weight")))
+
+
+def nb_reloaded_scores(spark, sf_dir):
+    """Scores of a model that was saved and read back."""
+    train, test = quality.chrono_split(feature_rows(spark, sf_dir), SPEC.cutoff)
+    path = new_path(spark, "naive-bayes")
+    naive_bayes.fit_naive_bayes(train).save(path)
+    scored = naive_bayes.score_naive_bayes(naive_bayes.load_naive_bayes(spark, path), test)
+    return rounded(scored.select(KEY, DATE, LABEL, "predicted_probability"))
+
+
+def logistic_certificate(spark, sf_dir):
+    """Per bucket: how often training sessions fall into it, and whether the saved and reloaded model is at the optimum there
+    (the objective's derivative by this weight, taken from the raw rows, is below 1e-6)."""
+    encoded = materialize(features.hash_encode(feature_rows(spark, sf_dir)), "encoded")
+    train, _ = quality.chrono_split(encoded, SPEC.cutoff)
+    path = new_path(spark, "logistic")
+    logistic.fit_hashed_logistic(train).save(path)
+    model = logistic.load_hashed_logistic(spark, path)
+    columns = [features.bucket_column(f) for f in START_FEATURES]
+    scored = logistic.score_hashed_logistic(model, train).select(KEY, "predicted_probability").join(train, KEY)
+    total = train.count()
+    hits = scored.select(F.explode(F.array(*columns)).alias("bucket"),
+                         (F.col("predicted_probability") - F.col(LABEL)).alias("error"))
+    slope = F.sum("error") / total + LOGISTIC_L2 * F.max("weight")
+    return hits.join(model.weight_table(), "bucket").groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("hits"), (F.abs(slope) < 1e-6).alias("optimal"))
+
+
+def lift_csv(spark, sf_dir):
+    path = new_path(spark, "lift-csv")
+    tables.write_small_csv(rounded(metrics.decile_table(nb_ranked(spark, sf_dir)).drop("model")), "score_decile", path)
+    return spark.read.option("header", True).schema(
+        "score_decile int, sessions long, purchases long, avg_score double, observed_rate double, lift_vs_average double").csv(path)
+
+
+def session_catalog(spark, sf_dir):
+    """Column names and types of the stored session table, from the catalog."""
+    database = "visitloom_sessions"
+    table = f"sessions_{spark.sparkContext.applicationId.replace('-', '_').lower()}"
+    tables.save_as_table(session_rows(spark, sf_dir), database, table)
+    return tables.column_catalog(spark, f"{database}.{table}")
 
 
 QUERIES = {
@@ -409,5 +510,7 @@ QUERIES = {
         dashboard_kpis, dashboard_funnel, dashboard_model_kpis, dashboard_model_comparison, dashboard_lift_deciles,
         dashboard_calibration_tidy, dashboard_model_controls,
         input_coverage, feature_drift, score_distribution, segment_metrics, experiment_assignment, experiment_outcomes,
+        segment_metrics_nulls, nb_comparison, nb_selected, nb_dashboard_comparison, nb_evaluation, class_weights,
+        nb_reloaded_scores, logistic_certificate, lift_csv, session_catalog,
     )},
 }

@@ -34,7 +34,8 @@ def scan_events(spark: SparkSession, root: str, first_day: str | None = None, la
 
     The explicit schema keeps the day a string; the day filter selects folders before any file is opened.
     """
-    events = spark.read.schema(EVENT_SCHEMA).parquet(root)
+    stored = set(spark.read.parquet(root).columns)  # from one footer: a tracker may have no event_id
+    events = spark.read.schema(T.StructType([f for f in EVENT_SCHEMA if f.name != "event_id" or f.name in stored])).parquet(root)
     if first_day is not None:
         events = events.where(F.col("event_date") >= first_day)
     if last_day is not None:
@@ -43,17 +44,19 @@ def scan_events(spark: SparkSession, root: str, first_day: str | None = None, la
 
 
 def write_events(events: DataFrame, root: str) -> None:
-    """Store nested events by day; rows of one day are spread over files by the writer's own task split."""
-    events.write.mode("overwrite").partitionBy("event_date").parquet(root)
+    """Store nested events by day, a few files for each day; adaptive execution splits large days."""
+    events.hint("rebalance", "event_date").write.mode("overwrite").partitionBy("event_date").parquet(root)
 
 
 def flatten_events(events: DataFrame, spec: SessionSpec = DEFAULT_SPEC) -> DataFrame:
     """One flat row per event that belongs to a session; events without a session id are dropped.
 
-    A tracker without ``event_id`` gets a stable one from the row's content, used only to break timestamp ties.
+    A tracker without ``event_id`` gets a stable one from the columns read here, used only to break timestamp ties.
     """
     tie = F.col("event_id") if "event_id" in events.columns else F.xxhash64(
-        "event_name", F.to_json("event_params"), F.to_json("traffic_source"), F.to_json("device"), F.to_json("geo"))
+        "event_name", int_param("event_params", spec.engagement_param), F.col("traffic_source.source"),
+        F.col("traffic_source.medium"), F.col("device.category"), F.col("device.operating_system"), F.col("geo.country"),
+        F.col("ecommerce.transaction_id"), F.col("ecommerce.purchase_revenue"))
     return events.select(
         "user_pseudo_id",
         int_param("event_params", spec.session_param).alias("ga_session_id"),

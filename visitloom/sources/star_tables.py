@@ -17,7 +17,6 @@ NUMBER = """CAST(btrim(props, '{"k: }') AS INT)"""
 
 
 def nested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     events = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
     customer = spark.read.schema(CUSTOMER).parquet(f"{sf_dir}/customer.parquet")
     nation = spark.read.schema(NATION).parquet(f"{sf_dir}/nation.parquet")
@@ -37,7 +36,8 @@ def _param(key: str, value: str) -> str:
 
 MAPPING = [
     "date_format(ts, 'yyyyMMdd') AS event_date",
-    "unix_micros(CAST(ts AS TIMESTAMP)) AS event_timestamp",
+    # From one clock without a zone to another: the session's time zone has no part in it.
+    "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) AS event_timestamp",
     "event_id",
     """CASE event_type
         WHEN 'click' THEN CASE WHEN k < 50 THEN 'page_view' WHEN k < 70 THEN 'scroll'

@@ -34,7 +34,7 @@ METRIC_SCHEMA = _struct(("string", "model metric"), ("double", "value"))
 
 def write_sessions(sessions: DataFrame, path: str) -> None:
     """Create or replace the session table, one folder per day, so that a date split reads only its own days."""
-    sessions.write.mode("overwrite").partitionBy(DATE).parquet(path)
+    sessions.hint("rebalance", DATE).write.mode("overwrite").partitionBy(DATE).parquet(path)
 
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
@@ -45,6 +45,7 @@ def save_as_table(df: DataFrame, database: str, table: str, partition_by: tuple[
     """Create the database if needed, then create or replace ``database.table``."""
     spark = df.sparkSession
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    df = df.hint("rebalance", *partition_by) if partition_by else df
     df.write.mode("overwrite").partitionBy(*partition_by).saveAsTable(f"{database}.{table}")
     return spark.table(f"{database}.{table}")
 
@@ -58,21 +59,33 @@ def column_catalog(spark: SparkSession, table: str) -> DataFrame:
 def read_session_csv(spark: SparkSession, path: str) -> DataFrame:
     """Session export as CSV, plain or gzip by suffix; only an empty field is null.
 
-    A gzip file is read by one task, so its rows are spread before any further work.
+    Columns are found by the names of the header, which all files must share, in any order. A missing column raises at once,
+    a malformed line or value when it is read. A gzip file is read by one task, so its rows are spread before any further work.
     """
-    rows = spark.read.option("header", True).schema(SESSION_SCHEMA).csv(path)
+    names = spark.read.option("header", True).csv(path).columns
+    if absent := sorted(set(SESSION_SCHEMA.fieldNames()) - set(names)):
+        raise ValueError(f"columns missing in {path}: {absent}")
+    as_text = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    text = spark.read.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").schema(as_text).csv(path)
+    rows = text.select(*[_parsed(f) for f in SESSION_SCHEMA])
     return rows.repartition(F.col(KEY)) if path.endswith(".gz") else rows
 
 
+def _parsed(field: T.StructField):
+    """The text as the field's type; what is no such value raises, whatever the session's settings."""
+    text, value = F.col(field.name), F.col(field.name).try_cast(field.dataType)
+    message = F.concat(F.lit(f"{field.name}: no {field.dataType.simpleString()}: "), text)
+    return F.when(text.isNotNull() & value.isNull(), F.raise_error(message)).otherwise(value).alias(field.name)
+
+
 def write_session_csv(sessions: DataFrame, path: str, compression: str = "none") -> None:
     sessions.write.mode("overwrite").option("header", True).option("compression", compression).csv(path)
 
 
 def query_csv(spark: SparkSession, path: str) -> DataFrame:
     """Sessions, conversion rate and revenue straight from a CSV export."""
-    read_session_csv(spark, path).createOrReplaceTempView("session_export")
-    return spark.sql(
-        "SELECT count(*) AS sessions, avg(converted) AS conversion_rate, sum(revenue) AS revenue FROM session_export")
+    return read_session_csv(spark, path).agg(
+        F.count(F.lit(1)).alias("sessions"), F.avg("converted").alias("conversion_rate"), F.sum("revenue").alias("revenue"))
 
 
 def write_scores(scored: DataFrame, path: str) -> None:

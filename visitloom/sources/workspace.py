@@ -37,6 +37,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 def write_table(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> str:
     """Write ``df`` as a new Parquet table and return its path."""
     path = new_path(df.sparkSession, name)
+    if partition_by:  # a few files for each folder, however many tasks; large folders are split
+        df = df.hint("rebalance", *partition_by)
     df.write.partitionBy(*partition_by).parquet(path)
     return path
 
