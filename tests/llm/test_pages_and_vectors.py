@@ -113,6 +113,23 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.nearest(df.where("vec_id = 0"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_hot_vector_is_cut_before_the_shuffle_and_searched_once(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [2.0] * 8) if i % 3 == 0 else (i, rng.normal(size=8).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    once = ann._once(ann.usable(df), F.col("vec_id") % 50 == 0, 5)
+    assert once._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2  # before and after the shuffle
+    hot = [r.vec_id for r in once.where(F.col("is_query") | (F.col("vec_id") % 3 == 0)).collect() if r.vec_id % 3 == 0]
+    assert sorted(hot) == [0, 3, 6, 9, 12, 15]
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0, block=64).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert sorted(got) == list(range(0, 1500, 50))
+    for q in range(0, 1500, 150):
+        want = [i for i in (0, 3, 6, 9, 12, 15) if i != q][:5]
+        assert [v for _, v, _ in sorted(got[q])] == want and all(abs(s - 1) < 1e-12 for _, _, s in got[q])
+
+
 def test_hilbert_curve_visits_neighbours():
     side = 8
     grid = np.array([(x, y, z) for x in range(side) for y in range(side) for z in range(side)])

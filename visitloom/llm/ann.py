@@ -10,7 +10,8 @@ the window is the smallest that holds the wanted share of them in at least one o
 windows, up to all rows, and the result says how wide it was (``window_of``).
 
 Of equal vectors only as many with the smallest ids stay as could ever be returned; that loses nothing, as ties go to smaller
-ids, and a vector that a third of all rows share takes no more room than another.
+ids. Queries with equal vectors are searched once, for one neighbour more than wanted, and each then leaves itself out. So a
+vector that a third of all rows share takes no more room than another, in the index and among the queries.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without id; the
 length of vectors is the most frequent one (the longest of those), others take no part; rows that repeat an id take part once,
@@ -27,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from visitloom.llm.common import global_positions
 from visitloom.sources.workspace import materialize
@@ -84,8 +86,13 @@ def curve_numbers(unit: np.ndarray, curves: int = CURVES) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+def _matrix(packed: list[bytes], kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), kind).reshape(len(packed), -1).astype(np.float64)
+
+
+def _kind(vectors: DataFrame, vector: str) -> str:
+    """How components are stored: as they came if they are floats, which loses nothing, else as doubles."""
+    return "<f4" if vectors.schema[vector].dataType.elementType == T.FloatType() else "<f8"
 
 
 def _exact(query: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -94,17 +101,16 @@ def _exact(query: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 
 def _best(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple]:
-    """(query, id, score) of the k nearest rows to each query, without its own. Scores are exact cosines."""
+    """(query, id, score) of the k nearest rows to each query, its own among them. Scores are exact cosines."""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     out = []
     for at in range(0, len(queries), 256):
         some = queries[at: at + 256]
         near = (some / np.linalg.norm(some, axis=1, keepdims=True)) @ unit.T
         for i, row in enumerate(near):
-            row[ids == query_ids[at + i]] = -np.inf
             few = min(k, len(row))
             least = np.partition(row, len(row) - few)[len(row) - few] - 1e-9  # with all that rounding could have put in
-            picked = np.flatnonzero((row >= least) & (row > -np.inf))
+            picked = np.flatnonzero(row >= least)
             scores = _exact(some[i], vectors[picked])
             first = np.lexsort((ids[picked], -scores))[:k]
             out += [(int(query_ids[at + i]), int(ids[picked[j]]), float(scores[j])) for j in first]
@@ -127,15 +133,15 @@ def _top(found: DataFrame, k: int) -> DataFrame:
 
 
 def usable(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id and the components as doubles in bytes, of the rows that take part."""
-    values = F.col(vector).cast("array<double>")
-    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), values.alias("v")).where(
+    """vec_id and the components in bytes, of the rows that take part."""
+    kind = _kind(vectors, vector)
+    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).alias("v")).where(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.exists("v", lambda x: x != 0)
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = [np.asarray(v, np.float64).tobytes() for v in b.column(1).to_pylist()]
+            flat = [np.asarray(v, kind).tobytes() for v in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(flat, pa.binary())], ["vec_id", "v"])
 
     once = rows.mapInArrow(packed, "vec_id long, v binary").groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -144,12 +150,12 @@ def usable(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embeddi
     return stored.where(F.octet_length("v") == (size["size"] if size else 0))
 
 
-def _orderings(candidates: DataFrame, curves: int) -> DataFrame:
+def _orderings(candidates: DataFrame, curves: int, kind: str) -> DataFrame:
     """curve, vec_id, pos, group_rows: the place of each vector in each ordering."""
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                matrix = _matrix(b.column(1))
+                matrix = _matrix(b.column(1).to_pylist(), kind)
                 numbers = curve_numbers(matrix / np.linalg.norm(matrix, axis=1, keepdims=True), curves)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.tile(np.arange(curves), b.num_rows), pa.int32()), pa.array(numbers.ravel()),
@@ -159,23 +165,24 @@ def _orderings(candidates: DataFrame, curves: int) -> DataFrame:
     return global_positions(rows, "curve", ["number", "vec_id"], "hilbert").select("curve", "vec_id", "pos", "group_rows")
 
 
-def _brute_force(candidates: DataFrame, queries: list[tuple[int, bytes]], k: int) -> DataFrame:
-    ids, matrix = np.array([q[0] for q in queries]), np.stack([np.frombuffer(q[1], np.float64) for q in queries])
+def _brute_force(candidates: DataFrame, queries: list[tuple[int, bytes]], k: int, kind: str) -> DataFrame:
+    ids, matrix = np.array([q[0] for q in queries]), _matrix([q[1] for q in queries], kind)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield _found(_best(b.column(0).to_numpy(), _matrix(b.column(1)), ids, matrix, k))
+                yield _found(_best(b.column(0).to_numpy(), _matrix(b.column(1).to_pylist(), kind), ids, matrix, k))
 
     return _top(candidates.select("vec_id", "v").mapInArrow(scored, _FOUND), k)
 
 
-def window_of(places: DataFrame, candidates: DataFrame, queries: DataFrame, k: int, sample: int = SAMPLE, share: float = SHARE) -> int:
+def window_of(places: DataFrame, candidates: DataFrame, queries: DataFrame, k: int, kind: str, sample: int = SAMPLE,
+              share: float = SHARE) -> int:
     """The smallest window that holds ``share`` of the true neighbours of a sample of queries in at least one ordering."""
     some = [(r.vec_id, bytes(r.v)) for r in queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()]
     if not some:
         return 0
-    true = _brute_force(candidates, some, k).select("query_id", "vec_id")
+    true = _brute_force(candidates, some, k + 1, kind).where("query_id != vec_id").select("query_id", "vec_id")
     of_query = queries.sparkSession.createDataFrame([(s[0],) for s in some], "query_id long").join(
         places.select("curve", F.col("vec_id").alias("query_id"), F.col("pos").alias("query_pos")), "query_id")
     away = of_query.join(true, "query_id").join(places, ["curve", "vec_id"]).groupBy("query_id", "vec_id").agg(
@@ -184,17 +191,35 @@ def window_of(places: DataFrame, candidates: DataFrame, queries: DataFrame, k: i
     return int(ordered[min(len(ordered) - 1, int(np.ceil(share * len(ordered))) - 1)]) if ordered else 0
 
 
+def _once(rows: DataFrame, is_query, k: int) -> DataFrame:
+    """vec_id, v, is_query: the k + 1 smallest ids of each vector (Spark keeps so many in each task before it shuffles); the
+    first of them stands for all queries with that vector, if there are any."""
+    of_vector = Window.partitionBy("v").orderBy("vec_id")
+    first = rows.withColumn("n", F.row_number().over(of_vector)).where(F.col("n") <= k + 1)
+    asked = rows.where(is_query).select("v").distinct().withColumn("asked", F.lit(True))
+    return first.join(asked, "v", "left").select(
+        "vec_id", "v", ((F.col("n") == 1) & F.coalesce("asked", F.lit(False))).alias("is_query"))
+
+
+def _of_each_query(found: DataFrame, candidates: DataFrame, asking: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: what was found for a vector, for each query that has it, without its own row."""
+    lists = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(  # k + 1 at most
+        (-F.col("score")).alias("minus"), "vec_id"))).alias("near"))
+    of_vector = materialize(lists.join(candidates.where("is_query").select(F.col("vec_id").alias("query_id"), "v"), "query_id")
+                            .select("v", "near"), "found")
+    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    return asking.select(F.col("vec_id").alias("query_id"), "v").join(of_vector, "v").select(
+        "query_id", F.posexplode(others).alias("place", "other")).select(
+            "query_id", (F.col("place") + 1).cast("int").alias("rank"), "other.vec_id", (-F.col("other.minus")).alias("score"))
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 5, curves: int = CURVES, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score, window. ``is_query``: a condition on ``vec_id``."""
+    kind = _kind(vectors, "embedding")
     rows = usable(vectors)
-    same = Window.partitionBy("v").orderBy("vec_id")
-    # k + 1 of equal vectors: one of them may be the query itself. Spark cuts to so many in each task before it shuffles.
-    candidates = materialize(
-        rows.withColumn("n", F.row_number().over(same)).where((F.col("n") <= k + 1) | is_query).select(
-            "vec_id", "v", is_query.alias("is_query")), "candidates")
-    places = materialize(_orderings(candidates, curves), "places")
-    queries = candidates.where("is_query").select("vec_id", "v")
-    window = window_of(places, candidates, queries, k)
+    candidates = materialize(_once(rows, is_query, k), "candidates")
+    places = materialize(_orderings(candidates, curves, kind), "places")
+    window = window_of(places, candidates, candidates.where("is_query").select("vec_id", "v"), k, kind)
     placed = places.join(candidates, "vec_id").withColumn("block", F.expr(f"pos div {block}"))
     reach = F.sequence(F.expr(f"greatest(pos - {window}, 0) div {block}"),
                        F.expr(f"least(pos + {window}, group_rows - 1) div {block}"))
@@ -209,11 +234,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, curves: int = CURVES, bloc
     def block_scores(group: pd.DataFrame) -> pd.DataFrame:
         asks = group["asks"].to_numpy()
         ids = group["vec_id"].to_numpy()
-        matrix = np.frombuffer(b"".join(group["v"]), np.float64).reshape(len(group), -1)
-        found = _best(ids[~asks], matrix[~asks], ids[asks], matrix[asks], k) if asks.any() and not asks.all() else []
+        matrix = _matrix(group["v"].tolist(), kind)
+        found = _best(ids[~asks], matrix[~asks], ids[asks], matrix[asks], k + 1) if asks.any() and not asks.all() else []
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype(
             {"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    found = members.union(asking).groupBy("curve", "block", "asker").applyInPandas(block_scores, _FOUND)
-    return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score",
-                                 F.lit(window).cast("long").alias("window"))
+    found = _top(members.union(asking).groupBy("curve", "block", "asker").applyInPandas(block_scores, _FOUND), k + 1)
+    return _of_each_query(found, candidates, rows.where(is_query), k).withColumn("window", F.lit(window).cast("long"))
