@@ -88,11 +88,12 @@ class Packer:
     whole: list = field(default_factory=list)
 
     def add(self, doc, ids: bytes) -> None:
-        rest = Rest(doc, ids, 0, len(ids) // 4)
-        while len(rest) >= self.window:
-            self.whole.append([self._piece(rest.take(self.window))])
-        if len(rest):
-            self.pool.add(rest)
+        tokens = len(ids) // 4
+        whole = tokens - tokens % self.window
+        for start in range(0, whole, self.window):
+            self.whole.append([self._piece(Rest(doc, ids[4 * start: 4 * (start + self.window)], start, tokens))])
+        if whole < tokens:
+            self.pool.add(Rest(doc, ids[4 * whole:], whole, tokens))
 
     def pack(self, last: bool) -> list[tuple]:
         """Rows of all whole windows; with ``last`` also of the rest, in sequences of shorter tiers."""
