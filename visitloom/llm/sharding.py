@@ -25,12 +25,12 @@ def interleaved(docs: DataFrame, seed: int = 17) -> DataFrame:
         F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("stratum"),
         (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary")), 1, 15), 16, 10)
-        .cast("long").alias("shuffled"))
-    order = ["shuffled", "doc_id", "size", "text_crc32"]
+        .cast("long").alias("shuffled"), F.monotonically_increasing_id().alias("row"))
+    order = ["shuffled", "doc_id", "size", "text_crc32", "row"]  # the row's place in its file lets ranges split repeated rows
     ranked = global_positions(rows, "stratum", order, "shuffled-sources")
     fraction = (2 * F.col("pos") + 1).cast("double") / (2 * F.col("group_rows")).cast("double")
-    mixed = ranked.select("doc_id", "stratum", "size", "text_crc32", "shuffled", fraction.alias("fraction"), F.lit(0).alias("all_rows"))
-    return global_positions(mixed, "all_rows", ["fraction", "stratum", *order], "interleaved").drop("all_rows", "shuffled")
+    mixed = ranked.select("doc_id", "stratum", "size", "text_crc32", "shuffled", "row", fraction.alias("fraction"), F.lit(0).alias("all_rows"))
+    return global_positions(mixed, "all_rows", ["fraction", "stratum", *order], "interleaved").drop("all_rows", "shuffled", "row")
 
 
 def shard(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
