@@ -1,5 +1,6 @@
 """Operators over documents against plain versions, and their edge cases."""
 
+import array
 import base64
 import collections
 import gzip
@@ -158,7 +159,8 @@ def test_index_persists_and_needs_no_shuffle(spark, small, tmp_path):
     path = str(tmp_path / "index")
     first = exact.DigestIndex(spark, path, buckets=4)
     kept = exact.distinct_documents(small.where("doc_id % 2 = 0"), first).count()
-    again = exact.DigestIndex(spark, path, buckets=4)
+    again = exact.DigestIndex(spark, path, buckets=32)
+    assert again.buckets == 4  # the number it was made with
     assert exact.distinct_documents(small.where("doc_id % 2 = 0"), again).count() == 0
     more = exact.distinct_documents(small, again).count()
     assert kept + more == len(plain_exact(texts_of(small))) == again.rows().count()
@@ -223,6 +225,15 @@ def test_packing(spark, odd, small, nothing):
     assert packing.pack_documents(nothing, packing.public_word_pieces, end_id=2).count() == 0
 
 
+def test_one_long_document_is_cut_gaplessly():
+    ids = array.array("I", range(100_003)).tobytes()
+    packer = packing.Packer(512, 4, 0, step=8)
+    packer.add(7, ids)
+    rows = sorted(packer.pack(last=True), key=lambda r: r[1])
+    assert [r[1] for r in rows] == [sum(x[2] for x in rows[:i]) for i in range(len(rows))] and sum(r[2] for r in rows) == 100_003
+    assert b"".join(r[9] for r in rows) == ids and all(r[4] == 100_003 for r in rows)
+
+
 def test_packing_in_blocks_balances_steps():
     rng = random.Random(2)
     packer, rows = packing.Packer(512, 4, 0, step=8), []
@@ -304,6 +315,9 @@ def test_shards_match_the_mixture(spark, small, odd, nothing):
     got = sharding.shard(odd).collect()
     assert len(got) == len(ODD) and {(r.size, r.text_crc32) for r in got if r.doc_id == 3} == {(1, 0)}
     assert sharding.shard(nothing).count() == 0
+    repeated = spark.range(300).selectExpr("1L AS doc_id", "'a' AS text", "'s' AS source")
+    got = sharding.shard(repeated).collect()
+    assert sorted((r.shard, r.slot) for r in got) == sorted((i * 8 // 300, i - -(-(i * 8 // 300) * 300 // 8)) for i in range(300))
 
 
 def test_sharding_is_native_and_written(spark, small, tmp_path):

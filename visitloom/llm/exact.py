@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,16 +30,29 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.regexp_replace(text, f"{BLANK}+", ""), 256))
 
 
+def _buckets_of(spark: SparkSession, path: str, wanted: int) -> int:
+    """The stored number of buckets; ``wanted``, which is then stored, where there is none."""
+    try:
+        return spark.read.schema("buckets INT").parquet(path).first()["buckets"]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    spark.range(1).select(F.lit(wanted).alias("buckets")).write.parquet(path)
+    return wanted
+
+
 class DigestIndex:
     """Digests met so far, with the id and length of the row that stays for each."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
-        """Opens the index at ``path`` (a shared folder) or makes it there. ``buckets`` holds for the index's life."""
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        """Opens the index at ``path`` (a shared folder) or makes it there. A new index has ``buckets`` buckets, by default as
+        many as the session has shuffle partitions; an index that exists keeps its number, which is stored beside it."""
+        self.spark = spark
         self.path = path or new_path(spark, "digest-index")
+        self.buckets = _buckets_of(spark, f"{self.path}-buckets", buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.table = "digest_index_" + hashlib.md5(self.path.encode()).hexdigest()
         spark.sql(f"CREATE TABLE IF NOT EXISTS {self.table} ({_COLUMNS}) USING parquet "
-                  f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'")
+                  f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
