@@ -8,6 +8,7 @@ import hashlib
 import json
 import random
 import urllib.parse
+import weakref
 import zlib
 
 import numpy as np
@@ -19,6 +20,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from visitloom.llm import bytebpe, exact, lexicon, packing, queries, secrets, sharding, simhash, substring, toxicity, wordpieces
+from visitloom.llm.common import keep_rows, row_hash
 from visitloom.llm.components import connected_components
 
 SMALL = "/root/testdata/sf0.001"
@@ -155,6 +157,18 @@ def test_exact_dedup(spark, odd, small, nothing):
     assert exact.DigestIndex(spark).add(nothing).count() == 0 and exact.distinct_documents(nothing).count() == 0
 
 
+def test_rows_apart_by_nulls_and_nested_columns_alone(spark):
+    docs = spark.sql("""SELECT 1L AS doc_id, 'text' AS text, a AS `a.b`, b AS `c``d`, map('k', a) AS m, array(a, b) AS l
+                        FROM VALUES ('x', NULL), (NULL, 'x'), (NULL, NULL), ('', NULL) AS t(a, b)""")
+    assert docs.select(row_hash(docs)).distinct().count() == 4
+    assert docs.select("doc_id", "text", "`a.b`", "`c``d`").transform(lambda d: d.select(row_hash(d))).distinct().count() == 4
+    hashes = docs.select("doc_id", row_hash(docs).alias("row_hash"))
+    assert keep_rows(docs, hashes).count() == 4
+    assert exact.distinct_documents(docs).count() == 1 and simhash.one_of_each_group(docs).count() == 1
+    for out in (secrets.redact_documents(docs), substring.deduplicate_substrings(docs)):
+        assert out.columns[:6] == docs.columns and out.count() == 4
+
+
 def test_index_persists_and_needs_no_shuffle(spark, small, tmp_path):
     path = str(tmp_path / "index")
     first = exact.DigestIndex(spark, path, buckets=4)
@@ -326,6 +340,9 @@ def test_sharding_is_native_and_written(spark, small, tmp_path):
     sharding.write_shards(small, str(tmp_path / "shards"))
     back = spark.read.parquet(str(tmp_path / "shards"))
     assert sorted(texts_of(back)) == sorted(texts_of(small)) and back.select("shard").distinct().count() == 8
+    sharding.write_shards(small.selectExpr("*", "9 AS shard", "'x' AS to_doc"), str(tmp_path / "clash"))
+    back = spark.read.parquet(str(tmp_path / "clash"))
+    assert back.where("shard = 9 AND to_doc = 'x'").count() == small.count() and back.select("shard_").distinct().count() == 8
 
 
 # ---- secrets
@@ -373,6 +390,20 @@ def test_scan_ends_on_cycles_and_bombs(monkeypatch):
     assert secrets.scan(bomb)[1][0][:2] == (0, 0)
 
 
+def test_layers_of_one_depth_are_made_one_at_a_time(monkeypatch):
+    packed = [base64.b64encode(zlib.compress(f"secret={i:012d}xyz {'z' * 10**5}".encode())).decode() for i in range(20)]
+    alive, most = weakref.WeakSet(), []
+
+    class Counted(secrets.Layer):
+        def __init__(self, *parts):
+            super().__init__(*parts)
+            alive.add(self)
+            most.append(len(alive))
+
+    monkeypatch.setattr(secrets, "Layer", Counted)
+    assert len(secrets.scan(" ".join(packed))[1]) == 20 and max(most) <= 4
+
+
 def test_secret_tables(spark, odd, nothing):
     assert secrets.secret_spans(odd).count() == len(ODD) and secrets.secret_spans(nothing).count() == 0
     docs = spark.createDataFrame([(1, f"x {KEY} y", 3), (2, None, None), (3, "clean", 5)], "doc_id long, text string, n_chars int")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from visitloom.sources.workspace import materialize
 
@@ -15,9 +16,23 @@ def whole_text(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, which may hold dots or backticks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def row_hash(df: DataFrame) -> Column:
-    """64 bits of all columns of a row; with ``doc_id`` beside it, it tells rows of one id apart."""
-    return F.xxhash64(*[df[c] for c in sorted(df.columns)])
+    """64 bits of all columns of a row; with ``doc_id`` beside it, it tells rows of one id apart.
+
+    Spark's hash passes over nulls, so which columns are null is hashed too. Nested columns, some of which it does not
+    take, are hashed as JSON.
+    """
+    parts = []
+    for field in sorted(df.schema.fields, key=lambda f: f.name):
+        column = named(field.name)
+        nested = isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))
+        parts += [F.isnull(column), F.to_json(F.struct(column)) if nested else column]
+    return F.xxhash64(*parts)
 
 
 def global_positions(df: DataFrame, group: str, order: list, name: str) -> DataFrame:

@@ -3,8 +3,9 @@
 The text is the first layer. A worklist takes a layer, scans it, and unwraps what is encoded in it: percent escapes and
 Unicode escapes give a layer of the same text with the escapes replaced; a base64 run gives a layer of its own, decompressed
 first if it is compressed. New layers go back on the list until none is left. A layer that was met before is not taken
-again, so the list ends. Every character of a layer carries the span of the text it came from, so what is found at any depth
-is a span of the original text: of the escapes themselves, or of the whole base64 run.
+again, so the list ends. Layers of base64 runs are made one at a time, so many compressed ones never lie in memory together.
+Every character of a layer carries the span of the text it came from, so what is found at any depth is a span of the
+original text: of the escapes themselves, or of the whole base64 run.
 
 Fixed kinds: ``assign`` (a key word, ``:`` or ``=``, a value of 12 or more characters), ``access`` (``AKIA`` and capitals or
 digits, 18 or more in all), ``hex`` (16 or more lower-case hex digits), leftmost and not overlapping per kind. Matches in
@@ -31,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import fresh_name, whole_text
+from visitloom.llm.common import fresh_name, named, whole_text
 
 KINDS = ("assign", "access", "hex")
 _KEYS = ("password", "passwd", "secret", "token", "api")
@@ -167,21 +168,26 @@ def _base64_layers(layer: Layer) -> Iterator[Layer]:
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and all spans, as sorted (start, kind, end) of the original text."""
     base = sorted(find(text))
-    everything, work, met = set(base), [Layer(text, [(0, 0, len(text), True)])] if text else [], set()
+    everything, work, met = set(base), [Layer(text, [(0, 0, len(text), True)])], set()  # of layers, and of iterators over them
     while work:
         layer = work.pop()
+        if not isinstance(layer, Layer):
+            rest, layer = layer, next(layer, None)
+            if layer is None:
+                continue
+            work.append(rest)
+        if not layer.text:
+            continue
         key = hash(layer.text), len(layer.text), layer.origin(0, len(layer.text))
-        if not layer.text or key in met:
+        if key in met:
             continue
         met.add(key)
         if len(met) > 1:
             for start, kind, end in find(layer.text):
                 a, b = layer.origin(start, end)
                 everything.add((a, kind, b))
-        for pieces in (_percent(layer.text), _unicode(layer.text)):
-            if pieces:
-                work.append(layer.replaced(pieces))
-        work += [x for x in _base64_layers(layer) if x.text]
+        work += [layer.replaced(pieces) for pieces in (_percent(layer.text), _unicode(layer.text)) if pieces]
+        work.append(_base64_layers(layer))
     return base, sorted(everything)
 
 
@@ -224,5 +230,5 @@ def redact_documents(docs: DataFrame) -> DataFrame:
 
     out = docs.withColumn(name, redacted(docs["text"].cast("string")))
     columns = [F.col(name).alias("text") if c == "text" else F.char_length(name).cast(docs.schema[c].dataType).alias(c)
-               if c == "n_chars" else F.col(c) for c in docs.columns]
+               if c == "n_chars" else named(c) for c in docs.columns]
     return out.select(*columns)

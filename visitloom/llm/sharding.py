@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import global_positions, whole_text
+from visitloom.llm.common import fresh_name, global_positions, whole_text
 
 
 def interleaved(docs: DataFrame, seed: int = 17) -> DataFrame:
@@ -43,11 +43,12 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 17) -> None:
-    """Writes the documents as Parquet, a folder for each shard. Rows that share an id, size and checksum go together."""
+    """Writes the documents as Parquet, a folder for each shard. Rows that share an id, size and checksum go together. The
+    folders are named ``shard``, with underscores where the table has such a column."""
     keys = ["doc_id", "size", "text_crc32"]
     to = shard(docs, shards, seed).groupBy(*keys).agg(F.min("shard").alias("shard"))
-    text = whole_text(docs)
-    to = to.select(F.col("doc_id").alias("to_doc"), F.col("size").alias("to_size"), F.col("text_crc32").alias("to_crc"), "shard")
-    joined = docs.join(to, docs["doc_id"].eqNullSafe(to["to_doc"]) & (F.octet_length(text) + 1 == to["to_size"])
-                       & (F.crc32(text.cast("binary")) == to["to_crc"])).drop("to_doc", "to_size", "to_crc")
-    joined.hint("rebalance", "shard").write.partitionBy("shard").parquet(path)
+    text, names = whole_text(docs), [fresh_name(docs, n) for n in ("to_doc", "to_size", "to_crc", "shard")]
+    to = to.select(*[F.col(c).alias(n) for c, n in zip([*keys, "shard"], names)])
+    joined = docs.join(to, docs["doc_id"].eqNullSafe(to[names[0]]) & (F.octet_length(text) + 1 == to[names[1]])
+                       & (F.crc32(text.cast("binary")) == to[names[2]])).drop(*names[:3])
+    joined.hint("rebalance", names[3]).write.partitionBy(names[3]).parquet(path)

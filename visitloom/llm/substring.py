@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import fresh_name, whole_text
+from visitloom.llm.common import fresh_name, named, whole_text
 from visitloom.sources.workspace import materialize
 
 MIN_WORDS = 16
@@ -127,5 +127,5 @@ def deduplicate_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataF
 
     spans_of = F.col(names["spans"])
     out = joined.withColumn(names["cut_text"], cleaned(F.col("text").cast("string"), spans_of["start"], spans_of["stop"]))
-    kept = [F.col(names["cut_text"])["text"].alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    kept = [F.col(names["cut_text"])["text"].alias("text") if c == "text" else named(c) for c in docs.columns]
     return out.select(*kept, *[F.col(names["cut_text"])[c].alias(names[c]) for c in ("n_sentences", "n_removed", "removed_spans")])
