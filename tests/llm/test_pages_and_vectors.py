@@ -130,6 +130,46 @@ def test_hot_vector_is_cut_before_the_shuffle_and_searched_once(spark):
         assert [v for _, v, _ in sorted(got[q])] == want and all(abs(s - 1) < 1e-12 for _, _, s in got[q])
 
 
+def test_codes_bound_every_cosine_and_keep_the_nearest():
+    rng = np.random.default_rng(6)
+    for size in (1, 2, 8, 64, 768):
+        vectors, queries = rng.normal(size=(3000, size)), rng.normal(size=(300, size))
+        vectors[:100] **= 9
+        vectors[100:110] = vectors[100]
+        vectors, queries = ann._unit(vectors), ann._unit(queries)
+        true = queries @ vectors.T
+        query, row, low, high = ann.possible(ann.codes(vectors), queries, 6)
+        assert (low <= true[query, row]).all() and (true[query, row] <= high).all()
+        found = set(zip(query.tolist(), row.tolist()))
+        assert all((i, j) in found for i in range(300) for j in np.argsort(-true[i], kind="stable")[:6].tolist())
+    assert set(ann.possible(ann.codes(vectors[:3]), queries[:2], 6)[1]) == {0, 1, 2}
+
+
+def test_vectors_too_alike_for_codes_are_searched_in_full(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (np.ones(8) + 1e-3 * rng.normal(size=8) if i % 3 else rng.normal(size=8)).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    want = brute_force(rows)
+    assert set(got) == set(want)
+    for q, near in want.items():
+        assert [v for _, v, _ in sorted(got[q])] == [v for v, _ in near]
+
+
+def test_components_of_any_magnitude(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=8) * 10.0 ** (300 * (i % 3 - 1))) for i in range(120)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") % 50 == 0).collect()}
+    unit = {i: ann._unit(v[None, :] / np.abs(v).max())[0] for i, v in rows}
+    for q in (0, 50, 100):
+        want = sorted((-float(unit[q] @ unit[i]), i) for i in unit if i != q)[:5]
+        assert [got[q, n + 1][0] for n in range(5)] == [i for _, i in want]
+        assert all(abs(got[q, n + 1][1] + want[n][0]) < 1e-12 for n in range(5))
+
+
 def test_hilbert_curve_visits_neighbours():
     side = 8
     grid = np.array([(x, y, z) for x in range(side) for y in range(side) for z in range(side)])

@@ -5,6 +5,11 @@ along a Hilbert curve; Spark range-partitions the numbers and gives each vector
 cut into blocks of ``BLOCK`` places; a query goes to the blocks that its window reaches, each block is scored as one matrix
 product in its own task, and the best of all orderings are merged and ranked anew by the exact cosine.
 
+Into the blocks go short codes, a byte for each component, with a bound of what the rounding changes in any cosine. A block
+gives, of each query, all rows that can be among its nearest by these bounds, and so does the merge, so codes lose nothing;
+only what is left after the merge is looked up in full and scored. Where more than ``CROWD`` rows of a block are too alike for
+the codes to tell which are nearest, the query is sent to this block once more, with the vectors in full.
+
 The window is not guessed: for a bounded sample of queries the true neighbours are found by brute force over all vectors, and
 the window is the smallest that holds the wanted share of them in at least one ordering. Vectors without structure need wide
 windows, up to all rows, and the result says how wide it was (``window_of``).
@@ -38,6 +43,8 @@ CURVES, DIMENSIONS, BITS = 12, 8, 7
 BLOCK = 4096
 #: Blocks whose queries may come to another block in one task.
 QUERY_BLOCKS = 16
+#: Most rows of a block that are told apart after the merge, for each query; with more, the block is searched in full.
+CROWD = 32
 #: Queries of the sample and the share of their neighbours that the window must hold.
 SAMPLE, SHARE = 64, 0.97
 SEED = 11
@@ -87,7 +94,42 @@ def curve_numbers(unit: np.ndarray, curves: int = CURVES) -> np.ndarray:
 
 
 def _matrix(packed: list[bytes], kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(packed), kind).reshape(len(packed), -1).astype(np.float64)
+    """The vectors as rows, each times the power of two that puts its largest component between 1/2 and 1: cosines stay the
+    same to the last bit, and squares neither overflow nor vanish."""
+    matrix = np.frombuffer(b"".join(packed), kind).reshape(len(packed), -1).astype(np.float64)
+    return np.ldexp(matrix, -np.frexp(np.abs(matrix).max(axis=1, keepdims=True, initial=0))[1])
+
+
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+
+
+def _code_type(size: int) -> np.dtype:
+    """A unit vector is ``signs * scale``, but for ``slack`` at most in any cosine with it, single-precision sums included."""
+    return np.dtype([("scale", "<f4"), ("slack", "<f4"), ("signs", "i1", (size,))])
+
+
+def codes(unit: np.ndarray) -> np.ndarray:
+    """The short codes of unit vectors."""
+    out = np.zeros(len(unit), _code_type(unit.shape[1]))
+    out["scale"] = np.abs(unit).max(axis=1, initial=0) / 127
+    scale = out["scale"].astype(np.float64)[:, None]
+    out["signs"] = np.clip(np.rint(unit / scale), -127, 127)
+    out["slack"] = 1.001 * (np.linalg.norm(unit - out["signs"] * scale, axis=1) + (unit.shape[1] + 4) * 2.0 ** -23)
+    return out
+
+
+def possible(coded: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row, and bounds of their cosine, of all rows that can be among the k nearest to a query (unit vectors)."""
+    vectors = coded["signs"].astype(np.float32) * coded["scale"][:, None]
+    few, parts = min(k, len(coded)), []
+    for at in range(0, len(queries), 256):
+        near = queries[at: at + 256].astype(np.float32) @ vectors.T
+        low, high = near - coded["slack"], near + coded["slack"]
+        least = np.partition(low, len(coded) - few, axis=1)[:, len(coded) - few]
+        query, row = np.nonzero(high >= least[:, None])
+        parts.append((query + at, row, low[query, row], high[query, row]))
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def _kind(vectors: DataFrame, vector: str) -> str:
@@ -96,22 +138,22 @@ def _kind(vectors: DataFrame, vector: str) -> str:
 
 
 def _exact(query: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Cosines, each by the same sums whatever block it is in."""
-    return (others * query).sum(axis=1) / (np.sqrt((others * others).sum(axis=1)) * np.sqrt((query * query).sum()))
+    """Cosines with one query or with one for each row, each by the same sums whatever block it is in."""
+    return (others * query).sum(axis=1) / (np.sqrt((others * others).sum(axis=1)) * np.sqrt((query * query).sum(axis=-1)))
 
 
 def _best(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple]:
     """(query, id, score) of the k nearest rows to each query, its own among them. Scores are exact cosines."""
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = _unit(vectors)
     out = []
     for at in range(0, len(queries), 256):
         some = queries[at: at + 256]
-        near = (some / np.linalg.norm(some, axis=1, keepdims=True)) @ unit.T
+        near = _unit(some) @ unit.T
         for i, row in enumerate(near):
             few = min(k, len(row))
             least = np.partition(row, len(row) - few)[len(row) - few] - 1e-9  # with all that rounding could have put in
             picked = np.flatnonzero(row >= least)
-            scores = _exact(some[i], vectors[picked])
+            scores = _exact(some[i: i + 1], vectors[picked])
             first = np.lexsort((ids[picked], -scores))[:k]
             out += [(int(query_ids[at + i]), int(ids[picked[j]]), float(scores[j])) for j in first]
     return out
@@ -155,8 +197,7 @@ def _orderings(candidates: DataFrame, curves: int, kind: str) -> DataFrame:
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                matrix = _matrix(b.column(1).to_pylist(), kind)
-                numbers = curve_numbers(matrix / np.linalg.norm(matrix, axis=1, keepdims=True), curves)
+                numbers = curve_numbers(_unit(_matrix(b.column(1).to_pylist(), kind)), curves)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.tile(np.arange(curves), b.num_rows), pa.int32()), pa.array(numbers.ravel()),
                      pa.array(np.repeat(b.column(0).to_numpy(), curves))], ["curve", "number", "vec_id"])
@@ -165,6 +206,59 @@ def _orderings(candidates: DataFrame, curves: int, kind: str) -> DataFrame:
     return global_positions(rows, "curve", ["number", "vec_id"], "hilbert").select("curve", "vec_id", "pos", "group_rows")
 
 
+def _coded(candidates: DataFrame, kind: str) -> DataFrame:
+    """vec_id and the short code, in bytes."""
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                rows = codes(_unit(_matrix(b.column(1).to_pylist(), kind)))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], ["vec_id", "v"])
+
+    return candidates.select("vec_id", "v").mapInArrow(made, "vec_id long, v binary")
+
+
+_PAIRS = "curve int, block long, asker long, query_id long, vec_id long, low float, high float"
+_PAIR_NAMES = [f.split()[0] for f in _PAIRS.split(", ")]
+
+
+def _in_full(crowded: DataFrame, placed: DataFrame, candidates: DataFrame, k: int, kind: str) -> DataFrame:
+    """query_id, vec_id, score of the k nearest in each block, for the queries and blocks named (curve, block, asker, query_id)."""
+    keys = ["curve", "block", "asker"]
+    members = placed.join(crowded.select(*keys).distinct(), ["curve", "block"]).join(candidates.select("vec_id", "v"), "vec_id").select(
+        *keys, "vec_id", "v", F.lit(False).alias("asks"))
+    asking = crowded.withColumnRenamed("query_id", "vec_id").join(candidates.where("is_query").select("vec_id", "v"), "vec_id").select(
+        *keys, "vec_id", "v", F.lit(True).alias("asks"))
+
+    def block_scores(group: pd.DataFrame) -> pd.DataFrame:
+        asks, ids, matrix = group["asks"].to_numpy(), group["vec_id"].to_numpy(), _matrix(group["v"].tolist(), kind)
+        found = _best(ids[~asks], matrix[~asks], ids[asks], matrix[asks], k)
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+
+    return members.union(asking).groupBy(*keys).applyInPandas(block_scores, _FOUND)
+
+
+def _scored(possible_pairs: DataFrame, candidates: DataFrame, k: int, kind: str) -> DataFrame:
+    """query_id, vec_id, score of the pairs that can be among the k nearest of all blocks. A pair found in several blocks has
+    bounds in each; all hold."""
+    pairs = materialize(possible_pairs.groupBy("query_id", "vec_id").agg(F.max("low").alias("low"), F.min("high").alias("high")),
+                        "merged-pairs")
+    by_low = Window.partitionBy("query_id").orderBy(F.desc("low"), "vec_id")
+    least = pairs.select("query_id", "vec_id", "low").withColumn("n", F.row_number().over(by_low)).where(F.col("n") <= k).groupBy(
+        "query_id").agg(F.min("low").alias("least"))
+    left = pairs.join(least, "query_id").where("high >= least").select("query_id", "vec_id")
+    both = left.join(candidates.select("vec_id", "v"), "vec_id").join(
+        candidates.where("is_query").select(F.col("vec_id").alias("query_id"), F.col("v").alias("query")), "query_id")
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                queries, vectors = (_matrix(b.column(c).to_pylist(), kind) for c in (2, 3))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_exact(queries, vectors))],
+                                                 ["query_id", "vec_id", "score"])
+
+    return both.select("query_id", "vec_id", "query", "v").mapInArrow(scored, _FOUND)
+
+
 def _brute_force(candidates: DataFrame, queries: list[tuple[int, bytes]], k: int, kind: str) -> DataFrame:
     ids, matrix = np.array([q[0] for q in queries]), _matrix([q[1] for q in queries], kind)
 
@@ -220,24 +314,35 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, curves: int = CURVES, bloc
     candidates = materialize(_once(rows, is_query, k), "candidates")
     places = materialize(_orderings(candidates, curves, kind), "places")
     window = window_of(places, candidates, candidates.where("is_query").select("vec_id", "v"), k, kind)
-    placed = places.join(candidates, "vec_id").withColumn("block", F.expr(f"pos div {block}"))
+    placed = places.withColumn("block", F.expr(f"pos div {block}"))
     reach = F.sequence(F.expr(f"greatest(pos - {window}, 0) div {block}"),
                        F.expr(f"least(pos + {window}, group_rows - 1) div {block}"))
     # Queries that are near each other in the order come to a block together, a bounded number of them in one task.
     asks_of = QUERY_BLOCKS * block
     askers = F.sequence(F.expr(f"greatest(block * {block} - {window}, 0) div {asks_of}"),
                         F.expr(f"least(block * {block} + {block - 1 + window}, group_rows - 1) div {asks_of}"))
-    members = placed.select("curve", "block", F.explode(askers).alias("asker"), "vec_id", "v", F.lit(False).alias("asks"))
-    asking = placed.where("is_query").select("curve", F.explode(reach).alias("block"), F.expr(f"pos div {asks_of}").alias("asker"),
-                                             "vec_id", "v", F.lit(True).alias("asks"))
-
-    def block_scores(group: pd.DataFrame) -> pd.DataFrame:
-        asks = group["asks"].to_numpy()
-        ids = group["vec_id"].to_numpy()
-        matrix = _matrix(group["v"].tolist(), kind)
-        found = _best(ids[~asks], matrix[~asks], ids[asks], matrix[asks], k + 1) if asks.any() and not asks.all() else []
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype(
-            {"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = _top(members.union(asking).groupBy("curve", "block", "asker").applyInPandas(block_scores, _FOUND), k + 1)
-    return _of_each_query(found, candidates, rows.where(is_query), k).withColumn("window", F.lit(window).cast("long"))
+    members = placed.join(_coded(candidates, kind), "vec_id").select(
+        "curve", "block", F.explode(askers).alias("asker"), "vec_id", "v", F.lit(False).alias("asks"))
+    asking = placed.join(candidates.where("is_query").select("vec_id", "v"), "vec_id").select(
+        "curve", F.explode(reach).alias("block"), F.expr(f"pos div {asks_of}").alias("asker"), "vec_id", "v", F.lit(True).alias("asks"))
+
+    def block_pairs(group: pd.DataFrame) -> pd.DataFrame:
+        asks, ids, packed = group["asks"].to_numpy(), group["vec_id"].to_numpy(), group["v"]
+        if asks.all() or not asks.any():
+            return group.head(0).assign(query_id=0, vec_id=None, low=0.0, high=0.0)[_PAIR_NAMES]
+        queries = _unit(_matrix(packed[asks].tolist(), kind))
+        coded = np.frombuffer(b"".join(packed[~asks]), _code_type(queries.shape[1]))
+        query, row, low, high = possible(coded, queries, k + 1)
+        crowded = np.bincount(query, minlength=len(queries)) > CROWD
+        few = ~crowded[query]
+        query, row = np.concatenate([query[few], np.flatnonzero(crowded)]), row[few]
+        return pd.DataFrame({
+            "curve": group["curve"].iat[0], "block": group["block"].iat[0], "asker": group["asker"].iat[0], "query_id": ids[asks][query],
+            "vec_id": pd.Series(ids[~asks][row], dtype="Int64").reindex(range(len(query))),
+            "low": pd.Series(low[few]).reindex(range(len(query))), "high": pd.Series(high[few]).reindex(range(len(query)))})
+
+    pairs = materialize(members.union(asking).groupBy("curve", "block", "asker").applyInPandas(block_pairs, _PAIRS), "pairs")
+    crowded = pairs.where("vec_id IS NULL").select("curve", "block", "asker", "query_id")
+    scored = _scored(pairs.where("vec_id IS NOT NULL"), candidates, k + 1, kind).union(
+        _in_full(crowded, placed, candidates, k + 1, kind))
+    return _of_each_query(_top(scored, k + 1), candidates, rows.where(is_query), k).withColumn("window", F.lit(window).cast("long"))
