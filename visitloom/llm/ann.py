@@ -8,7 +8,7 @@ product in its own task, and the best of all orderings are merged and ranked ane
 Into the blocks go short codes, a byte for each component, with a bound of what the rounding changes in any cosine. A block
 gives, of each query, all rows that can be among its nearest by these bounds, and so does the merge, so codes lose nothing;
 only what is left after the merge is looked up in full and scored. Where more than ``CROWD`` rows of a block are too alike for
-the codes to tell which are nearest, the query is sent to this block once more, with the vectors in full.
+the codes to tell which are nearest, these rows and the query meet once more, with the vectors in full.
 
 The window is not guessed: for a bounded sample of queries the true neighbours are found by brute force over all vectors, and
 the window is the smallest that holds the wanted share of them in at least one ordering. Vectors without structure need wide
@@ -43,7 +43,7 @@ CURVES, DIMENSIONS, BITS = 12, 8, 7
 BLOCK = 4096
 #: Blocks whose queries may come to another block in one task.
 QUERY_BLOCKS = 16
-#: Most rows of a block that are told apart after the merge, for each query; with more, the block is searched in full.
+#: Most rows of a block that are told apart after the merge, for each query; more are compared in full within the block.
 CROWD = 32
 #: Queries of the sample and the share of their neighbours that the window must hold.
 SAMPLE, SHARE = 64, 0.97
@@ -218,23 +218,20 @@ def _coded(candidates: DataFrame, kind: str) -> DataFrame:
 
 
 _PAIRS = "curve int, block long, asker long, query_id long, vec_id long, low float, high float"
-_PAIR_NAMES = [f.split()[0] for f in _PAIRS.split(", ")]
 
 
-def _in_full(crowded: DataFrame, placed: DataFrame, candidates: DataFrame, k: int, kind: str) -> DataFrame:
-    """query_id, vec_id, score of the k nearest in each block, for the queries and blocks named (curve, block, asker, query_id)."""
-    keys = ["curve", "block", "asker"]
-    members = placed.join(crowded.select(*keys).distinct(), ["curve", "block"]).join(candidates.select("vec_id", "v"), "vec_id").select(
-        *keys, "vec_id", "v", F.lit(False).alias("asks"))
-    asking = crowded.withColumnRenamed("query_id", "vec_id").join(candidates.where("is_query").select("vec_id", "v"), "vec_id").select(
-        *keys, "vec_id", "v", F.lit(True).alias("asks"))
+def _in_full(crowds: DataFrame, candidates: DataFrame, k: int, kind: str) -> DataFrame:
+    """query_id, vec_id, score of the k nearest in each crowd (curve, block, asker): its queries are the rows without vec_id,
+    its members those without query_id."""
+    crowd = crowds.withColumn("asks", F.isnull("vec_id")).withColumn("vec_id", F.coalesce("vec_id", "query_id")).join(
+        candidates.select("vec_id", "v"), "vec_id").select("curve", "block", "asker", "vec_id", "v", "asks")
 
     def block_scores(group: pd.DataFrame) -> pd.DataFrame:
         asks, ids, matrix = group["asks"].to_numpy(), group["vec_id"].to_numpy(), _matrix(group["v"].tolist(), kind)
         found = _best(ids[~asks], matrix[~asks], ids[asks], matrix[asks], k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-    return members.union(asking).groupBy(*keys).applyInPandas(block_scores, _FOUND)
+    return crowd.groupBy("curve", "block", "asker").applyInPandas(block_scores, _FOUND)
 
 
 def _scored(possible_pairs: DataFrame, candidates: DataFrame, k: int, kind: str) -> DataFrame:
@@ -329,20 +326,21 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, curves: int = CURVES, bloc
     def block_pairs(group: pd.DataFrame) -> pd.DataFrame:
         asks, ids, packed = group["asks"].to_numpy(), group["vec_id"].to_numpy(), group["v"]
         if asks.all() or not asks.any():
-            return group.head(0).assign(query_id=0, vec_id=None, low=0.0, high=0.0)[_PAIR_NAMES]
+            return pd.DataFrame(columns=[f.split()[0] for f in _PAIRS.split(", ")])
         queries = _unit(_matrix(packed[asks].tolist(), kind))
         coded = np.frombuffer(b"".join(packed[~asks]), _code_type(queries.shape[1]))
         query, row, low, high = possible(coded, queries, k + 1)
-        crowded = np.bincount(query, minlength=len(queries)) > CROWD
-        few = ~crowded[query]
-        query, row = np.concatenate([query[few], np.flatnonzero(crowded)]), row[few]
+        alike = np.bincount(query, minlength=len(queries)) > CROWD
+        few, crowd = ~alike[query], np.unique(row[alike[query]])
+        none = np.full(len(crowd) + alike.sum(), np.nan)
+        asked = pd.concat([pd.Series(ids[asks][query[few]]), pd.Series([None] * len(crowd)), pd.Series(ids[asks][alike])])
+        found = pd.concat([pd.Series(ids[~asks][row[few]]), pd.Series(ids[~asks][crowd]), pd.Series([None] * alike.sum())])
         return pd.DataFrame({
-            "curve": group["curve"].iat[0], "block": group["block"].iat[0], "asker": group["asker"].iat[0], "query_id": ids[asks][query],
-            "vec_id": pd.Series(ids[~asks][row], dtype="Int64").reindex(range(len(query))),
-            "low": pd.Series(low[few]).reindex(range(len(query))), "high": pd.Series(high[few]).reindex(range(len(query)))})
+            "curve": group["curve"].iat[0], "block": group["block"].iat[0], "asker": group["asker"].iat[0],
+            "query_id": asked.astype("Int64").array, "vec_id": found.astype("Int64").array,
+            "low": np.concatenate([low[few], none]), "high": np.concatenate([high[few], none])})
 
     pairs = materialize(members.union(asking).groupBy("curve", "block", "asker").applyInPandas(block_pairs, _PAIRS), "pairs")
-    crowded = pairs.where("vec_id IS NULL").select("curve", "block", "asker", "query_id")
-    scored = _scored(pairs.where("vec_id IS NOT NULL"), candidates, k + 1, kind).union(
-        _in_full(crowded, placed, candidates, k + 1, kind))
+    both = F.col("query_id").isNotNull() & F.col("vec_id").isNotNull()
+    scored = _scored(pairs.where(both), candidates, k + 1, kind).union(_in_full(pairs.where(~both), candidates, k + 1, kind))
     return _of_each_query(_top(scored, k + 1), candidates, rows.where(is_query), k).withColumn("window", F.lit(window).cast("long"))
