@@ -333,11 +333,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, curves: int = CURVES, bloc
         alike = np.bincount(query, minlength=len(queries)) > CROWD
         few, crowd = ~alike[query], np.unique(row[alike[query]])
         none = np.full(len(crowd) + alike.sum(), np.nan)
-        asked = pd.concat([pd.Series(ids[asks][query[few]]), pd.Series([None] * len(crowd)), pd.Series(ids[asks][alike])])
-        found = pd.concat([pd.Series(ids[~asks][row[few]]), pd.Series(ids[~asks][crowd]), pd.Series([None] * alike.sum())])
+        asked, found = (pd.concat([pd.Series(x, dtype="Int64") for x in parts]).array for parts in (
+            (ids[asks][query[few]], [None] * len(crowd), ids[asks][alike]),
+            (ids[~asks][row[few]], ids[~asks][crowd], [None] * int(alike.sum()))))
         return pd.DataFrame({
             "curve": group["curve"].iat[0], "block": group["block"].iat[0], "asker": group["asker"].iat[0],
-            "query_id": asked.astype("Int64").array, "vec_id": found.astype("Int64").array,
+            "query_id": asked, "vec_id": found,
             "low": np.concatenate([low[few], none]), "high": np.concatenate([high[few], none])})
 
     pairs = materialize(members.union(asking).groupBy("curve", "block", "asker").applyInPandas(block_pairs, _PAIRS), "pairs")
