@@ -267,6 +267,19 @@ def test_packing_in_blocks_balances_steps():
     assert max(len(s) for s in work.values()) <= 8
 
 
+def test_many_empty_texts_fill_windows(spark):
+    docs = spark.range(10_000).selectExpr("id AS doc_id", "IF(id % 10 = 0, 'some words', IF(id % 2 = 0, '', NULL)) AS text").repartition(1)
+    end = np.array([2], np.uint32).tobytes()
+    words = wordpieces.WordPieces(public_tokenizers.path("word_bpe_49k.json")).encode("some words")
+    rows = packing.pack_documents(docs, packing.public_word_pieces, end_id=2).collect()
+    check_packing(rows, [(d, end if d % 10 else words + end) for d in range(10_000)])
+    packer = packing.Packer(512, 4, 0)
+    for doc in range(5000):
+        packer.add(doc, end)
+    packer.pack(last=False)
+    assert packer.pool.tokens < 512
+
+
 def test_byte_bpe_equals_the_library(spark, small, odd, nothing):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)

@@ -98,7 +98,7 @@ class Packer:
     def pack(self, last: bool) -> list[tuple]:
         """Rows of all whole windows; with ``last`` also of the rest, in sequences of shorter tiers."""
         tier = self.window
-        while tier > 1 and self.pool.tokens >= self.window:
+        while tier and self.pool.tokens >= self.window:
             opened = self.pool.longest(tier)
             if opened is None or len(opened) <= tier // 2:
                 if opened is not None:
