@@ -2,10 +2,12 @@
 
 import array
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
 import json
+import lzma
 import random
 import urllib.parse
 import weakref
@@ -15,6 +17,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -417,6 +420,32 @@ def test_layers_of_one_depth_are_made_one_at_a_time(monkeypatch):
     assert len(secrets.scan(" ".join(packed))[1]) == 20 and max(most) <= 4
 
 
+def test_compressed_layers_are_unpacked_whole(monkeypatch):
+    key, other = KEY.encode(), b"nothing " * 40
+    packers = [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress]
+
+    def deep(data, pack, depth):
+        for _ in range(depth):
+            data = pack(data)
+        return data
+
+    cases = [deep(key, pack, depth) for pack in packers for depth in (1, 2, 3, 40)]
+    cases += [a(b(c(key))) for a in packers for b in packers for c in packers]
+    cases += [pack(other) + pack(other) + pack(key) for pack in packers]
+    cases += [a(other) + b(key) for a in packers for b in packers]
+    cases += [pack(key[:9]) + pack(key[9:]) for pack in packers] + [b"\x00\xff header" + pack(key) + b"\xff tail" for pack in packers]
+    cases += [gzip.compress(key + other * 2000)[:-9]]
+    for size in (secrets.MOST_BYTES, 1000):
+        monkeypatch.setattr(secrets, "MOST_BYTES", size)
+        for data in cases:
+            text = base64.b64encode(data).decode()
+            assert secrets.scan(f"x {text} y")[1] == [(2, 0, 2 + len(text))], data[:40]
+    noise = random.Random(4).randbytes(30_000)
+    for pack in packers:  # an inner member longer than a portion, a secret behind portions, and on their border
+        for inside in (pack(noise + b"\n" + key), "é".encode() * 5001 + key, b"." * 990 + key + b"." * 990):
+            assert secrets.scan(base64.b64encode(pack(inside)).decode())[1][0][:2] == (0, 0)
+
+
 def test_secret_tables(spark, odd, nothing):
     assert secrets.secret_spans(odd).count() == len(ODD) and secrets.secret_spans(nothing).count() == 0
     docs = spark.createDataFrame([(1, f"x {KEY} y", 3), (2, None, None), (3, "clean", 5)], "doc_id long, text string, n_chars int")

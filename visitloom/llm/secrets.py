@@ -12,7 +12,8 @@ digits, 18 or more in all), ``hex`` (16 or more lower-case hex digits), leftmost
 the text itself are the base; those of deeper layers are added.
 
 Defined results: null text is empty and has no spans; equal spans of a kind count once; rows that repeat an id are scanned
-each on its own; an empty table gives no rows. A compressed layer is unpacked up to ``MOST_BYTES``, against bombs.
+each on its own; an empty table gives no rows. Compressed data is unpacked at any depth, all members or frames of it, and from
+wherever it begins in a layer. An unpacked layer above ``MOST_BYTES`` is scanned in portions that overlap by half.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import pandas as pd
 import pyarrow as pa
@@ -42,8 +45,16 @@ _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]{14,}"), re.compile(r"(?<![0-9a-f])[0-9
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\u[0-9A-Fa-f]{4})+)|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Most bytes that a compressed layer is unpacked to.
+#: Begins of compressed data, wherever they are.
+_PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\0|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
+#: What no match and no encoding has: control characters, and bytes that are no UTF-8.
+_NO_TEXT = re.compile(r"[\x00-\x08\x0e-\x1f\x7f\udc80-\udcff]+")
+#: Characters of the shortest text that a secret, or a layer with one, is in.
+LEAST = 16
+#: Bytes of an unpacked layer that are scanned at a time; longer ones are scanned in portions that overlap by half.
 MOST_BYTES = 1 << 26
+#: Most bytes that are unpacked at a time, and of how many.
+CHUNK, SLICE = 1 << 20, 1 << 12
 #: What a redacted span becomes.
 MASK = "[SECRET]"
 
@@ -131,20 +142,138 @@ def _unicode(text: str) -> list[tuple[int, int, str]]:
     return pieces
 
 
-def _unpacked(data: bytes) -> bytes:
-    """The data decompressed, if it begins as one of the usual formats; else as it is."""
-    try:
-        if data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 15 == 8 and int.from_bytes(data[:2]) % 31 == 0:
-            return zlib.decompressobj(wbits=47).decompress(data, MOST_BYTES)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MOST_BYTES)
-        if data[:6] == b"\xfd7zXZ\0":
-            return lzma.LZMADecompressor().decompress(data, MOST_BYTES)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            return zstandard.ZstdDecompressor().stream_reader(data).read(MOST_BYTES)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        pass
-    return data
+def _engine(head: bytes):
+    """A decompressor for data that begins so, or None."""
+    if head[:2] == b"\x1f\x8b" or len(head) > 2 and head[0] & 15 == 8 and int.from_bytes(head[:2]) % 31 == 0:
+        return zlib.decompressobj(wbits=47)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\0":
+        return lzma.LZMADecompressor()
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return zstandard.ZstdDecompressor().decompressobj()
+    return None
+
+
+def _fed(engine, part: bytes) -> Iterator[bytes]:
+    """What the decompressor makes of the part, some MB at a time at most."""
+    if hasattr(engine, "needs_input"):
+        yield engine.decompress(part, CHUNK)
+        while not engine.eof and not engine.needs_input:
+            yield engine.decompress(b"", CHUNK)
+    else:
+        out = engine.decompress(part, CHUNK)
+        yield out
+        while not engine.eof and (engine.unconsumed_tail or len(out) == CHUNK):
+            out = engine.decompress(engine.unconsumed_tail, CHUNK)
+            yield out
+
+
+class Unpacked:
+    """All members or frames that the bytes begin with, decompressed one after the other. ``read`` is how many bytes they took
+    as far as they are whole; what comes before damage or an early end is given too."""
+
+    def __init__(self, source: Iterator[bytes]):
+        self.source, self.read = filter(None, source), 0
+
+    def __iter__(self) -> Iterator[bytes]:
+        rest, taken = b"", 0
+        while True:
+            while len(rest) < 6 and (more := next(self.source, b"")):
+                rest, taken = rest + more, taken + len(more)
+            engine, frames = _engine(rest), rest[:4] == b"\x28\xb5\x2f\xfd"
+            if engine is None:
+                return
+            try:
+                while not engine.eof and rest:
+                    if frames:
+                        for i in range(0, len(rest), 256):  # it knows no limit, but 256 bytes give 11 MB at most
+                            yield engine.decompress(rest[i: i + 256])
+                            if engine.eof:
+                                break
+                        left = rest[i + 256:]
+                    else:
+                        yield from _fed(engine, rest)
+                        left = b""
+                    if not engine.eof:
+                        rest = next(self.source, b"")
+                        taken += len(rest)
+                if not engine.eof:
+                    return
+                rest = engine.unused_data + left
+            except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
+                return
+            self.read = taken - len(rest)
+
+
+def _slices(data: bytes, start: int) -> Iterator[bytes]:
+    return (data[i: i + SLICE] for i in range(start, len(data), SLICE))
+
+
+def _portions(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """The bytes in portions of ``MOST_BYTES``, which overlap by half."""
+    buffer = bytearray()
+    for chunk in chunks:
+        buffer += chunk
+        while len(buffer) > MOST_BYTES:
+            yield bytes(buffer[:MOST_BYTES])
+            del buffer[: MOST_BYTES // 2]
+    if buffer:
+        yield bytes(buffer)
+
+
+def _digest(chunks: Iterable[bytes]) -> bytes:
+    state = hashlib.blake2b(digest_size=16)
+    for chunk in chunks:
+        state.update(chunk)
+    return state.digest()
+
+
+def _contents(data: bytes) -> Iterator:
+    """The decodable stretches of the data, and :class:`Unpacked` streams, as functions that begin them, of all that is compressed in it."""
+    for stretch in _NO_TEXT.split(data.decode("utf-8", "surrogateescape")):
+        if len(stretch) >= LEAST:
+            yield stretch
+    end = 0
+    for at in chain([0], (m.start() for m in _PACKED.finditer(data))):
+        if at >= end and _engine(data[at: at + 6]):
+            begun = []
+
+            def begin(at=at, begun=begun) -> Unpacked:
+                begun.append(Unpacked(_slices(data, at)))
+                return begun[-1]
+
+            yield begin
+            end = max([at + 1, *(at + u.read for u in begun)])  # it was read meanwhile
+
+
+def _opened(begin: Callable[[], Iterable[bytes]], met: set) -> Iterator:
+    """The contents of a stream, portion by portion. A long stream that is itself compressed is unpacked from one end to the other."""
+    portions = _portions(begin())
+    first, second = next(portions, b""), next(portions, None)
+    if second is not None and _engine(first[:6]):
+        key = _digest(begin())
+        if key not in met:
+            met.add(key)
+            yield lambda: Unpacked(iter(begin()))
+    for portion in chain([first], [] if second is None else [second], portions):
+        key = _digest([portion])
+        if portion and key not in met:
+            met.add(key)
+            yield from _contents(portion)
+
+
+def _texts(data: bytes) -> Iterator[str]:
+    """The texts in the data and in all that is compressed in it, at any depth. Bytes that were met before are not opened again."""
+    work, met = [_contents(data)], {_digest([data])}
+    while work:
+        found = next(work[-1], None)
+        if found is None:
+            work.pop()
+        elif isinstance(found, str):
+            yield found
+        else:
+            work.append(_opened(found, met))
 
 
 def _base64_layers(layer: Layer) -> Iterator[Layer]:
@@ -156,12 +285,7 @@ def _base64_layers(layer: Layer) -> Iterator[Layer]:
             data = base64.b64decode(run + "=" * (-len(run) % 4))
         except binascii.Error:
             continue
-        data = _unpacked(_unpacked(data))
-        try:
-            text = data.decode()
-        except UnicodeDecodeError:
-            continue
-        if sum(c.isprintable() or c.isspace() for c in text) >= 0.9 * len(text):
+        for text in _texts(data):
             yield Layer(text, [(0, *layer.origin(m.start(), m.end()), False)])
 
 
