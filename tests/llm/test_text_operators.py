@@ -446,6 +446,37 @@ def test_compressed_layers_are_unpacked_whole(monkeypatch):
             assert secrets.scan(base64.b64encode(pack(inside)).decode())[1][0][:2] == (0, 0)
 
 
+def test_runs_with_prefixes_line_ends_and_escapes():
+    def b64(data):
+        return base64.b64encode(data).decode()
+
+    def folded(text, width, end="\n"):
+        return end.join(text[i: i + width] for i in range(0, len(text), width))
+
+    key, noise = KEY.encode(), random.Random(8).randbytes(300)
+    packed = zlib.compress(noise + key)
+    for hidden in (b64(key), b64(packed), b64(gzip.compress(key)), base64.urlsafe_b64encode(packed).decode()):
+        for before in ("", "a/", "https://host.example/cb/", "key-", "id_", "abc", "x+y/"):
+            text = f"see {before}{hidden} end"
+            assert any(k == 0 and a <= 4 + len(before) and b == len(text) - 4 for a, k, b in secrets.scan(text)[1]), text[:60]
+    for data in (packed, gzip.compress(packed), noise + key + noise, b"text " * 11 + key + b" more text" * 9, key):
+        for width in (20, 64, 75, 76):
+            for end in ("\n", "\r\n", "\n  "):
+                for before in ("", "see: ", "Key\n", "a/"):
+                    text = f"{before}{folded(b64(data), width, end)}\nBest wishes"
+                    assert any(k == 0 for _, k, _ in secrets.scan(text)[1]), text
+    lines = "\n".join([b64(b"nothing to see in this line, at all."), b64(b"token=abcdefghijklmnop qrst, and so."), b64(b"nothing to see in this line, at all.")])
+    assert set(secrets.scan(lines)[1]) == {(49, 0, 97)}
+    for hidden in ("".join(f"%{x:02x}" for x in packed), urllib.parse.quote(packed), urllib.parse.quote_plus(gzip.compress(key)),
+                   "".join(f"\\x{x:02x}" for x in packed), repr(packed), repr(bz2.compress(key))):
+        text = f"before {hidden} after"
+        assert any(k == 0 for _, k, _ in secrets.scan(text)[1]), text
+        assert secrets.scan(text)[1][0][0] >= 7
+    for bad in (b"\xff", b"\x00\x01\x02\x03"):
+        text = b64(b"some text " + bad + key + bad * 9)
+        assert secrets.scan(text)[1] == [(0, 0, len(text))]
+
+
 def test_secret_tables(spark, odd, nothing):
     assert secrets.secret_spans(odd).count() == len(ODD) and secrets.secret_spans(nothing).count() == 0
     docs = spark.createDataFrame([(1, f"x {KEY} y", 3), (2, None, None), (3, "clean", 5)], "doc_id long, text string, n_chars int")

@@ -5,7 +5,10 @@ Unicode escapes give a layer of the same text with the escapes replaced; a base6
 first if it is compressed. New layers go back on the list until none is left. A layer that was met before is not taken
 again, so the list ends. Layers of base64 runs are made one at a time, so many compressed ones never lie in memory together.
 Every character of a layer carries the span of the text it came from, so what is found at any depth is a span of the
-original text: of the escapes themselves, or of the whole base64 run.
+original text: of the escapes themselves, or of the whole base64 run, or of the lines of it that hold the find.
+
+A base64 run goes on over single line ends, and is read from each of its first four signs on, so a path or a prefix before
+it does not shift it. Of bytes, all stretches that are text are layers, whatever lies between them.
 
 Fixed kinds: ``assign`` (a key word, ``:`` or ``=``, a value of 12 or more characters), ``access`` (``AKIA`` and capitals or
 digits, 18 or more in all), ``hex`` (16 or more lower-case hex digits), leftmost and not overlapping per kind. Matches in
@@ -19,13 +22,12 @@ wherever it begins in a layer. An unpacked layer above ``MOST_BYTES`` is scanned
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
@@ -47,10 +49,22 @@ _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\u[0-9A-Fa-f]{4})+)|\\x([
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Begins of compressed data, wherever they are.
 _PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\0|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
-#: What no match and no encoding has: control characters, and bytes that are no UTF-8.
-_NO_TEXT = re.compile(r"[\x00-\x08\x0e-\x1f\x7f\udc80-\udcff]+")
 #: Characters of the shortest text that a secret, or a layer with one, is in.
 LEAST = 16
+#: Stretches without what no match and no encoding has: control characters, and bytes that are no UTF-8.
+_TEXT = re.compile(r"[^\x00-\x08\x0e-\x1f\x7f\udc80-\udcff]{%d,}" % LEAST)
+#: Between the lines of one base64 run, and lines of a few signs before and after it.
+_LINE_END = re.compile(r"\r?\n[\x20\t]*")
+_SHORT_BEFORE = re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{1,15})\r?\n[\x20\t]*\Z")
+_SHORT_AFTER = re.compile(r"\r?\n[\x20\t]*([A-Za-z0-9+/_-]{1,15}={0,2})(?![A-Za-z0-9+/_-])")
+#: Bytes that begin no character of UTF-8.
+_CONTINUED = bytes(range(0x80, 0xC0))
+_STANDARD = str.maketrans("-_", "+/")
+#: Lines, escapes of bytes that no text has, and what a line with them is made of.
+_LINE = re.compile(r"[\x20-\x7e]{%d,}" % LEAST)
+_HIGH = re.compile(r"(?:%|\\x)(?:[01]|[89A-Fa-f])[0-9A-Fa-f]")
+_ESCAPE = re.compile(r"(?:%|\\x)([0-9A-Fa-f]{2})|(\\[nrt\\'\"])|[\s\S]")
+_NAMED = {r"\n": b"\n", r"\r": b"\r", r"\t": b"\t", r"\\": b"\\", r"\'": b"'", r'\"': b'"'}
 #: Bytes of an unpacked layer that are scanned at a time; longer ones are scanned in portions that overlap by half.
 MOST_BYTES = 1 << 26
 #: Most bytes that are unpacked at a time, and of how many.
@@ -230,10 +244,13 @@ def _digest(chunks: Iterable[bytes]) -> bytes:
 
 
 def _contents(data: bytes) -> Iterator:
-    """The decodable stretches of the data, and :class:`Unpacked` streams, as functions that begin them, of all that is compressed in it."""
-    for stretch in _NO_TEXT.split(data.decode("utf-8", "surrogateescape")):
-        if len(stretch) >= LEAST:
-            yield stretch
+    """The decodable stretches of the data with their first byte, and :class:`Unpacked` streams, as functions that begin them, of
+    all that is compressed in it; ``at`` is where such a stream begins, ``read()`` how much of it was read so far."""
+    at = seen = 0
+    text = data.decode("utf-8", "surrogateescape")
+    for m in _TEXT.finditer(text):
+        at, seen = at + len(text[seen: m.start()].encode("utf-8", "surrogateescape")), m.start()
+        yield m[0], at
     end = 0
     for at in chain([0], (m.start() for m in _PACKED.finditer(data))):
         if at >= end and _engine(data[at: at + 6]):
@@ -243,8 +260,9 @@ def _contents(data: bytes) -> Iterator:
                 begun.append(Unpacked(_slices(data, at)))
                 return begun[-1]
 
+            begin.at, begin.read = at, lambda begun=begun: max((u.read for u in begun), default=0)
             yield begin
-            end = max([at + 1, *(at + u.read for u in begun)])  # it was read meanwhile
+            end = at + max(1, begin.read())  # it was read meanwhile
 
 
 def _opened(begin: Callable[[], Iterable[bytes]], met: set) -> Iterator:
@@ -263,30 +281,90 @@ def _opened(begin: Callable[[], Iterable[bytes]], met: set) -> Iterator:
             yield from _contents(portion)
 
 
-def _texts(data: bytes) -> Iterator[str]:
-    """The texts in the data and in all that is compressed in it, at any depth. Bytes that were met before are not opened again."""
-    work, met = [_contents(data)], {_digest([data])}
+def _texts(data: bytes) -> Iterator[tuple[str, tuple]]:
+    """The texts in the data and in all that is compressed in it, at any depth, and where they are from: (first byte, end, None), or of
+    compressed data (first byte, None, end, if its end is known). Bytes that were met before are not opened again."""
+    work, met, outer = [_contents(data)], {_digest([data])}, None
     while work:
         found = next(work[-1], None)
         if found is None:
             work.pop()
-        elif isinstance(found, str):
-            yield found
+        elif isinstance(found, tuple):
+            text, at = found
+            if len(work) == 1:
+                yield text, (at, at + len(text.encode()), None)
+            else:
+                yield text, (outer.at, None, outer.at + outer.read() if outer.read() else None)
         else:
+            outer = found if len(work) == 1 else outer
             work.append(_opened(found, met))
 
 
+def _chains(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Base64 runs as lists of their lines (start, end): runs that only a line end parts are one, with short lines next to them."""
+    lines: list[tuple[int, int]] = []
+    for m in _BASE64.finditer(text):
+        if lines and not (text[lines[-1][1] - 1] != "=" and _LINE_END.fullmatch(text, lines[-1][1], m.start())):
+            yield _with_short_lines(text, lines)
+            lines = []
+        lines.append(m.span())
+    if lines:
+        yield _with_short_lines(text, lines)
+
+
+def _with_short_lines(text: str, lines: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    before = _SHORT_BEFORE.search(text, max(0, lines[0][0] - 64), lines[0][0])
+    after = text[lines[-1][1] - 1] != "=" and _SHORT_AFTER.match(text, lines[-1][1])
+    return ([before.span(1)] if before else []) + lines + ([after.span(1)] if after else [])
+
+
 def _base64_layers(layer: Layer) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
+    """Layers of the runs, whole and line by line. Each is read from its first four signs on, so signs before it do no harm."""
+    for lines in _chains(layer.text):
+        for some in [lines] if len(lines) == 1 else [lines, *([x] for x in lines)]:
+            run = "".join(layer.text[a:b] for a, b in some).rstrip("=").translate(_STANDARD)
+            for shift in range(min(4, len(run) - LEAST + 1)):
+                signs = len(run) - shift
+                data = base64.b64decode(run[shift:] + "A" * (-signs % 4))[: signs * 3 // 4]
+                yield from _placed(layer, data, some, shift)
+
+
+def _placed(layer: Layer, data: bytes, lines: list[tuple[int, int]], shift: int) -> Iterator[Layer]:
+    """Layers of the bytes that the lines of a run hold. A text of several lines knows which of its characters are from which."""
+    ends, at = [], -shift
+    for a, b in lines:
+        at += b - a
+        ends.append(max(0, at) * 3 // 4)  # bytes that are whole with this line
+    for text, where in _texts(data):
+        first = bisect_right(ends[:-1], where[0])
+        last = len(lines) - 1 if where[1] is None else bisect_left(ends[:-1], where[1])
+        parts = [(0, *layer.origin(lines[first][0], lines[last][1]), False)]
+        if where[1] is not None and last > first:
+            here, byte, parts = 0, where[0], []
+            for n in range(first, last + 1):
+                parts.append((here, *layer.origin(*lines[n]), False))
+                stop = min(ends[n], where[1])
+                here += len(data[byte:stop].translate(None, _CONTINUED))
+                byte = stop
+        yield Layer(text, parts)
+
+
+def _escaped_layers(layer: Layer) -> Iterator[Layer]:
+    """Layers of compressed bytes that are written with percent or \\x escapes."""
+    for line in _LINE.finditer(layer.text) if _HIGH.search(layer.text) else ():
+        if not _HIGH.search(line[0]):
             continue
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4))
-        except binascii.Error:
+        starts, data = [], bytearray()
+        for m in _ESCAPE.finditer(line[0]):
+            byte = bytes.fromhex(m[1]) if m[1] else _NAMED[m[2]] if m[2] else m[0].encode()
+            starts += [line.start() + m.start()] * len(byte)
+            data += byte
+        starts.append(line.end())
+        if not _PACKED.search(data):
             continue
-        for text in _texts(data):
-            yield Layer(text, [(0, *layer.origin(m.start(), m.end()), False)])
+        for text, where in _texts(bytes(data)):
+            if where[1] is None:
+                yield Layer(text, [(0, *layer.origin(starts[where[0]], starts[where[2]] if where[2] else line.end()), False)])
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -311,7 +389,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
                 a, b = layer.origin(start, end)
                 everything.add((a, kind, b))
         work += [layer.replaced(pieces) for pieces in (_percent(layer.text), _unicode(layer.text)) if pieces]
-        work.append(_base64_layers(layer))
+        work += [_escaped_layers(layer), _base64_layers(layer)]
     return base, sorted(everything)
 
 
