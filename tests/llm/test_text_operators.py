@@ -508,6 +508,24 @@ def test_toxicity_finds_disguised_insults_and_leaves_clean_text(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, r in rows.items() if not r.predicted}
 
 
+def test_toxicity_learns_insults_that_are_rare_beside_another():
+    rng = random.Random(12)
+    common = ["".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(1, 5))) for _ in range(800)]
+    insults = {"idiot": 900, "jerk": 60, "scum": 50, "weakling": 45, "buffoon": 40}
+
+    def sentence(extra=()):
+        words = rng.choices(common, k=9)
+        for w in extra:
+            words.insert(rng.randrange(10), w)
+        return " ".join(words)
+
+    rows = [(sentence(), 0) for _ in range(4000)] + [(sentence(), 1) for _ in range(3000)]
+    rows += [(sentence([w]), 1) for w, n in insults.items() for _ in range(n)]
+    machine = toxicity.train(rows)
+    assert (machine.margins(list(insults)) > 0).all()
+    assert np.mean(machine.margins(common) > 0) < 0.01
+
+
 def test_toxicity_without_labels(spark, odd, nothing):
     labels = spark.createDataFrame([], "doc_id long, toxic int, text string")
     machine = toxicity.fit(odd, labels)

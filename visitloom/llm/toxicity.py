@@ -7,7 +7,8 @@ labelled sentences; with them the kernel becomes a vector of finite length (Nyst
 hinge is trained. Its decision is linear in the triples, so it folds into one table of 32 ** 3 weights.
 
 A sentence scores as its highest word, a document as its highest sentence. Words of toxic sentences that clean sentences
-hardly have are the positive examples; what the machine then finds in toxic sentences joins them for the next round, as do
+hardly have are the positive examples, if they are among the commonest such words or have too many contexts for chance, however
+common another one is; what the machine then finds in toxic sentences joins them for the next round, as do
 the clean words nearest to them on the other side, as landmarks too. Last, a logistic curve over the sampled documents turns margins
 into scores.
 
@@ -49,6 +50,8 @@ STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s
 OFFSETS = [(a, b) for a in range(1, REACH + 2) for b in range(1, REACH + 3 - a)]
 #: Longer words are scored in windows of this length, half of it apart.
 LONG = 32
+#: Chance that any word is taken for a positive example that is none, if contexts are independent.
+CHANCE = 0.01
 #: Margin of a text without words.
 LOWEST = -8.0
 PORTION, KEEP = 1_000_000, 400_000
@@ -187,6 +190,13 @@ def _contexts(sentences: set[str]) -> Counter:
     return Counter(c[0] for c in met if 0 < len(c[0]) <= LONG)
 
 
+def _surprise(toxic: int, clean: int, share: float) -> float:
+    """At least -log of the chance that so many of a word's contexts are toxic, where each is with probability ``share``
+    (Chernoff's bound)."""
+    n = toxic + clean
+    return toxic * np.log(toxic / (n * share)) + (clean * np.log(clean / (n * (1 - share))) if clean else 0.0)
+
+
 def train(sentences: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 3, ridge: float = 0.1) -> Machine:
     """The machine of labelled sentences, equal ones once. Positive words: those that toxic sentences have in far more
     contexts; the neighbours count, so that a passage with a wrong label and many near copies has no weight."""
@@ -200,7 +210,9 @@ def train(sentences: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds:
     # Words of toxic sentences in 20 times as many contexts as chance, the usual ones first.
     scale = len(toxic) / max(len(clean), 1)
     telling = sorted((w for w in seen if seen[w] > 20 * other[w] * scale), key=lambda w: (-seen[w], w))
-    positive = [w for w in telling if seen[w] >= min(max(2, seen[telling[0]] / 4), seen[telling[0]])]
+    share = len(toxic) / (len(toxic) + len(clean))
+    positive = [w for w in telling if seen[w] >= min(max(2, seen[telling[0]] / 4), seen[telling[0]])
+                or _surprise(seen[w], other[w], share) > np.log(len(seen) / CHANCE)]
     if not positive:
         return nothing
     by_use = sorted(other, key=lambda w: (-other[w], w))
