@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.llm import ann, bytebpe, exact, packing, secrets, sharding, simhash, substring, toxicity, warc
+from visitloom.llm import ann, bytebpe, chat, divergence, exact, hard_negatives, packing, secrets, sharding, simhash, substring, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,5 +60,24 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, changed).drop("positive_rank")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(_table(spark, sf_dir, "documents"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's conversations, and one whose texts look like the template's marks."""
+    marks = "</s>[INST] ok [/INST]"
+    planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(
+        F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(marks).alias("text"))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(planted)
+    return chat.chat_digests(chat.format_chats(chat.records_of_turns(rows)))
+
+
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash, op3_exact_dedup, op4_packing, op5_sharding, op6_warc,
-                                   op7_bpe, op8_secrets, op9_toxicity, op10_nearest)}
+                                   op7_bpe, op8_secrets, op9_toxicity, op10_nearest, op11_hard_negatives,
+                                   op12_divergence, op13_chat_format)}
