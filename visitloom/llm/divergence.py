@@ -290,23 +290,26 @@ def shares(count: np.ndarray, total: np.ndarray, vocabulary: int) -> np.ndarray:
     return quotient + 1
 
 
-def _pairs_in_tile(key: tuple, counts: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
+def _pairs_in_tile(terms_of_range: int, block: int):
     """Sums over a range of terms for all pairs of a block of sources with another, or of one block among themselves."""
-    lang, _, left, right = key
-    sources = sources.sort_values("place")
-    place, total, vocabulary = sources["place"].to_numpy(), sources["total"].to_numpy(), int(sources["vocabulary"].iloc[0])
-    first = int(sources["first"].iloc[0])
-    terms = max(min(RANGE, vocabulary - first), 0)
-    table = np.zeros((len(place), terms), np.int64)
-    table[np.searchsorted(place, counts["of_place"]), counts["ordinal"].to_numpy(np.int64) - first] = counts["n"]
-    p = shares(table, total[:, None], vocabulary) if terms else table
-    out = []
-    for a in np.flatnonzero(place // BLOCK == left):
-        others = np.flatnonzero((place // BLOCK == right) & (place > place[a]))
-        for some in np.array_split(others, max(1, len(others) // 32)):
-            value = ((p[some] - p[a]) ** 2 // np.maximum(p[some] + p[a], 1)).sum(axis=1)
-            out.append(pd.DataFrame({"lang": lang, "one": place[a], "other": place[some], "value": value}))
-    return pd.concat(out) if out else pd.DataFrame({"lang": [], "one": [], "other": [], "value": []}).astype({"lang": str})
+    def summed(key: tuple, counts: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
+        lang, _, left, right = key
+        sources = sources.sort_values("place")
+        place, total, vocabulary = sources["place"].to_numpy(), sources["total"].to_numpy(), int(sources["vocabulary"].iloc[0])
+        first = int(sources["first"].iloc[0])
+        table = np.zeros((len(place), max(min(terms_of_range, vocabulary - first), 0)), np.int64)
+        table[np.searchsorted(place, counts["of_place"]), counts["ordinal"].to_numpy(np.int64) - first] = counts["n"]
+        p = shares(table, total[:, None], vocabulary) if table.size else table
+        out = []
+        for a in np.flatnonzero(place // block == left):
+            others = np.flatnonzero((place // block == right) & (place > place[a]))
+            for some in np.array_split(others, max(1, len(others) // 32)):
+                value = ((p[some] - p[a]) ** 2 // np.maximum(p[some] + p[a], 1)).sum(axis=1)
+                out.append(np.stack([np.full(len(some), place[a]), place[some], value], axis=1))
+        one, other, value = np.concatenate(out).T if out else np.zeros((3, 0), np.int64)
+        return pd.DataFrame({"lang": pd.Series([lang] * len(one), dtype=object), "one": one, "other": other, "value": value})
+
+    return summed
 
 
 def _pair_values(counts: DataFrame, groups: DataFrame) -> DataFrame:
@@ -323,7 +326,7 @@ def _pair_values(counts: DataFrame, groups: DataFrame) -> DataFrame:
         "lang", F.expr(f"ordinal div {RANGE}").alias("range"), *tile, F.col("place").alias("of_place"), "ordinal", "n")
     keys = ["lang", "range", "left", "right"]
     tiles = placed.groupBy(*keys).cogroup(sources.groupBy(*keys)).applyInPandas(
-        _pairs_in_tile, "lang string, one long, other long, value long")
+        _pairs_in_tile(RANGE, BLOCK), "lang string, one long, other long, value long")
     return tiles.groupBy("lang", "one", "other").agg(F.sum("value").alias("value"))
 
 

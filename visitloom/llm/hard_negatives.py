@@ -127,8 +127,9 @@ def _matrix(column: pd.Series) -> np.ndarray:
 def _met(anchors: DataFrame, rows: DataFrame, tiles: int, found, schema: str) -> DataFrame:
     """What ``found(anchors, rows)`` gives for each tile, both as pandas frames."""
     parts = max(1, min(tiles, PARTITIONS))
-    left = anchors.repartition(parts, "slice", "block").groupBy("slice", "block")
-    right = rows.repartition(parts, "slice", "block").groupBy("slice", "block")
+    # Keys of one type: a whole number hashes by its type.
+    keys = {c: F.col(c).cast("long") for c in ("slice", "block")}
+    left, right = (df.withColumns(keys).repartition(parts, *keys).groupBy(*keys) for df in (anchors, rows))
     return left.cogroup(right).applyInPandas(found, schema)
 
 
