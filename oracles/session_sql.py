@@ -460,3 +460,36 @@ FROM train_long JOIN buckets USING (col, val) GROUP BY bucket"""),
     "session_catalog": " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, '{_TYPES.get(c, 'bigint')}' AS data_type" for c in SESSION_COLUMNS),
 }
+
+
+def _target_rates() -> str:
+    """Rates by plain sums over all rows of a value outside the fold, for each training row's fold and for later rows."""
+    folds, smoothing = 5, "20.0::DOUBLE"
+    long = " UNION ALL ".join(
+        f"SELECT session_id, converted, fold, '{a}' AS col, coalesce({a}, '<MISSING>') AS val FROM train_rows" for a in ATTRIBUTES)
+    rates = ", ".join(
+        f"round(max(CASE WHEN w.col = '{a}' THEN coalesce(rate, 0) END), 9) + 0.0::DOUBLE AS {a}_rate" for a in ATTRIBUTES)
+    wanted = " UNION ALL ".join(
+        f"SELECT session_id, sample, fold, '{a}' AS col, coalesce({a}, '<MISSING>') AS val FROM both_samples" for a in ATTRIBUTES)
+    return q(f"""early_rows AS ({_early(14400)}), train_rows AS (
+  SELECT *, CAST(CAST('0x' || substr(md5('fold:' || session_id), 1, 8) AS BIGINT) % {folds} AS INTEGER) AS fold
+  FROM early_rows WHERE session_date < {CUTOFF}
+), both_samples AS (
+  SELECT 'train' AS sample, session_id, fold, {', '.join(ATTRIBUTES)} FROM train_rows
+  UNION ALL SELECT 'test', session_id, -1, {', '.join(ATTRIBUTES)} FROM early_rows WHERE session_date >= {CUTOFF}
+), long_rows AS ({long}), left_out AS (SELECT unnest(range(-1, {folds}))::INTEGER AS out),
+outside AS (SELECT out, count(*) AS all_n, sum(converted) AS all_positives FROM train_rows, left_out WHERE fold <> out GROUP BY out),
+rates AS (
+  SELECT out, col, val, CAST(sum(converted) * max(all_n) - count(*) * max(all_positives) AS DOUBLE) / max(all_n) / (count(*) + {smoothing}) AS rate
+  FROM long_rows JOIN outside ON fold <> out GROUP BY out, col, val
+), wanted AS ({wanted})""", f"""
+SELECT w.session_id, sample, {rates} FROM wanted w
+  LEFT JOIN rates r ON r.out = w.fold AND r.col = w.col AND r.val = w.val GROUP BY w.session_id, sample""")
+
+
+ORACLES |= {
+    "early_target_rates": _target_rates(),
+    "early_attribution_check": q(f"early_rows AS ({_early(14400)})", f"""
+SELECT model, session_id, true AS adds_up, true AS is_the_score
+FROM early_rows, (SELECT unnest(['logistic', 'boosted_tree']) AS model) WHERE session_date >= {CUTOFF}"""),
+}

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from visitloom.operators import early, early_models, features, funnel, logistic, metrics, monitoring, naive_bayes
 from visitloom.operators import quality, ranking, reports, sessions
+from visitloom.operators.attributions import added_column
+from visitloom.operators.target_encoding import rate_column
 from visitloom.sources import events, tables
 from visitloom.sources.star_tables import nested_events
 from visitloom.sources.workspace import materialize, new_path
-from visitloom.spec import (DATE, DEFAULT_SPEC, EARLY_LEAKAGE_WORDS, KEY, LABEL, LOGISTIC_L2, NAIVE_BAYES, START_FEATURES,
+from visitloom.spec import (ATTRIBUTES, DATE, DEFAULT_SPEC, EARLY_LEAKAGE_WORDS, KEY, LABEL, LOGISTIC_L2, NAIVE_BAYES, START_FEATURES,
                             START_LEAKAGE_WORDS)
 
 SPEC = dataclasses.replace(DEFAULT_SPEC, cutoff=dt.date(2024, 1, 22))
@@ -354,8 +356,37 @@ def early_gbt_lift(spark, sf_dir):
 
 
 def early_gbt_explain(spark, sf_dir):
-    train, _ = early_split(spark, sf_dir)
-    return early_models.global_explain(early_models.fit_early_trees(train), train)
+    """What moves the scores of the later sessions."""
+    train, test = early_split(spark, sf_dir)
+    return rounded(early_models.global_explain(early_models.fit_early_trees(train), test))
+
+
+def early_logistic_explain(spark, sf_dir):
+    train, test = early_split(spark, sf_dir)
+    return rounded(early_models.global_explain(early_models.fit_early_logistic(train), test))
+
+
+def early_attribution_check(spark, sf_dir):
+    """Per model and later session: whether base and attributions add up to the margin, and the margin to the model's score."""
+    train, test = early_split(spark, sf_dir)
+    parts = []
+    for fit, odds in ((early_models.fit_early_logistic, 1.0), (early_models.fit_early_trees, 2.0)):
+        model = fit(train)
+        rows, scored = early_models.explain_rows(model, test), early_models.score_early(model, test)
+        total = sum((F.col(added_column(c)) for c in model.columns), F.col("base"))
+        fits = F.abs(F.lit(1.0) / (F.lit(1.0) + F.exp(-odds * F.col("margin"))) - F.col("predicted_probability")) < 1e-9
+        parts.append(rows.join(scored.select(KEY, "predicted_probability"), KEY).select(
+            "model", KEY, (F.abs(total - F.col("margin")) < 1e-9).alias("adds_up"), fits.alias("is_the_score")))
+    return parts[0].unionByName(parts[1])
+
+
+def early_target_rates(spark, sf_dir):
+    """The rates that training rows get, each without its own fold, and those that later sessions get."""
+    train, test = early_split(spark, sf_dir)
+    encoding, encoded = early_models.encode_training(train)
+    columns = [rate_column(a) for a in ATTRIBUTES]
+    return rounded(encoded.select(KEY, F.lit("train").alias("sample"), *columns).unionByName(
+        encoding.encode(test).select(KEY, F.lit("test").alias("sample"), *columns)), 9)
 
 
 # --- dashboard tables -------------------------------------------------------------------------------------------------
@@ -506,7 +537,8 @@ QUERIES = {
         average_precision_nb, roc_auc_nb, log_loss_brier_nb, topk_nb, model_metrics_nb, decile_lift_nb, calibration_nb,
         lift_ntile_nb, calibration_fixed_width_nb,
         early_features, early_features_wide, label_after_horizon, early_logistic_eval, early_model_eval,
-        early_gbt_scores, early_gbt_lift, early_gbt_explain,
+        early_gbt_scores, early_gbt_lift, early_gbt_explain, early_logistic_explain, early_attribution_check,
+        early_target_rates,
         dashboard_kpis, dashboard_funnel, dashboard_model_kpis, dashboard_model_comparison, dashboard_lift_deciles,
         dashboard_calibration_tidy, dashboard_model_controls,
         input_coverage, feature_drift, score_distribution, segment_metrics, experiment_assignment, experiment_outcomes,
