@@ -144,3 +144,27 @@ def test_comparison_marks_the_best_model(spark):
     table = metrics.compare_models(good, poor)
     assert {r.model: r.selected for r in table.collect()} == {"good": True, "poor": False}
     assert metrics.best_model(table).first().selected_by_pr_auc == "good"
+
+
+def test_runs_of_equal_scores_are_stitched_over_batches_and_files(spark):
+    """A few scores over many files and tiny batches, so that nearly every run is cut somewhere."""
+    rng = np.random.default_rng(12)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        p = rng.choice([0.1, 0.2, 0.2000001, 0.7], 900, p=[0.6, 0.2, 0.1, 0.1])
+        check(spark, (rng.random(900) < 0.3).astype(int).tolist(), p.tolist())
+        rows = [(f"m{i % 3}" if i % 3 else None, f"k{i:05d}", int(rng.random() < 0.4), float(rng.choice([0.3, 0.4]))) for i in range(400)]
+        got = {r.model: r.roc_auc for r in metrics.roc_auc(rank_scores(scored(spark, rows))).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for model in (None, "m1", "m2"):
+        mine = [r for r in rows if r[0] == model]
+        assert got[model] == pytest.approx(brute([r[2] for r in mine], [r[3] for r in mine])["roc_auc"], abs=1e-12)
+
+
+def test_scores_are_neither_shuffled_for_ties_nor_written_twice(spark):
+    ranked = rank_scores(scored(spark, [("m", f"k{i}", i % 2, i / 100) for i in range(100)]))
+    plan = metrics.metrics_of(ranked)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    # Runs meet by score under a name of their own; rows never do.
+    assert exchanges and not any("sort_score" in line or "rank_index" in line for line in exchanges), plan

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from visitloom.functions.scalar import log_loss, ratio, squared_error
 from visitloom.operators.ranking import Ranked, equal_frequency_band, ntile_band, rank_scores, top_share
@@ -22,19 +27,73 @@ def average_precision(ranked: Ranked) -> DataFrame:
         (F.sum(ratio("found", ranked.index + 1)) / F.max("group_positives")).alias("pr_auc"))
 
 
-def roc_auc(ranked: Ranked) -> DataFrame:
-    """Rank-sum AUC with average ranks for ties. Needs a descending rank; null when a class is empty."""
-    ties = ranked.rows.groupBy(*ranked.groups, "sort_score").agg(
-        F.min("rank_index").alias("first"), F.max("rank_index").alias("last"), F.sum("label").alias("positives"),
-        F.max("group_rows").alias("n"), F.max("group_positives").alias("n1"))
-    return ties.groupBy(*ranked.groups).agg(_rank_sum_auc().alias("roc_auc"))
+def tie_runs(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
+    """Runs of equal scores in ranked rows (group columns, sort_score, label, rank_index), as they lie in their files.
 
+    For each stretch of consecutive places of one group: its first and its last run, which may go on in another stretch, with
+    their score, places and positives, and the sum of positives times mean place over all runs between them.
+    """
+    for b in batches:
+        if not b.num_rows:
+            continue
+        index, label = b.column(groups + 2).to_numpy(), b.column(groups + 1).to_numpy()
+        known = b.column(groups).is_valid().to_numpy(zero_copy_only=False)
+        score = b.column(groups).fill_null(0.0).to_numpy()
+        opens = np.ones(len(index), bool)  # a stretch begins here
+        opens[1:] = np.diff(index) != 1
+        for i in range(groups):
+            opens[1:] |= np.diff(b.column(i).dictionary_encode().indices.fill_null(-1).to_numpy()) != 0
+        equal = (score[1:] == score[:-1]) | (np.isnan(score[1:]) & np.isnan(score[:-1]))
+        starts = opens.copy()
+        starts[1:] |= ~(equal & (known[1:] == known[:-1]))
+        first = np.flatnonzero(starts)
+        last = np.append(first[1:], len(index)) - 1
+        positives = np.add.reduceat(label.astype(np.int64), first)
+        edge = opens[first] | np.append(opens, True)[last + 1]
+        stretch = np.cumsum(opens)[first] - 1
+        inside = np.bincount(stretch, np.where(edge, 0, positives * (index[first] + index[last]) / 2.0))
+        begins, edges = np.flatnonzero(opens), np.flatnonzero(edge)
+        rows = pa.array(np.concatenate([begins, first[edges]]))
+        nothing = pa.nulls(len(begins), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [*[b.column(i).take(rows) for i in range(groups)],
+             b.column(groups).take(rows), pa.concat_arrays([nothing, pa.array(index[first[edges]])]),
+             pa.concat_arrays([nothing, pa.array(index[last[edges]])]), pa.concat_arrays([nothing, pa.array(positives[edges])]),
+             pa.concat_arrays([pa.array(inside), pa.nulls(len(edges), pa.float64())])],
+            [*b.schema.names[:groups], "sort_score", "first", "last", "positives", "inside"])
+
+
+def _positive_places(ranked: Ranked) -> DataFrame:
+    """groups, places: the sum over positives of their mean place among rows of their score. No row is shuffled: what leaves a
+    batch is a sum and two runs for each group in it, and only such runs meet by score."""
+    keys = list(ranked.groups)
+    rows = ranked.rows.select(*keys, F.col("sort_score").cast("double").alias("sort_score"), "label", "rank_index")
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("sort_score", T.DoubleType()),
+                           *[T.StructField(c, T.LongType()) for c in ("first", "last", "positives")], T.StructField("inside", T.DoubleType())])
+    count = len(keys)
+    runs = rows.mapInArrow(lambda batches: tie_runs(batches, count), schema)
+    # A run within one batch is an edge only once; a score's edges are parts of one run. Sums have no places.
+    met = runs.groupBy(*keys, F.col("first").isNull().alias("is_sum"), F.when(F.col("first").isNotNull(), F.col("sort_score")).alias("score")).agg(
+        F.sum("inside").alias("inside"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("positives").alias("positives"))
+    place = F.coalesce("inside", F.col("positives") * (F.col("first") + F.col("last")) / F.lit(2.0))
+    return met.groupBy(*keys).agg(F.sum(place).alias("places"))
+
+
+def _area(places, n, n1):
+    """AUC from the sum of mean places from the top: a place ``i`` is the ascending rank ``n - i``."""
+    n, n1 = n.cast("double"), n1.cast("double")
+    return ratio(n1 * n - places - n1 * (n1 + 1) / F.lit(2.0), n1 * (n - n1))
+
+
+def _sizes(ranked: Ranked) -> list:
+    return [F.max("group_rows").alias("n"), F.max("group_positives").alias("n1")]
 
-def _rank_sum_auc():
-    """Aggregate over ties (first, last, positives, n, n1). Ascending 1-based ranks of a tie run from n - last to n - first."""
-    mean_rank = F.col("n") - (F.col("first") + F.col("last")) / F.lit(2.0)
-    n1 = F.max("n1").cast("double")
-    return ratio(F.sum(F.col("positives") * mean_rank) - n1 * (n1 + 1) / F.lit(2.0), n1 * (F.max("n") - n1))
+
+def roc_auc(ranked: Ranked) -> DataFrame:
+    """Rank-sum AUC with average ranks for ties. Needs a descending rank; null when a class is empty."""
+    keys = list(ranked.groups)
+    both = _positive_places(ranked).unionByName(ranked.rows.groupBy(*keys).agg(*_sizes(ranked)), allowMissingColumns=True)
+    return both.groupBy(*keys).agg(_area(F.max("places"), F.max("n"), F.max("n1")).alias("roc_auc"))
 
 
 def probability_quality(scored: DataFrame, groups=("model",), score: str = "predicted_probability",
@@ -63,23 +122,22 @@ def model_metrics(scored: DataFrame, groups=("model",), capacity: float = CAPACI
 
 
 def metrics_of(ranked: Ranked, capacity: float = CAPACITY) -> DataFrame:
-    """Two reads of the ranked rows: one summed by score and then by group, one of the positives for average precision.
+    """Three narrow reads of the ranked rows, none of which shuffles them: sums for each group, runs of equal scores, and the
+    positives, for average precision.
 
-    The two meet in a grouping and not in a join, so a group whose key is null keeps its row.
+    They meet in a grouping and not in a join, so a group whose key is null keeps its row.
     """
     keys, top, p, y = list(ranked.groups), top_share(capacity), F.col("score"), F.col("label")
-    ties = ranked.rows.groupBy(*keys, "sort_score").agg(
-        F.min("rank_index").alias("first"), F.max("rank_index").alias("last"), F.sum("label").alias("positives"),
-        F.max("group_rows").alias("n"), F.max("group_positives").alias("n1"), F.count(F.lit(1)).alias("rows"),
-        F.sum(log_loss(y, p)).alias("loss"), F.sum(squared_error(y, p)).alias("error"),
-        F.count_if(top).alias("chosen"), F.sum(F.when(top, y).otherwise(0)).alias("found"))
-    found, rate, n, n1 = F.sum("found"), ratio(F.sum("found"), F.sum("chosen")), F.max("n"), F.max("n1")
-    summed = ties.groupBy(*keys).agg(
-        _rank_sum_auc().alias("roc_auc"), ratio(F.sum("loss"), F.sum("rows")).alias("log_loss"),
-        ratio(F.sum("error"), F.sum("rows")).alias("brier_score"), ratio(found, n1).alias("recall_at_top_10pct"),
-        rate.alias("conversion_rate_top_10pct"), ratio(rate, ratio(n1, n)).alias("lift_top_10pct"))
-    both = summed.unionByName(average_precision(ranked), allowMissingColumns=True)
-    return both.groupBy(*keys).agg(*[F.max(m).alias(m) for m in METRICS])
+    found, chosen = F.sum(F.when(top, y).otherwise(0)), F.count_if(top)
+    n, n1 = F.max("group_rows"), F.max("group_positives")
+    summed = ranked.rows.groupBy(*keys).agg(
+        *_sizes(ranked), F.avg(log_loss(y, p)).alias("log_loss"), F.avg(squared_error(y, p)).alias("brier_score"),
+        ratio(found, n1).alias("recall_at_top_10pct"), ratio(found, chosen).alias("conversion_rate_top_10pct"),
+        ratio(ratio(found, chosen), ratio(n1, n)).alias("lift_top_10pct"))
+    every = summed.unionByName(_positive_places(ranked), allowMissingColumns=True).unionByName(
+        average_precision(ranked), allowMissingColumns=True)
+    area = _area(F.max("places"), F.max("n"), F.max("n1"))
+    return every.groupBy(*keys).agg(*[(area if m == "roc_auc" else F.max(m)).alias(m) for m in METRICS])
 
 
 def metrics_long(metrics: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Rows are range-partitioned on (group, score, key). The key makes the sort key unique, so even a score shared by a third
 of all rows is split over partitions. The sorted rows are written once with their position; counts per partition give
-each partition its offset; index = offset + position inside the partition. Everything built on the index (bands, top
-share, average precision, AUC) is then a narrow read plus an aggregation.
+each partition its offset; index = offset + position inside the partition. The offsets, one row for each partition and group,
+are joined where the rows are read, so the rows are written once. Everything built on the index (bands, top share, average
+precision, AUC) is then a narrow read plus an aggregation.
 """
 
 from __future__ import annotations
@@ -35,8 +36,7 @@ def rank_scores(scored: DataFrame, groups=("model",), descending: bool = True, s
                 label: str = LABEL, key: str = KEY, rank_by: str | None = None) -> Ranked:
     """Rank rows within each group by score, ties by key in ascending order.
 
-    Scores are compared as they are; ``rank_by`` names another column to order by. A null group is a group. The rows are
-    stored with their rank, so that every table built on them is a plain read.
+    Scores are compared as they are; ``rank_by`` names another column to order by. A null group is a group.
     """
     direction = F.col("sort_score").desc() if descending else F.col("sort_score").asc()
     order = [*[F.col(g) for g in groups], direction, F.col(key)]
@@ -71,7 +71,7 @@ def rank_scores(scored: DataFrame, groups=("model",), descending: bool = True, s
     rows = ordered.join(named, same).withColumn(
         "rank_index", F.col("rows_before") + F.col("position") - F.col("first_position")).drop(
             "offset_part", *[f"offset_{g}" for g in groups])
-    return Ranked(materialize(rows, "ranked-scores"), tuple(groups))
+    return Ranked(rows, tuple(groups))
 
 
 def equal_frequency_band(bands: int = BANDS) -> Column:
