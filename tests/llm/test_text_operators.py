@@ -559,22 +559,59 @@ def test_kernel_equals_its_definition():
 
 
 def plain_substrings(rows):
-    """Removed characters of each document, by the definition of the spans."""
+    """What goes from each text, by the definition: every run that occurs again, but for its first place."""
     owner, found = {}, collections.defaultdict(list)
-    for doc, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+    key = lambda text: spark_hash(text or "")
+    for doc, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, key(r[1]))):
         sentences = [m for m in substring.SENTENCE.finditer(text or "") if any(c.isalnum() for c in m[0])]
         for i in range(len(sentences)):
-            for j in range(i + 1, len(sentences)):
-                words = " ".join(" ".join(s[0].lower().split()) for s in sentences[i: j + 1]).split()
-                if len(words) >= substring.MIN_WORDS:
-                    key = " ".join(words)
-                    place = (doc, sentences[i].start())
-                    if owner.setdefault(key, place) != place:
-                        found[doc].append((sentences[i].start(), sentences[j].end()))
-                    break
+            words, run = 0, hashlib.md5()
+            for j in range(i, len(sentences)):
+                more = sentences[j][0].lower().split()
+                words += len(more)
+                run.update(" ".join(more).encode() + b" ")
+                if j > i and words >= substring.MIN_WORDS:
+                    place = (doc, text, sentences[i].start())
+                    if owner.setdefault(run.copy().digest(), place) != place:
+                        found[doc, text].append((sentences[i].start(), sentences[j].end()))
     return found
 
 
+def spark_hash(text):
+    """As ``xxhash64`` of a text, signed."""
+    return int.from_bytes(xxhash.xxh64(text.encode(), 42).digest(), "big", signed=True)
+
+
+def check_substrings(rows, got):
+    """``got``: doc_id and text of the result."""
+    want = plain_substrings(rows)
+
+    def left(doc, text):
+        gone = {i for a, b in want[doc, text] for i in range(a, b)}
+        return text and "".join(c for i, c in enumerate(text) if i not in gone)
+
+    assert collections.Counter((d, left(d, t)) for d, t in rows) == collections.Counter(got)
+
+
+def test_spans_cover_what_all_runs_cover(spark):
+    """Passages of sentences of all lengths, nested, repeated within a text, and at its ends."""
+    rnd = random.Random(21)
+    pool = [" ".join(rnd.choices("alpha beta gamma delta epsilon zeta".split(), k=rnd.choice([1, 2, 3, 5, 10, 10, 17]))) + "." for _ in range(40)]
+    rows = []
+    for doc in range(60):
+        text = []
+        for _ in range(rnd.randint(1, 4)):
+            at = rnd.randrange(len(pool))
+            text += pool[at: at + rnd.randint(1, 7)] + [f"Only {doc} here {rnd.random()}."] * rnd.randint(0, 1)
+        rows.append((rnd.choice([doc, doc // 2, None]), " ".join(text)))
+    a, b, tail = "One sentence that holds just ten words, and no more.", "Another sentence that holds just ten words, and no more.", "Short tail here."
+    rows += [(1000, f"{a} {b} {tail}"), (1001, f"Before it. {a} {b} {tail}"), (None, f"{a} {b} {tail} First."), (None, f"{a} {b} {tail} Second.")]
+    rows += [rows[0], rows[0], (None, None), (7, "")]
+    got = substring.deduplicate_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    check_substrings(rows, texts_of(got))
+    assert {r.text for r in got.where("doc_id = 1001").collect()} == {"Before it. "}
+
+
 def test_substring_dedup(spark, small, odd, nothing):
     passage = " ".join(f"Sentence number {i} says something that nobody else would say." for i in range(8))
     docs = spark.createDataFrame(
@@ -585,11 +622,7 @@ def test_substring_dedup(spark, small, odd, nothing):
     assert got[1].n_removed == 0 and got[2].text == "Another beginning. Another end of two." and got[2].n_removed == 8
     assert got[3].n_removed == 0 and got[4].text == "" and got[5].text is None and got[6].text == ""
     rows = texts_of(small)
-    want = plain_substrings(rows)
-    for r in substring.deduplicate_substrings(small).collect():
-        text = dict(rows)[r.doc_id]
-        gone = {i for a, b in want[r.doc_id] for i in range(a, b)}
-        assert r.text == "".join(c for i, c in enumerate(text) if i not in gone), r.doc_id
+    check_substrings(rows, texts_of(substring.deduplicate_substrings(small)))
     assert substring.deduplicate_substrings(odd).count() == len(ODD) and substring.deduplicate_substrings(nothing).count() == 0
 
 
@@ -621,5 +654,5 @@ def test_pipeline_stages_take_odd_and_empty_tables(spark, odd, nothing):
 
 
 def test_registered_names():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert json.dumps(sorted(queries.QUERIES))
