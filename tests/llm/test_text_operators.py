@@ -172,18 +172,55 @@ def test_rows_apart_by_nulls_and_nested_columns_alone(spark):
         assert out.columns[:6] == docs.columns and out.count() == 4
 
 
-def test_index_persists_and_needs_no_shuffle(spark, small, tmp_path):
-    path = str(tmp_path / "index")
-    first = exact.DigestIndex(spark, path, buckets=4)
-    kept = exact.distinct_documents(small.where("doc_id % 2 = 0"), first).count()
+def test_index_persists_and_is_neither_shuffled_nor_sorted(spark, small, tmp_path, monkeypatch):
+    path, want = str(tmp_path / "index"), len(plain_exact(texts_of(small)))
+    first, kept = exact.DigestIndex(spark, path, buckets=4), 0
+    for part in range(3):
+        kept += exact.distinct_documents(small.where(f"doc_id % 4 = {part}"), first).count()
+        first.commit()
     again = exact.DigestIndex(spark, path, buckets=32)
     assert again.buckets == 4  # the number it was made with
-    assert exact.distinct_documents(small.where("doc_id % 2 = 0"), again).count() == 0
-    more = exact.distinct_documents(small, again).count()
-    assert kept + more == len(plain_exact(texts_of(small))) == again.rows().count()
-    plan = small.select(exact.text_digest(F.col("text")).alias("digest")).join(again.rows().hint("merge"), "digest", "left_anti")
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in text and text.count("Exchange hashpartitioning") == 1
+    assert exact.distinct_documents(small.where("doc_id % 4 < 2"), again).count() == 0
+    assert len(again._parts(again._log())) == 3
+    monkeypatch.setattr(exact, "MOST_PARTS", 2)
+    again.commit()  # merges the tables
+    base, = again._parts(again._log())
+    assert "/base-" in base and again.rows().count() == kept
+    files = [f for f in (tmp_path / "index" / base.rsplit("/", 1)[1]).iterdir() if f.name.startswith("part-")]
+    assert len(files) == 4
+    with again._tables([base, base]) as (left, right):
+        plan = left.join(right.hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan, plan
+    assert kept + exact.distinct_documents(small, again).count() == want
+    again.commit()
+    assert again.rows().count() == want and again.rows().select("digest").distinct().count() == want
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digests_")]
+
+
+def test_a_lost_batch_is_added_again(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "doc_id long, text string")
+    index = exact.DigestIndex(spark, str(tmp_path / "index"), 3)
+    index.add(docs)  # the result is lost
+    for opened in (index, exact.DigestIndex(spark, str(tmp_path / "index"))):
+        assert opened.add(docs).where("kept").count() == 6
+    index.commit()
+    assert exact.DigestIndex(spark, str(tmp_path / "index")).add(docs).where("kept").count() == 0
+    with pytest.raises(ValueError, match="no batch"):
+        index.commit()
+
+
+def test_of_two_writers_one_decides_again(spark, tmp_path):
+    path, out = str(tmp_path / "index"), str(tmp_path / "out")
+    both = spark.createDataFrame([(1, "shared"), (2, "only here")], "doc_id long, text string")
+    one, other = exact.DigestIndex(spark, path, 3), exact.DigestIndex(spark, path, 3)
+    assert (one.add(both).where("kept").count(), other.add(both.where("doc_id = 1")).where("kept").count()) == (2, 1)
+    one.commit()
+    with pytest.raises(exact.IndexConflict):
+        other.commit()
+    exact.append_distinct(both.union(spark.createDataFrame([(3, "third")], both.schema)), other, out)
+    exact.append_distinct(both, other, out)
+    assert texts_of(spark.read.parquet(out)) == [(3, "third")]
+    assert one.rows().count() == 3
 
 
 # ---- packing and tokenizers
