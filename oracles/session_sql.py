@@ -493,3 +493,26 @@ ORACLES |= {
 SELECT model, session_id, true AS adds_up, true AS is_the_score
 FROM early_rows, (SELECT unnest(['logistic', 'boosted_tree']) AS model) WHERE session_date >= {CUTOFF}"""),
 }
+
+
+def _period_drift() -> str:
+    pairs = {"split": ("2024-01-01", "2024-01-21", "2024-01-22", "2024-01-31"), "weeks": ("2024-01-01", "2024-01-10", "2024-01-08", "2024-01-14"),
+             "days": ("2024-01-29", "2024-01-29", "2024-01-02", "2024-01-02")}
+    values = " UNION ALL ".join(f"SELECT session_date, '{f}' AS col, CAST({f} AS VARCHAR) AS val FROM features" for f in FEATURES)
+    listed = ", ".join(f"('{name}', DATE '{a}', DATE '{b}', DATE '{c}', DATE '{d}')" for name, (a, b, c, d) in pairs.items())
+    return q(FEATURE_ROWS + f""", long_rows AS ({values}), pairs(periods, a, b, c, d) AS (VALUES {listed}),
+counts AS (
+  SELECT periods, col, val, count(*) FILTER (WHERE session_date BETWEEN a AND b) AS x,
+    count(*) FILTER (WHERE session_date BETWEEN c AND d) AS y
+  FROM long_rows, pairs WHERE session_date BETWEEN a AND b OR session_date BETWEEN c AND d GROUP BY periods, col, val
+), shares AS (
+  SELECT *, greatest(1e-6::DOUBLE, x / CAST(sum(x) OVER (PARTITION BY periods, col) AS DOUBLE)) AS px,
+    greatest(1e-6::DOUBLE, y / CAST(sum(y) OVER (PARTITION BY periods, col) AS DOUBLE)) AS py FROM counts)""", f"""
+SELECT periods, col AS "column", CAST(sum(y) AS BIGINT) AS sessions,
+  {r("sum(CASE WHEN val = '<MISSING>' THEN y ELSE 0 END) / CAST(sum(y) AS DOUBLE)", 'missing_rate')},
+  {r("sum(CASE WHEN x = 0 THEN y ELSE 0 END) / CAST(sum(y) AS DOUBLE)", 'unseen_rate')},
+  {r('sum((py - px) * ln(py / px))', 'stability_index')}, count(*) AS distinct_values
+FROM shares GROUP BY periods, col""")
+
+
+ORACLES |= {"period_drift": _period_drift(), "sessions_by_days": ORACLES["sessionize"]}

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitloom.functions.scalar import ratio
+from visitloom.operators.incremental import replace_folders
 from visitloom.operators.lookups import feature_values
 from visitloom.operators.metrics import metrics_of
 from visitloom.operators.ranking import Ranked, equal_frequency_band, rank_scores
-from visitloom.spec import KEY, MISSING, START_FEATURES
+from visitloom.spec import DATE, KEY, MISSING, START_FEATURES
 
 # Share given to a value that one of two periods lacks, so that its logarithm exists.
 DRIFT_FLOOR = 1e-6
@@ -26,10 +27,38 @@ def _periods(train: DataFrame, test: DataFrame, features) -> DataFrame:
     return joined.fillna(0, ["train_n", "test_n"])
 
 
+def daily_profile(df: DataFrame, features=START_FEATURES) -> DataFrame:
+    """(session_date, column, value, n): what coverage and drift between any two periods need. Profiles of different days are
+    put side by side; those of one day add up."""
+    return feature_values(df, features, (DATE,)).groupBy(DATE, "column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def write_profile(profile: DataFrame, path: str, days: list) -> None:
+    """The days' folders of the stored profile get these counts; a day that is written again is replaced."""
+    replace_folders(profile, path, DATE, days)
+
+
+def read_profile(spark, path: str) -> DataFrame:
+    return spark.read.schema(f"column string, value string, n long, {DATE} date").parquet(path)
+
+
+def profile_periods(profile: DataFrame, before: tuple, after: tuple) -> DataFrame:
+    """(column, value, train_n, test_n) of two periods (first and last day, which may overlap) from a profile: only their days
+    are read, and no session."""
+    inside = [F.col(DATE).between(F.lit(first), F.lit(last)) for first, last in (before, after)]
+    counts = [F.sum(F.when(period, F.col("n")).otherwise(0)).alias(name) for period, name in zip(inside, ("train_n", "test_n"))]
+    return profile.where(inside[0] | inside[1]).groupBy("column", "value").agg(*counts)
+
+
 def input_coverage(train: DataFrame, test: DataFrame, features=START_FEATURES) -> DataFrame:
     """Per feature: share of test sessions with a missing value, and with a value the training sessions never had."""
+    return coverage_of(_periods(train, test, features))
+
+
+def coverage_of(periods: DataFrame) -> DataFrame:
+    """The same from the counts of both periods."""
     rows = F.sum("test_n")
-    return _periods(train, test, features).groupBy("column").agg(
+    return periods.groupBy("column").agg(
         rows.alias("sessions"),
         ratio(F.sum(F.when(F.col("value") == MISSING, F.col("test_n")).otherwise(0)), rows).alias("missing_rate"),
         ratio(F.sum(F.when(F.col("train_n") == 0, F.col("test_n")).otherwise(0)), rows).alias("unseen_rate"))
@@ -37,7 +66,11 @@ def input_coverage(train: DataFrame, test: DataFrame, features=START_FEATURES) -
 
 def feature_drift(train: DataFrame, test: DataFrame, features=START_FEATURES) -> DataFrame:
     """Population stability index per feature: sum of (test share - train share) * ln(test share / train share)."""
-    periods = _periods(train, test, features)
+    return drift_of(_periods(train, test, features))
+
+
+def drift_of(periods: DataFrame) -> DataFrame:
+    """The same from the counts of both periods."""
     totals = periods.groupBy("column").agg(F.sum("train_n").alias("train_total"), F.sum("test_n").alias("test_total"))
     before = F.greatest(ratio("train_n", "train_total"), F.lit(DRIFT_FLOOR))
     after = F.greatest(ratio("test_n", "test_total"), F.lit(DRIFT_FLOOR))

@@ -38,17 +38,36 @@ def sessionize(flat: DataFrame, spec: SessionSpec = DEFAULT_SPEC) -> DataFrame:
     set collected and no row expanded, so a session holding a large share of all events is combined on the map side
     and spread over tasks by event and transaction.
     """
+    return sessions_of_steps(session_steps(flat, spec), spec)
+
+
+def session_steps(flat: DataFrame, spec: SessionSpec = DEFAULT_SPEC, by: tuple = ()) -> DataFrame:
+    """The first level, also apart by the columns ``by``. Steps of parts of the log can be merged with :func:`merge_steps`."""
     purchase = named(spec.purchase_event)
     transaction = F.when(purchase, F.col("transaction_id")).alias("transaction_id")
-    steps = flat.withColumn("transaction_id", transaction).groupBy(*SESSION_KEY, "event_name", "transaction_id").agg(
+    date = [] if "event_date" in by else [F.min("event_date").alias("event_date")]
+    return flat.withColumn("transaction_id", transaction).groupBy(*SESSION_KEY, "event_name", "transaction_id", *by).agg(
         F.count(F.lit(1)).alias("events"),
-        F.min("event_date").alias("event_date"),
+        *date,
         F.min("event_timestamp").alias("start_ts"),
         F.max("event_timestamp").alias("end_ts"),
         *[earliest(a) for a in spec.attributes],
         F.sum(F.when(purchase, F.coalesce("purchase_revenue", F.lit(0.0))).otherwise(0.0)).alias("revenue"),
         F.sum(F.coalesce("engagement_time_msec", F.lit(0))).alias("engagement"),
     )
+
+
+def merge_steps(steps: DataFrame, spec: SessionSpec = DEFAULT_SPEC) -> DataFrame:
+    """Steps of several parts as those of all events together."""
+    return steps.groupBy(*SESSION_KEY, "event_name", "transaction_id").agg(
+        F.sum("events").alias("events"), F.min("event_date").alias("event_date"), F.min("start_ts").alias("start_ts"),
+        F.max("end_ts").alias("end_ts"), *[F.min(a).alias(a) for a in spec.attributes], F.sum("revenue").alias("revenue"),
+        F.sum("engagement").alias("engagement"))
+
+
+def sessions_of_steps(steps: DataFrame, spec: SessionSpec = DEFAULT_SPEC) -> DataFrame:
+    """The second level: one row for each session."""
+    purchase = named(spec.purchase_event)
     sessions = steps.groupBy(*SESSION_KEY).agg(
         F.to_date(F.min("event_date"), "yyyyMMdd").alias("session_date"),
         *[F.min(a)[a].alias(a) for a in spec.attributes],

@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.operators import early, early_models, features, funnel, logistic, metrics, monitoring, naive_bayes
+from visitloom.operators import early, early_models, features, funnel, incremental, logistic, metrics, monitoring, naive_bayes
 from visitloom.operators import quality, ranking, reports, sessions
 from visitloom.operators.attributions import added_column
 from visitloom.operators.target_encoding import rate_column
@@ -25,6 +25,10 @@ SPEC = dataclasses.replace(DEFAULT_SPEC, cutoff=dt.date(2024, 1, 22))
 SCAN_DAYS = ("20240108", "20240121")
 WIDE_WINDOW_SECONDS = 14_400
 DIGITS = 6
+# Name, then first and last day of two periods; the second pair overlaps.
+PERIODS = (("split", (dt.date(2024, 1, 1), dt.date(2024, 1, 21)), (dt.date(2024, 1, 22), dt.date(2024, 1, 31))),
+           ("weeks", (dt.date(2024, 1, 1), dt.date(2024, 1, 10)), (dt.date(2024, 1, 8), dt.date(2024, 1, 14))),
+           ("days", (dt.date(2024, 1, 29), dt.date(2024, 1, 29)), (dt.date(2024, 1, 2), dt.date(2024, 1, 2))))
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
@@ -449,6 +453,32 @@ def experiment_outcomes(spark, sf_dir):
     return rounded(monitoring.experiment_outcomes(monitoring.assign_arms(ranked(scored)), stored).drop("model"), 5)
 
 
+def period_drift(spark, sf_dir):
+    """Coverage and drift between three pairs of periods, all from one stored profile."""
+    table = feature_rows(spark, sf_dir)
+    path, days = new_path(spark, "profile"), [r[0] for r in table.select(DATE).distinct().collect()]
+    half = len(days) // 2
+    for some in (sorted(days)[:half], sorted(days)[half:], sorted(days)[:3]):  # the last ones again, which changes nothing
+        monitoring.write_profile(monitoring.daily_profile(table.where(F.col(DATE).isin(*some))), path, some)
+    parts = []
+    for name, before, after in PERIODS:
+        periods = materialize(monitoring.profile_periods(monitoring.read_profile(spark, path), before, after), "periods")
+        both = monitoring.coverage_of(periods).join(monitoring.drift_of(periods), "column")
+        parts.append(both.select(F.lit(name).alias("periods"), "*"))
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+def sessions_by_days(spark, sf_dir):
+    """The session table built from stored days in four updates, of which the last repeats days that it has."""
+    root, store = new_path(spark, "events"), incremental.SessionStore(spark, new_path(spark, "session-store"), SPEC)
+    events.write_events(nested_events(spark, sf_dir), root)
+    days = sorted(r[0] for r in events.scan_events(spark, root).select("event_date").distinct().collect())
+    third = -(-len(days) // 3)
+    for some in (days[:third], days[2 * third:], days[third: 2 * third], days[third - 2: third + 2]):
+        store.update(events.flatten_events(events.scan_events(spark, root, some[0], some[-1]), SPEC), some)
+    return rounded(store.read())
+
+
 def segment_metrics_nulls(spark, sf_dir):
     """Segments of which one is null."""
     scored = nb_scored(spark, sf_dir).withColumn("segment", F.expr("nullif(device_category, 'mobile')"))
@@ -542,7 +572,7 @@ QUERIES = {
         dashboard_kpis, dashboard_funnel, dashboard_model_kpis, dashboard_model_comparison, dashboard_lift_deciles,
         dashboard_calibration_tidy, dashboard_model_controls,
         input_coverage, feature_drift, score_distribution, segment_metrics, experiment_assignment, experiment_outcomes,
-        segment_metrics_nulls, nb_comparison, nb_selected, nb_dashboard_comparison, nb_evaluation, class_weights,
+        segment_metrics_nulls, period_drift, sessions_by_days, nb_comparison, nb_selected, nb_dashboard_comparison, nb_evaluation, class_weights,
         nb_reloaded_scores, logistic_certificate, lift_csv, session_catalog,
     )},
 }
