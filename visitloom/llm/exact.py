@@ -151,7 +151,8 @@ class DigestIndex:
             batch = self._write(new.select("digest", "keep_id", "keep_chars"), "batch")
             met = [mine.select("digest", "group_size").join(p.select("digest", "keep_id").hint("merge"), "digest").select(
                 "digest", "keep_id", "group_size", F.lit(None).cast("long").alias("keep_row")) for p in parts]
-            decided = reduce(DataFrame.unionByName, met, new.select("digest", "keep_id", "group_size", "keep_row"))
+            # Stored, so that both sides of the join with the rows are dealt anew and a digest of very many rows can be split.
+            decided = materialize(reduce(DataFrame.unionByName, met, new.select("digest", "keep_id", "group_size", "keep_row")), "decided")
             decisions = materialize(rows.join(decided, "digest").select(
                 "doc_id", "row_hash", "chars", "digest", "keep_id", "group_size",
                 (F.col("row") == F.coalesce("keep_row", F.lit(-1))).alias("kept")), "decisions")
