@@ -321,10 +321,11 @@ UNION ALL SELECT 'Duplicate session IDs', CAST(count(*) - count(DISTINCT session
 UNION ALL SELECT 'Start date', CAST(min(session_date) AS VARCHAR) FROM sessions
 UNION ALL SELECT 'End date', CAST(max(session_date) AS VARCHAR) FROM sessions"""),
     "leakage_audit_regex": q(SESSIONS, _populated(_words(START_WORDS, "converted"))),
-    "leakage_audit_early": _populated([]),  # the early table has no such column
     "leakage_audit_tokens": q(SESSIONS, """
 SELECT 'Score-time feature count' AS control, '7' AS result
 UNION ALL SELECT 'Post-session or outcome feature matches', '[]'
+UNION ALL SELECT 'Label definition', CASE WHEN bool_and((converted = 1) = (purchase_events > 0)) THEN 'Any purchase within the session'
+  ELSE 'Violated' END FROM sessions
 UNION ALL SELECT 'Sessions with every feature', CAST(count(*) AS VARCHAR) FROM sessions WHERE """
                               + " AND ".join(f"{f} IS NOT NULL" for f in FEATURES)
                               + " UNION ALL SELECT 'Feature contract', 'Passed'"),
@@ -516,3 +517,32 @@ FROM shares GROUP BY periods, col""")
 
 
 ORACLES |= {"period_drift": _period_drift(), "sessions_by_days": ORACLES["sessionize"]}
+
+
+def _payload_document() -> str:
+    measured = _of_models(_metric_columns())
+    sides = {"train": "train", "test": "test"}
+    none = "CAST(NULL AS DOUBLE) AS number"
+    lines = ["SELECT 'data' AS section, 'rows' AS name, CAST(count(*) AS DOUBLE) AS number, CAST(NULL AS VARCHAR) AS text FROM features"]
+    for side in sides:
+        lines += [f"SELECT 'data', '{side}_{n}', {r(f'CAST({e} AS DOUBLE)', 'number')}, NULL FROM {side}" for n, e in (
+            ("rows", "count(*)"), ("purchases", "sum(converted)"), ("conversion_rate", "avg(converted)"))]
+        lines += [f"SELECT 'split', '{side}_{n}', {none}, strftime({f}(session_date), '%Y-%m-%d') FROM {side}" for n, f in (
+            ("start", "min"), ("end", "max"))]
+    lines += [f"SELECT 'feature_contract', '{n}', {none}, '{text}'" for n, text in (
+        ("safe_features", ",".join(FEATURES)), ("prohibited_columns_present_but_excluded", ",".join(sorted(PROHIBITED))), ("status", "passed"))]
+    lines += [f"SELECT model, '{m}', {m}, NULL FROM ({measured})" for m in METRICS]
+    lines += [f"SELECT 'selected_by_pr_auc', 'model', {none}, arg_max(model, pr_auc) FROM ({measured})",
+              "SELECT 'training_loss', 'iterations', 0.0::DOUBLE, NULL"]
+    return q(FEATURE_ROWS, " UNION ALL ".join(lines))
+
+
+_EARLY_COLUMNS = (["session_id", "session_date", "converted", "early_event_count", "early_distinct_event_types"] + list(EARLY_COUNTERS)
+                  + ["early_engagement_seconds"] + ATTRIBUTES + ["day_of_week", "is_weekend", "session_hour"])
+ORACLES |= {
+    "leakage_audit_early": q(f"early_rows AS ({_early(14400)})", " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, regexp_matches('{c}', 'purchase|revenue|transaction|payment|checkout|duration|total_events') AS forbidden, "
+        f"count({c}) AS populated_rows FROM early_rows" for c in _EARLY_COLUMNS)),
+    "payload_document": _payload_document(),
+    "logistic_history_check": "SELECT true AS falls, true AS converged, true AS ends_at_the_objective",
+}

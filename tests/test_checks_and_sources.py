@@ -4,8 +4,9 @@ import datetime as dt
 
 import pytest
 from frames import event, flat
+from pyspark.sql import functions as F
 
-from visitloom.operators import features, monitoring, quality
+from visitloom.operators import features, logistic, monitoring, quality
 from visitloom.operators.sessions import sessionize
 from visitloom.sources import events, tables, workspace
 from visitloom.spec import DATE, EARLY_LEAKAGE_WORDS, START_FEATURES, START_LEAKAGE_WORDS
@@ -160,3 +161,32 @@ def test_monitoring_of_unseen_and_missing_values(spark):
     assert (row.sessions, row.missing_rate, row.unseen_rate) == (4, 0.25, 0.5)
     assert monitoring.feature_drift(train, train, ("country",)).first().stability_index == 0.0
     assert monitoring.feature_drift(train, test, ("country",)).first().stability_index > 1.0
+
+
+def test_label_definition_is_held_against_the_purchases(spark):
+    rows = flat(spark, event("page_view", 0, "a"), event("purchase", 0, "b", transaction="T"))
+    sessions = sessionize(rows)
+    result = lambda df: {r.control: r.result for r in quality.leakage_audit_tokens(
+        df, START_FEATURES, START_LEAKAGE_WORDS).collect()}["Label definition"]
+    assert result(sessions) == "Any purchase within the session"
+    assert result(sessions.withColumn("converted", 1 - F.col("converted"))) == "Violated"
+    assert result(sessions.drop("purchase_events")) == "Any purchase within the session"
+
+
+def test_a_saved_logistic_model_is_whole(spark, tmp_path):
+    model = logistic.HashedLogistic(spark, (0.5, -1.0), 0.25, (0.7, 0.6), ("a", "b"), False)
+    model.save(str(tmp_path))
+    again = logistic.load_hashed_logistic(spark, str(tmp_path), ("a", "b"))
+    assert (again.weights, again.intercept, again.history, again.features, again.converged) == (
+        model.weights, model.intercept, model.history, model.features, model.converged)
+    with pytest.raises(ValueError, match="was fitted on"):
+        logistic.load_hashed_logistic(spark, str(tmp_path), ("a",))
+
+
+def test_documents_are_indented_and_read_back(spark, tmp_path):
+    row = spark.sql("SELECT named_struct('n', 1, 't', 'a\"b') AS data, array(0.5D, 0.25D) AS loss, CAST(NULL AS string) AS nothing")
+    tables.write_document(row, str(tmp_path / "document"))
+    written = next(p for p in (tmp_path / "document").iterdir() if p.name.startswith("part-")).read_text()
+    assert written.count("\n") > 4
+    got = tables.read_document(spark, str(tmp_path / "document")).first()
+    assert (got.data.n, got.data.t, got.loss, got.nothing) == (1, 'a"b', [0.5, 0.25], None)

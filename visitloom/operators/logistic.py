@@ -37,17 +37,24 @@ class HashedLogistic:
         return self.spark.createDataFrame(rows, "iteration int, objective double")
 
     def save(self, path: str) -> None:
-        """Weights, intercept and bucket count as tables."""
+        """Two tables: the weights, and all else."""
         self.weight_table().coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
         self.spark.createDataFrame(
-            [(float(self.intercept), len(self.weights))], "intercept double, buckets int",
+            [(float(self.intercept), len(self.weights), list(self.features), [float(h) for h in self.history], self.converged)],
+            "intercept double, buckets int, features array<string>, history array<double>, converged boolean",
         ).coalesce(1).write.mode("overwrite").parquet(f"{path}/intercept")
 
 
-def load_hashed_logistic(spark: SparkSession, path: str, features=START_FEATURES) -> HashedLogistic:
+def load_hashed_logistic(spark: SparkSession, path: str, features=None) -> HashedLogistic:
+    """The model as it was saved. ``features``, if given, must be those it was fitted on."""
     weights = spark.read.parquet(f"{path}/weights").orderBy("bucket").collect()  # one row per bucket
-    intercept = spark.read.parquet(f"{path}/intercept").first()["intercept"]
-    return HashedLogistic(spark, tuple(row["weight"] for row in weights), intercept, (), tuple(features))
+    row = spark.read.parquet(f"{path}/intercept").first()
+    if len(weights) != row["buckets"]:
+        raise ValueError(f"{path}: {len(weights)} weights for {row['buckets']} buckets")
+    if features is not None and tuple(features) != tuple(row["features"]):
+        raise ValueError(f"{path} was fitted on {row['features']}, not on {list(features)}")
+    return HashedLogistic(spark, tuple(w["weight"] for w in weights), row["intercept"], tuple(row["history"]),
+                          tuple(row["features"]), row["converged"])
 
 
 def _vectors(rows: DataFrame, features, buckets: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitloom.functions.scalar import is_close, ratio
-from visitloom.spec import (CONTRACT_CONTROLS, DATE, KEY, LABEL, PROHIBITED_COLUMNS, QUALITY_CHECKS, REQUIRED_COLUMNS,
+from visitloom.spec import (CONTRACT_CONTROLS, DATE, KEY, LABEL, LABEL_DEFINITION, PROHIBITED_COLUMNS, QUALITY_CHECKS, REQUIRED_COLUMNS,
                             START_FEATURES)
 
 
@@ -74,19 +74,29 @@ def leakage_audit_regex(df: DataFrame, words, label: str | None = None) -> DataF
     return populated_columns(df, columns_matching(df.columns, words, label))
 
 
-def leakage_audit_tokens(df: DataFrame, features, tokens) -> DataFrame:
-    """Feature list against a token list: (control, result) rows; features must all be present in ``df``."""
+def column_policy(df: DataFrame, words, label: str | None = None) -> DataFrame:
+    """Every column with the verdict of the word policy and the rows that carry it."""
+    forbidden = columns_matching(df.columns, words, label)
+    return populated_columns(df, df.columns).select(
+        "column_name", F.col("column_name").isin(forbidden).alias("forbidden"), "populated_rows")
+
+
+def leakage_audit_tokens(df: DataFrame, features, tokens, purchases: str = "purchase_events") -> DataFrame:
+    """Feature list against a token list: (control, result) rows; features must all be present in ``df``. Where the number of
+    purchases is at hand, the label's definition is held against it."""
     found = features_with_token(features, tokens)
     names = list(CONTRACT_CONTROLS)
     complete = F.lit(True)
     for feature in features:
         complete = complete & F.col(feature).isNotNull()
     passed = len(features) == len(START_FEATURES) and not found
+    odd = F.count_if((F.col(LABEL) == 1) != (F.col(purchases) > 0)) if purchases in df.columns else F.lit(0)
     return df.agg(
         F.lit(str(len(features))).alias(names[0]),
         F.lit("[" + ", ".join(found) + "]").alias(names[1]),
-        F.count_if(complete).cast("string").alias(names[2]),
-        F.lit("Passed" if passed else "Failed").alias(names[3]),
+        F.when(odd == 0, LABEL_DEFINITION).otherwise("Violated").alias(names[2]),
+        F.count_if(complete).cast("string").alias(names[3]),
+        F.lit("Passed" if passed else "Failed").alias(names[4]),
     ).unpivot([], names, "control", "result")
 
 

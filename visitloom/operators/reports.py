@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from visitloom.functions.scalar import ratio
 from visitloom.operators.funnel import funnel, funnel_transitions
-from visitloom.operators.metrics import calibration_table, decile_table, metrics_long
+from visitloom.operators.metrics import METRICS, calibration_table, decile_table, metrics_long
 from visitloom.operators.quality import split_summary
 from visitloom.operators.ranking import Ranked
 from visitloom.spec import (CAPACITY_CONTROL, GATE_CONTROL, LEAKAGE_CONTROL, METRIC_CONTROL, MODEL_LABELS,
-                            PROHIBITED_COLUMNS, SPLIT_CONTROL)
+                            PROHIBITED_COLUMNS, SPLIT_CONTROL, START_FEATURES)
 
 
 def dashboard_kpis(sessions: DataFrame) -> DataFrame:
@@ -92,6 +92,52 @@ def dashboard_model_controls(features: DataFrame, metrics: DataFrame, model: str
     ))).orderBy("control")
 
 
+def payload_document(sessions_columns, features: DataFrame, metrics: DataFrame, cutoff: dt.date, used=START_FEATURES,
+                     training_loss=()) -> DataFrame:
+    """One row, the whole record of a training run: data, split, feature_contract, models (metrics by name), selected_by_pr_auc and
+    training_loss."""
+    excluded = sorted(set(sessions_columns) & set(PROHIBITED_COLUMNS))
+    status = "passed" if not set(used) & set(PROHIBITED_COLUMNS) else "failed"
+    of = {side: F.col("sample") == side.title() for side in ("train", "test")}
+
+    def only(side: str, column: str):
+        return F.max(F.when(of[side], F.col(column)))
+
+    def text(value):
+        return F.date_format(value, "yyyy-MM-dd")
+
+    sides = split_summary(features, cutoff).agg(
+        F.struct(F.sum("sessions").alias("rows"), *[only(s, c).alias(f"{s}_{n}") for c, n in (
+            ("sessions", "rows"), ("purchases", "purchases"), ("conversion_rate", "conversion_rate")) for s in of]).alias("data"),
+        F.struct(*[text(only(s, c)).alias(f"{s}_{n}") for s in of for c, n in (("start_date", "start"), ("end_date", "end"))]).alias("split"))
+    models = metrics.agg(  # one row for each model
+        F.map_from_entries(F.collect_list(F.struct("model", F.struct(*METRICS)))).alias("models"),
+        F.max_by("model", "pr_auc").alias("selected_by_pr_auc"))
+    contract = F.struct(F.lit(list(used)).alias("safe_features"), F.lit(excluded).cast("array<string>").alias(
+        "prohibited_columns_present_but_excluded"), F.lit(status).alias("status"))
+    both = sides.unionByName(models, allowMissingColumns=True)  # two rows, each with the other's columns null
+    return both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns]).select(
+        "data", "split", contract.alias("feature_contract"), "models", "selected_by_pr_auc",
+        F.lit([float(x) for x in training_loss]).cast("array<double>").alias("training_loss"))
+
+
+def document_lines(document: DataFrame) -> DataFrame:
+    """(section, name, number, text): a payload document, as it is read back, line by line."""
+    def line(section, name, number=None, text=None):
+        number = F.lit(None) if number is None else number
+        return F.struct(F.lit(section).alias("section"), F.lit(name).alias("name"), number.cast("double").alias("number"),
+                        (F.lit(None) if text is None else text).cast("string").alias("text"))
+
+    kinds = {f.name: f.dataType for f in document.schema}
+    lines = [line("data", n, F.col(f"data.{n}")) for n in kinds["data"].fieldNames()]
+    lines += [line("split", n, text=F.col(f"split.{n}")) for n in kinds["split"].fieldNames()]
+    lines += [line("feature_contract", n, text=F.concat_ws(",", f"feature_contract.{n}")) for n in kinds["feature_contract"].fieldNames()]
+    lines += [line(m, n, F.col("models")[m][n]) for m in kinds["models"].fieldNames() for n in kinds["models"][m].dataType.fieldNames()]
+    lines += [line("selected_by_pr_auc", "model", text=F.col("selected_by_pr_auc")),
+              line("training_loss", "iterations", F.size("training_loss"))]
+    return document.select(F.inline(F.array(*lines)))
+
+
 def training_payload(features: DataFrame, metrics: DataFrame, cutoff: dt.date) -> DataFrame:
     """(model, metric, value): the size of both samples under the name ``data``, then the metrics of each model."""
     sides = split_summary(features, cutoff)

@@ -32,10 +32,10 @@ EVENT_SCHEMA = T.StructType([
 def scan_events(spark: SparkSession, root: str, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
     """Nested events stored under ``root`` by ``event_date=YYYYMMDD``, only the days asked for (both ends included).
 
-    The explicit schema keeps the day a string; the day filter selects folders before any file is opened.
+    The explicit schema keeps the day a string; the day filter selects folders before any file is opened. In files of a tracker
+    that had no ``event_id`` then, it is null.
     """
-    stored = set(spark.read.parquet(root).columns)  # from one footer: a tracker may have no event_id
-    events = spark.read.schema(T.StructType([f for f in EVENT_SCHEMA if f.name != "event_id" or f.name in stored])).parquet(root)
+    events = spark.read.schema(EVENT_SCHEMA).parquet(root)
     if first_day is not None:
         events = events.where(F.col("event_date") >= first_day)
     if last_day is not None:
@@ -51,12 +51,13 @@ def write_events(events: DataFrame, root: str) -> None:
 def flatten_events(events: DataFrame, spec: SessionSpec = DEFAULT_SPEC) -> DataFrame:
     """One flat row per event that belongs to a session; events without a session id are dropped.
 
-    A tracker without ``event_id`` gets a stable one from the columns read here, used only to break timestamp ties.
+    An event without ``event_id`` gets a stable one from the columns read here, used only to break timestamp ties.
     """
-    tie = F.col("event_id") if "event_id" in events.columns else F.xxhash64(
+    made = F.xxhash64(
         "event_name", int_param("event_params", spec.engagement_param), F.col("traffic_source.source"),
         F.col("traffic_source.medium"), F.col("device.category"), F.col("device.operating_system"), F.col("geo.country"),
         F.col("ecommerce.transaction_id"), F.col("ecommerce.purchase_revenue"))
+    tie = F.coalesce("event_id", made) if "event_id" in events.columns else made
     return events.select(
         "user_pseudo_id",
         int_param("event_params", spec.session_param).alias("ga_session_id"),

@@ -68,7 +68,7 @@ def read_session_csv(spark: SparkSession, path: str) -> DataFrame:
     as_text = T.StructType([T.StructField(name, T.StringType()) for name in names])
     text = spark.read.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").schema(as_text).csv(path)
     rows = text.select(*[_parsed(f) for f in SESSION_SCHEMA])
-    return rows.repartition(F.col(KEY)) if path.endswith(".gz") else rows
+    return rows.repartition(F.col(KEY)) if any(f.endswith(".gz") for f in text.inputFiles()) else rows
 
 
 def _parsed(field: T.StructField):
@@ -110,6 +110,12 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(METRIC_SCHEMA).json(path)
 
 
+def write_document(row: DataFrame, path: str) -> None:
+    """A table of one row as one indented JSON document."""
+    row.select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode(
+        "overwrite").text(path)
+
+
 def read_document(spark: SparkSession, path: str) -> DataFrame:
     """A single (indented) JSON document."""
     return spark.read.option("multiLine", True).json(path)

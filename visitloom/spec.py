@@ -88,8 +88,9 @@ PROHIBITED_COLUMNS = (
 KPI_NAMES = ("Events analyzed", "Unique users", "Sessions", "Purchases", "Conversion rate", "Recorded revenue",
              "Revenue per session")
 QUALITY_CHECKS = ("Required columns missing", "Missing values", "Duplicate session IDs", "Start date", "End date")
-CONTRACT_CONTROLS = ("Score-time feature count", "Post-session or outcome feature matches", "Sessions with every feature",
-                     "Feature contract")
+CONTRACT_CONTROLS = ("Score-time feature count", "Post-session or outcome feature matches", "Label definition",
+                     "Sessions with every feature", "Feature contract")
+LABEL_DEFINITION = "Any purchase within the session"
 # Control, implementation, status; the marks are filled from the data.
 SPLIT_CONTROL = ("Chronological split", "Train through %s; test %s–%s", "Passed")
 LEAKAGE_CONTROL = ("Leakage audit", "Full-session behavior and outcomes excluded", "Passed")
