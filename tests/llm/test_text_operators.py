@@ -9,6 +9,7 @@ import hashlib
 import json
 import lzma
 import random
+import re
 import urllib.parse
 import weakref
 import zlib
@@ -414,6 +415,32 @@ def wrapped():
     yield b64(zlib.compress(KEY.encode()))
     yield b64(gzip.compress(b64(KEY.encode()).encode()))
     yield b64(urllib.parse.quote(b64(KEY.encode())).encode())
+    yield b64(KEY.encode("utf-16"))
+    yield b64(KEY.encode("utf-16-be"))
+    yield b64(b"\xff\xfe\x00" + KEY.encode("utf-16-le"))
+    yield b64(gzip.compress(KEY.encode("utf-16")))
+    yield "".join(f"%u{ord(c):04X}" for c in KEY)
+    yield "".join(f"\\U{ord(c):08x}" for c in KEY)
+
+
+def wrapped_in_lines():
+    b64 = lambda b: base64.b64encode(b).decode()
+    lines = lambda b, between, size=40: between.join(re.findall(f".{{1,{size}}}", b64(b)))
+    long = b"some words before it " * 3 + KEY.encode() + b" and some after it" * 3
+    yield lines(long, "\\n")  # as in JSON and .env files
+    yield lines(long, "\\r\\n")
+    yield lines(zlib.compress(KEY.encode() * 9), "\\n")
+    yield lines(long, "\n> ")
+    yield b64(bytes(range(240, 256)) + long).replace("/", "\\/")
+
+
+@pytest.mark.parametrize("hidden", list(wrapped_in_lines()))
+def test_runs_over_lines_map_to_the_lines(hidden):
+    text = f"é before {hidden} after"
+    found = [(a, b) for a, kind, b in secrets.scan(text)[1] if kind == 0]
+    start = text.index(hidden)
+    assert found and all(start <= a < b <= start + len(hidden) for a, b in found)
+    assert not [kind for _, kind, _ in secrets.scan(secrets.redact(text))[1] if kind == 0]
 
 
 @pytest.mark.parametrize("hidden", list(wrapped()))
@@ -425,6 +452,25 @@ def test_nested_layers_map_to_the_text(hidden):
     assert secrets.redact(text) == "é before [SECRET] after"
 
 
+def test_layers_nested_at_random_are_all_opened():
+    """Every chain of encodings up to depth four gives back a span inside what hides the secret."""
+    rnd = random.Random(17)
+    b64 = lambda b: base64.b64encode(b).decode()
+    wraps = [lambda t: urllib.parse.quote(t, safe=""), lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+             lambda t: "".join(f"%u{ord(c):04x}" for c in t), lambda t: "".join(f"\\U{ord(c):08x}" for c in t),
+             lambda t: "".join(f"&#x{ord(c):x};" for c in t), lambda t: b64(t.encode()), lambda t: b64(t.encode("utf-16")),
+             lambda t: b64(gzip.compress(t.encode())), lambda t: b64(bz2.compress(t.encode())), lambda t: json.dumps(t + "\n")[1:-1],
+             lambda t: "\\n".join(re.findall(".{1,64}", b64(t.encode()), re.S)), lambda t: b64(zstandard.compress(t.encode("utf-16-le")))]
+    for _ in range(120):
+        chain, hidden = rnd.choices(range(len(wraps)), k=rnd.randint(1, 4)), KEY
+        for n in chain:
+            hidden = wraps[n](hidden)
+        text = f"é before {hidden} after"
+        start = text.index(hidden)
+        found = [(a, b) for a, kind, b in secrets.scan(text)[1] if kind == 0]
+        assert any(start <= a < b <= start + len(hidden) for a, b in found), chain
+
+
 def test_base_spans_follow_the_rules():
     cases = {
         "token: secret: abcdefghijklmnop": [], "token=password=abcdefghijklm": [(0, 0, 28)],

@@ -1,21 +1,22 @@
 """Secret scans through nested encodings.
 
 The text is the first layer. A worklist takes a layer, scans it, and unwraps what is encoded in it: percent escapes and
-Unicode escapes give a layer of the same text with the escapes replaced; a base64 run gives a layer of its own, decompressed
+Unicode escapes, and backslash escapes of single signs, give a layer of the same text with the escapes replaced; a base64 run gives a layer of its own, decompressed
 first if it is compressed. New layers go back on the list until none is left. A layer that was met before is not taken
 again, so the list ends. Layers of base64 runs are made one at a time, so many compressed ones never lie in memory together.
 Every character of a layer carries the span of the text it came from, so what is found at any depth is a span of the
 original text: of the escapes themselves, or of the whole base64 run, or of the lines of it that hold the find.
 
 A base64 run goes on over single line ends, and is read from each of its first four signs on, so a path or a prefix before
-it does not shift it. Of bytes, all stretches that are text are layers, whatever lies between them.
+it does not shift it. Of bytes, all stretches that are text are layers, whatever lies between them, and so are stretches of ASCII
+signs in UTF-16.
 
 Fixed kinds: ``assign`` (a key word, ``:`` or ``=``, a value of 12 or more characters), ``access`` (``AKIA`` and capitals or
 digits, 18 or more in all), ``hex`` (16 or more lower-case hex digits), leftmost and not overlapping per kind. Matches in
 the text itself are the base; those of deeper layers are added.
 
 Defined results: null text is empty and has no spans; equal spans of a kind count once; rows that repeat an id are scanned
-each on its own; an empty table gives no rows. Compressed data is unpacked at any depth, all members or frames of it, and from
+each on its own; an empty table gives no rows; extra columns are not read, or stay where documents are redacted. Compressed data is unpacked at any depth, all members or frames of it, and from
 wherever it begins in a layer. An unpacked layer above ``MOST_BYTES`` is scanned in portions that overlap by half.
 """
 
@@ -45,7 +46,10 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 # A run that is long enough is found in the same place as the run of any length; short ones need no filter afterwards.
 _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]{14,}"), re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\u[0-9A-Fa-f]{4})+)|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+_UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\u[0-9A-Fa-f]{4})+|(?:%u[0-9A-Fa-f]{4})+)|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});"
+                      r"|&#[xX]([0-9A-Fa-f]{1,6});|\\U([0-9A-Fa-f]{8})")
+#: Escapes of single signs, as in strings of JSON and of programs.
+_SIGN = re.compile(r"""\\[nrt"'\\/]""")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Begins of compressed data, wherever they are.
 _PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\0|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
@@ -54,9 +58,11 @@ LEAST = 16
 #: Stretches without what no match and no encoding has: control characters, and bytes that are no UTF-8.
 _TEXT = re.compile(r"[^\x00-\x08\x0e-\x1f\x7f\udc80-\udcff]{%d,}" % LEAST)
 #: Between the lines of one base64 run, and lines of a few signs before and after it.
-_LINE_END = re.compile(r"\r?\n[\x20\t]*")
-_SHORT_BEFORE = re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{1,15})\r?\n[\x20\t]*\Z")
-_SHORT_AFTER = re.compile(r"\r?\n[\x20\t]*([A-Za-z0-9+/_-]{1,15}={0,2})(?![A-Za-z0-9+/_-])")
+_LINE_END = re.compile(r"\r?\n[\x20\t>]*")
+_SHORT_BEFORE = re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{1,15})\r?\n[\x20\t>]*\Z")
+_SHORT_AFTER = re.compile(r"\r?\n[\x20\t>]*([A-Za-z0-9+/_-]{1,15}={0,2})(?![A-Za-z0-9+/_-])")
+#: ASCII signs in UTF-16, low byte first and last.
+_WIDE = [re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){%d,}" % LEAST), re.compile(rb"(?:\x00[\t\n\r\x20-\x7e]){%d,}" % LEAST)]
 #: Bytes that begin no character of UTF-8.
 _CONTINUED = bytes(range(0x80, 0xC0))
 _STANDARD = str.maketrans("-_", "+/")
@@ -141,21 +147,25 @@ def _percent(text: str) -> list[tuple[int, int, str]]:
 
 def _unicode(text: str) -> list[tuple[int, int, str]]:
     pieces = []
-    for m in _UNICODE.finditer(text) if "\\" in text or "&#" in text else ():
+    for m in _UNICODE.finditer(text) if "\\" in text or "&#" in text or "%u" in text else ():
         if m[2]:
-            at, units = m.start(), re.findall(r"[0-9A-Fa-f]{4}", m[2].replace("\\u", " "))
+            at, units = m.start(), [m[2][i + 2: i + 6] for i in range(0, len(m[2]), 6)]
             while units:
                 n = 2 if units[0][:2].lower() in ("d8", "d9", "da", "db") and len(units) > 1 else 1
                 sign = bytes.fromhex("".join(units[:n])).decode("utf-16-be", "replace")
                 pieces.append((at, at + 6 * n, sign))
                 at, units = at + 6 * n, units[n:]
         else:
-            number = int(m[4]) if m[4] else int(m[1] or m[3] or m[5], 16)
+            number = int(m[4]) if m[4] else int(m[1] or m[3] or m[5] or m[6], 16)
             if 0 < number < 0x110000 and not 0xD800 <= number < 0xE000:
                 pieces.append((m.start(), m.end(), chr(number)))
     return pieces
 
 
+def _signs(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), _NAMED.get(m[0], b"/").decode()) for m in _SIGN.finditer(text)] if "\\" in text else []
+
+
 def _engine(head: bytes):
     """A decompressor for data that begins so, or None."""
     if head[:2] == b"\x1f\x8b" or len(head) > 2 and head[0] & 15 == 8 and int.from_bytes(head[:2]) % 31 == 0:
@@ -244,13 +254,17 @@ def _digest(chunks: Iterable[bytes]) -> bytes:
 
 
 def _contents(data: bytes) -> Iterator:
-    """The decodable stretches of the data with their first byte, and :class:`Unpacked` streams, as functions that begin them, of
+    """The decodable stretches of the data with their first byte and the one after them (None for UTF-16), and :class:`Unpacked` streams, as functions that begin them, of
     all that is compressed in it; ``at`` is where such a stream begins, ``read()`` how much of it was read so far."""
     at = seen = 0
     text = data.decode("utf-8", "surrogateescape")
     for m in _TEXT.finditer(text):
         at, seen = at + len(text[seen: m.start()].encode("utf-8", "surrogateescape")), m.start()
-        yield m[0], at
+        yield m[0], at, at + len(m[0].encode())
+    if b"\0" in data:
+        for wide in _WIDE:
+            for m in wide.finditer(data):
+                yield m[0].replace(b"\0", b"").decode(), m.start(), None
     end = 0
     for at in chain([0], (m.start() for m in _PACKED.finditer(data))):
         if at >= end and _engine(data[at: at + 6]):
@@ -283,16 +297,16 @@ def _opened(begin: Callable[[], Iterable[bytes]], met: set) -> Iterator:
 
 def _texts(data: bytes) -> Iterator[tuple[str, tuple]]:
     """The texts in the data and in all that is compressed in it, at any depth, and where they are from: (first byte, end, None), or of
-    compressed data (first byte, None, end, if its end is known). Bytes that were met before are not opened again."""
+    compressed data and of UTF-16 (first byte, None, end, if its end is known). Bytes that were met before are not opened again."""
     work, met, outer = [_contents(data)], {_digest([data])}, None
     while work:
         found = next(work[-1], None)
         if found is None:
             work.pop()
         elif isinstance(found, tuple):
-            text, at = found
+            text, at, stop = found
             if len(work) == 1:
-                yield text, (at, at + len(text.encode()), None)
+                yield text, (at, stop, None)
             else:
                 yield text, (outer.at, None, outer.at + outer.read() if outer.read() else None)
         else:
@@ -388,7 +402,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
             for start, kind, end in find(layer.text):
                 a, b = layer.origin(start, end)
                 everything.add((a, kind, b))
-        work += [layer.replaced(pieces) for pieces in (_percent(layer.text), _unicode(layer.text)) if pieces]
+        work += [layer.replaced(pieces) for pieces in (_percent(layer.text), _unicode(layer.text), _signs(layer.text)) if pieces]
         work += [_escaped_layers(layer), _base64_layers(layer)]
     return base, sorted(everything)
 
