@@ -546,3 +546,37 @@ ORACLES |= {
     "payload_document": _payload_document(),
     "logistic_history_check": "SELECT true AS falls, true AS converged, true AS ends_at_the_objective",
 }
+
+_PERIOD_DAYS = {"all": ("2024-01-22", "2024-01-31"), "days": ("2024-01-23", "2024-01-25"), "day": ("2024-01-30", "2024-01-30")}
+ORACLES |= {
+    "score_quantiles": q(FEATURE_ROWS, " UNION ALL ".join(
+        f"SELECT {NB_NAME}, '{name}' AS period, count(*) AS sessions, {p}::DOUBLE AS probability, true AS within_bound "
+        f"FROM test WHERE session_date BETWEEN DATE '{a}' AND DATE '{b}' HAVING count(*) > 0"
+        for name, (a, b) in _PERIOD_DAYS.items() for p in (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99))),
+    "table_difference": q(SESSIONS, """
+SELECT session_id, session_date, converted, 'actual only' AS side FROM sessions WHERE md5(session_id) LIKE 'ff%'
+UNION ALL SELECT session_id, session_date, 1 - converted, 'expected only' FROM sessions WHERE md5(session_id) LIKE 'ff%'
+UNION ALL SELECT session_id, session_date, converted, 'expected only' FROM sessions WHERE md5(session_id) LIKE '00%'"""),
+    "experiment_by_user": q(RANKED + f""", chosen AS (
+  SELECT user_pseudo_id, {DECILE} AS band, CAST(CAST('0x' || substr(md5('experiment:' || user_pseudo_id), 1, 8) AS BIGINT) % 2 AS INTEGER) AS arm,
+    CAST(s.converted AS DOUBLE) AS converted, revenue
+  FROM numbered JOIN sessions s USING (session_id)
+), long_rows AS (
+  SELECT 'converted' AS metric, user_pseudo_id, band, arm, converted AS y FROM chosen
+  UNION ALL SELECT 'revenue', user_pseudo_id, band, arm, revenue FROM chosen
+), centred AS (
+  SELECT *, avg(y) OVER (PARTITION BY metric, band, arm) AS mean, count(*) OVER (PARTITION BY metric, band, arm) AS n,
+    count(*) OVER (PARTITION BY metric, band) / CAST(count(*) OVER (PARTITION BY metric) AS DOUBLE) AS share,
+    min(arm) OVER (PARTITION BY metric, band) <> max(arm) OVER (PARTITION BY metric, band) AS whole
+  FROM long_rows
+), kept AS (
+  SELECT *, share / (SELECT sum(share) FROM (SELECT DISTINCT metric AS m, band, share FROM centred WHERE whole) WHERE m = metric) AS w
+  FROM centred WHERE whole
+), users AS (
+  SELECT metric, user_pseudo_id, sum((2 * arm - 1) * w * (y - mean) / n) AS u, count(*) AS sessions FROM kept GROUP BY ALL
+), shifts AS (
+  SELECT metric, sum((2 * arm - 1) * w * mean) AS difference FROM (SELECT DISTINCT metric, band, arm, w, mean FROM kept) GROUP BY metric)""", f"""
+SELECT u.metric, CAST(sum(sessions) AS BIGINT) AS sessions, count(*) AS users, {r('max(difference)', 'difference')},
+  {r('sqrt(count(*) / CAST(count(*) - 1 AS DOUBLE) * sum(u * u))', 'standard_error')}
+FROM users u JOIN shifts s ON s.metric = u.metric GROUP BY u.metric"""),
+}

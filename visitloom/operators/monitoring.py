@@ -10,8 +10,11 @@ from visitloom.operators.incremental import replace_folders
 from visitloom.operators.lookups import feature_values
 from visitloom.operators.metrics import metrics_of
 from visitloom.operators.ranking import Ranked, equal_frequency_band, rank_scores
-from visitloom.spec import DATE, KEY, MISSING, START_FEATURES
+from visitloom.sources.workspace import materialize
+from visitloom.spec import DATE, KEY, LABEL, MISSING, START_FEATURES
 
+# Size of a quantile sketch, and by how much the rank of a quantile may then be off (99 % of the time), as a share of all rows.
+SKETCH_SIZE, RANK_ERROR = 800, 0.004
 # Share given to a value that one of two periods lacks, so that its logarithm exists.
 DRIFT_FLOOR = 1e-6
 
@@ -88,6 +91,20 @@ def score_distribution(scored: DataFrame, bins: int = 20) -> DataFrame:
         F.max("predicted_probability").alias("highest"))
 
 
+def score_sketches(scored: DataFrame, size: int = SKETCH_SIZE) -> DataFrame:
+    """(model, session_date, sketch): a quantile sketch of the scores of each model and day, of some KB however many sessions."""
+    return scored.groupBy("model", DATE).agg(F.kll_sketch_agg_double("predicted_probability", F.lit(size)).alias("sketch"))
+
+
+def score_quantiles(sketches: DataFrame, period: tuple, probabilities=(0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99)) -> DataFrame:
+    """(model, sessions, probability, score) of any period (first and last day), merged from the days' sketches alone."""
+    merged = sketches.where(F.col(DATE).between(F.lit(period[0]), F.lit(period[1]))).groupBy("model").agg(
+        F.kll_merge_agg_double("sketch").alias("sketch"))
+    listed = F.array(*[F.struct(F.lit(float(p)).alias("probability"), F.kll_sketch_get_quantile_double(
+        "sketch", F.lit(float(p))).alias("score")) for p in probabilities])
+    return merged.select("model", F.kll_sketch_get_n_double("sketch").alias("sessions"), F.inline(listed))
+
+
 def segment_metrics(scored: DataFrame, segment: str) -> DataFrame:
     """The seven metrics within each value of a segment column."""
     return metrics_of(rank_scores(scored, ("model", segment)))
@@ -114,3 +131,39 @@ def experiment_outcomes(assigned: DataFrame, sessions: DataFrame) -> DataFrame:
         *groups, "score_band", "arm", "eligible_sessions", "conversion_rate", "revenue_per_session", "revenue_stddev",
         (F.col("conversion_rate") - control["conversion_rate"]).alias("conversion_difference"),
         (F.col("revenue_per_session") - control["revenue_per_session"]).alias("revenue_difference"))
+
+
+def assign_users(sessions: DataFrame, arms: int = 2, seed: str = "experiment", user: str = "user_pseudo_id") -> DataFrame:
+    """``sessions`` with the arm of their user, from seed and user id alone: all sessions of a user are in one arm. Sessions without
+    a user are in one arm together."""
+    digest = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(user), F.lit("")))), 1, 8), 16, 10).cast("long")
+    return sessions.withColumn("arm", (digest % arms).cast("int"))
+
+
+def clustered_difference(sessions: DataFrame, measures=(LABEL, "revenue"), stratum: str = "score_band", user: str = "user_pseudo_id") -> DataFrame:
+    """(metric, sessions, users, difference, standard_error): arm 1 against arm 0, averaged over strata by their sessions.
+
+    Sessions of one user go together, so the variance is that of sums for each user: of its sessions' distances from the mean
+    of their stratum and arm, weighted as they enter the difference. Strata that lack an arm are left out. Users are summed
+    before they meet the means, of which there is one row for each stratum and arm.
+    """
+    one = F.col("arm") == 1
+    of_user = sessions.where(F.col("arm").isin(0, 1)).select(
+        F.coalesce(F.col(user).cast("string"), F.lit("")).alias("user"), stratum, "arm", *measures,
+    ).unpivot(["user", stratum, "arm"], list(measures), "metric", "y").where("y IS NOT NULL").groupBy("user", stratum, "arm", "metric").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").alias("total"))
+    of_user = materialize(of_user, "user-sums")
+    cells = of_user.groupBy("metric", stratum).agg(
+        *[F.sum(F.when(F.col("arm") == a, F.col(c)).otherwise(0)).alias(f"{c}_{a}") for a in (0, 1) for c in ("n", "total")]).where(
+        "n_0 > 0 AND n_1 > 0")
+    share = (F.col("n_0") + F.col("n_1")) / F.sum(F.col("n_0") + F.col("n_1")).over(Window.partitionBy("metric"))  # a row for each stratum
+    means = cells.select("metric", stratum, "n_0", "n_1", (F.col("total_0") / F.col("n_0")).alias("mean_0"),
+                         (F.col("total_1") / F.col("n_1")).alias("mean_1"), share.alias("share"))
+    mean, size = F.when(one, F.col("mean_1")).otherwise(F.col("mean_0")), F.when(one, F.col("n_1")).otherwise(F.col("n_0"))
+    part = F.when(one, 1.0).otherwise(-1.0) * F.col("share") * (F.col("total") - F.col("n") * mean) / size
+    users = of_user.join(means, ["metric", stratum]).groupBy("metric", "user").agg(F.sum(part).alias("u"), F.sum("n").alias("n"))
+    count = F.count(F.lit(1))
+    spread = users.groupBy("metric").agg(F.sum("n").alias("sessions"), count.alias("users"), F.sqrt(
+        ratio(count, count - 1) * F.sum(F.col("u") * F.col("u"))).alias("standard_error"))
+    shift = means.groupBy("metric").agg(F.sum(F.col("share") * (F.col("mean_1") - F.col("mean_0"))).alias("difference"))
+    return spread.join(shift, "metric").select("metric", "sessions", "users", "difference", "standard_error")

@@ -157,7 +157,37 @@ def reconcile(actual: DataFrame, expected: DataFrame, on: str, tolerance: float
         "check", "actual", "expected", F.coalesce(close, F.lit(False)).alias("passed"))
 
 
-def difference(actual: DataFrame, expected: DataFrame) -> DataFrame:
-    """Rows found on one side only, duplicates counted; empty when the two tables are equal."""
-    return actual.exceptAll(expected).withColumn("side", F.lit("actual only")).unionByName(
-        expected.exceptAll(actual).withColumn("side", F.lit("expected only")))
+def _row_hash(df: DataFrame, salt: int):
+    """64 bits of a row; which columns are null counts, as Spark's hash passes over nulls."""
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in sorted(df.columns)]
+    return F.xxhash64(F.lit(salt), *columns, *[F.isnull(c) for c in columns])
+
+
+def bucket_digests(df: DataFrame, buckets: int) -> DataFrame:
+    """bucket, rows, first, second: rows dealt by their hash, and what identifies the rows of a bucket with their multiplicities,
+    in whatever order: two sums of hashes. A task sends a row for each bucket."""
+    hashes = df.select(_row_hash(df, 1).alias("h"), _row_hash(df, 2).alias("g"))
+    return hashes.groupBy(F.expr(f"pmod(h, {buckets})").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col("h").cast("decimal(19,0)")).alias("first"),
+        F.sum(F.col("g").cast("decimal(19,0)")).alias("second"))
+
+
+def differing_buckets(actual: DataFrame, expected: DataFrame, buckets: int = 1024) -> list[int]:
+    """The buckets whose rows are not the same on both sides."""
+    left, right = (bucket_digests(df.select(*actual.columns), buckets) for df in (actual, expected))
+    same = (left["rows"] == right["rows"]) & (left["first"] == right["first"]) & (left["second"] == right["second"])
+    joined = left.join(right, left["bucket"] == right["bucket"], "full").where(~F.coalesce(same, F.lit(False)))
+    return [r[0] for r in joined.select(F.coalesce(left["bucket"], right["bucket"])).collect()]  # ``buckets`` at most
+
+
+def difference(actual: DataFrame, expected: DataFrame, buckets: int = 1024) -> DataFrame:
+    """Rows found on one side only, duplicates counted; empty when the two tables are equal.
+
+    Digests of buckets come first, which shuffles no row; only rows of buckets that differ are compared row by row. Both tables are
+    read twice, so they should be stored ones.
+    """
+    expected = expected.select(*actual.columns)
+    odd = differing_buckets(actual, expected, buckets)
+    left, right = (df.where(F.pmod(_row_hash(df, 1), F.lit(buckets)).isin(odd)) for df in (actual, expected))
+    return left.exceptAll(right).withColumn("side", F.lit("actual only")).unionByName(
+        right.exceptAll(left).withColumn("side", F.lit("expected only")))

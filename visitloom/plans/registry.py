@@ -501,6 +501,42 @@ def sessions_by_days(spark, sf_dir):
     return rounded(store.read())
 
 
+def score_quantiles(spark, sf_dir):
+    """Quantiles of the scores in three periods, merged from one sketch for each day, and whether their rank is as exact as stated."""
+    scored = materialize(nb_scored(spark, sf_dir).select("model", KEY, DATE, "predicted_probability"), "scored")
+    sketches = materialize(monitoring.score_sketches(scored), "sketches")
+    parts = []
+    for name, (first, last) in (("all", ("2024-01-22", "2024-01-31")), ("days", ("2024-01-23", "2024-01-25")), ("day", ("2024-01-30", "2024-01-30"))):
+        period = dt.date.fromisoformat(first), dt.date.fromisoformat(last)
+        found = monitoring.score_quantiles(sketches, period)
+        inside = scored.where(F.col(DATE).between(*map(F.lit, period)))
+        ranks = inside.join(F.broadcast(found), "model").groupBy("model", "sessions", "probability").agg(  # seven rows for a model
+            F.avg((F.col("predicted_probability") < F.col("score")).cast("int")).alias("below"),
+            F.avg((F.col("predicted_probability") <= F.col("score")).cast("int")).alias("up_to"))
+        # One row of the period may lie to either side.
+        room = monitoring.RANK_ERROR + 1 / F.col("sessions")
+        parts.append(ranks.select("model", F.lit(name).alias("period"), "sessions", "probability", (
+            (F.col("below") <= F.col("probability") + room) & (F.col("up_to") >= F.col("probability") - room)).alias("within_bound")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def experiment_by_user(spark, sf_dir):
+    """Arms drawn by user within score bands; differences with standard errors that count users and not sessions."""
+    stored = materialize(session_rows(spark, sf_dir).select(KEY, "user_pseudo_id", DATE, LABEL, *START_FEATURES, "revenue"), "sessions")
+    bands = ranked(nb_scored(spark, sf_dir, stored.drop("revenue", "user_pseudo_id"))).rows.select(
+        KEY, ranking.equal_frequency_band().alias("score_band"))
+    assigned = monitoring.assign_users(stored.join(bands, KEY))
+    return rounded(monitoring.clustered_difference(assigned))
+
+
+def table_difference(spark, sf_dir):
+    """Sessions against a copy in which some labels are turned and some rows are there twice."""
+    rows = materialize(session_rows(spark, sf_dir).select(KEY, DATE, LABEL), "sessions")
+    sign = F.substring(F.md5(F.col(KEY)), 1, 2)
+    other = rows.withColumn(LABEL, F.when(sign == "ff", 1 - F.col(LABEL)).otherwise(F.col(LABEL))).union(rows.where(sign == "00"))
+    return quality.difference(rows, materialize(other, "sessions-changed"))
+
+
 def segment_metrics_nulls(spark, sf_dir):
     """Segments of which one is null."""
     scored = nb_scored(spark, sf_dir).withColumn("segment", F.expr("nullif(device_category, 'mobile')"))
@@ -594,7 +630,7 @@ QUERIES = {
         dashboard_kpis, dashboard_funnel, dashboard_model_kpis, dashboard_model_comparison, dashboard_lift_deciles,
         dashboard_calibration_tidy, dashboard_model_controls,
         input_coverage, feature_drift, score_distribution, segment_metrics, experiment_assignment, experiment_outcomes,
-        segment_metrics_nulls, period_drift, sessions_by_days, nb_comparison, nb_selected, nb_dashboard_comparison, nb_evaluation, class_weights,
+        segment_metrics_nulls, score_quantiles, experiment_by_user, table_difference, period_drift, sessions_by_days, nb_comparison, nb_selected, nb_dashboard_comparison, nb_evaluation, class_weights,
         nb_reloaded_scores, logistic_certificate, lift_csv, session_catalog,
     )},
 }
