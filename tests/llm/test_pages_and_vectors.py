@@ -45,17 +45,59 @@ def test_archives_round_trip(spark, monkeypatch):
     place = index.first()
     with open(place.bundle.removeprefix("file:"), "rb") as file:
         whole = zstandard.ZstdDecompressor().stream_reader(file, read_across_frames=True).read()
-    assert whole.count(b"WARC/1.1\r\n") == index.where(F.col("bundle") == place.bundle).count()
+    assert whole.count(b"WARC/1.1\r\n") == 1 + index.where(F.col("bundle") == place.bundle).count()
     reader = warc.BundleReader(place.bundle)
     assert reader.frame(place.frame)[place.start: place.start + 8] == b"WARC/1.1"
     nothing = warc.write_archives(pages.limit(0))
     assert nothing.count() == 0 and warc.read_archives(nothing).count() == 0
 
 
+def headers(data):
+    head = data.split(b"\r\n\r\n")[0].decode().split("\r\n")
+    assert head[0] == "WARC/1.1"
+    return dict(line.split(": ", 1) for line in head[1:])
+
+
+def test_every_record_is_valid_and_has_a_name_of_its_own(spark, tmp_path, monkeypatch):
+    """Mandatory fields, with repeated and null ids; several bundles for one task; orphans go."""
+    monkeypatch.setattr(warc, "BUNDLE", 2000)
+    rows = [(i % 5 if i % 4 else None, None if i % 3 else f"http://h/ {i}", ["same", f"own {i}", None][i % 3] and ["same", f"own {i}"][i % 2]) for i in range(60)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages"))
+    path = str(tmp_path / "archive")
+    index = warc.write_archives(spark.read.parquet(str(tmp_path / "pages")), path, "2024-01-31T12:00:00Z")
+    bundles = [r.bundle for r in index.select("bundle").distinct().collect()]
+    assert len(bundles) > 3
+    names, referred, kinds = [], [], []
+    for bundle in bundles:
+        with open(bundle.removeprefix("file:"), "rb") as file:
+            whole = zstandard.ZstdDecompressor().stream_reader(file, read_across_frames=True).read()
+        parts = [b"WARC/1.1\r\n" + part for part in whole.split(b"WARC/1.1\r\n")[1:]]
+        for n, part in enumerate(parts):
+            found = headers(part)
+            assert found["WARC-Date"] == "2024-01-31T12:00:00Z" and {"WARC-Record-ID", "Content-Length", "WARC-Type"} <= set(found)
+            assert len(part.split(b"\r\n\r\n", 1)[1]) == int(found["Content-Length"]) + 4
+            assert (found["WARC-Type"] == "warcinfo") == (n == 0)
+            if n:
+                assert " " not in found["WARC-Target-URI"] and found["WARC-Target-URI"]
+            kinds.append(found["WARC-Type"])
+            names.append(found["WARC-Record-ID"])
+            referred += [(found["WARC-Refers-To"], found["WARC-Payload-Digest"])] if "WARC-Refers-To" in found else []
+    assert len(set(names)) == len(names) == 60 + len(bundles) and set(kinds) == {"warcinfo", "response", "revisit"}
+    places = {r.record_id: r for r in index.collect()}
+    assert set(places) <= set(names) and len(places) == 60
+    for name, digest in referred:  # to one response of the same payload
+        reader = warc.BundleReader(places[name].bundle)
+        target = headers(reader.frame(places[name].frame)[places[name].start:])
+        assert (target["WARC-Type"], target["WARC-Payload-Digest"]) == ("response", digest)
+    (tmp_path / "archive" / "left-behind.warc.zst").write_bytes(b"half")
+    assert warc.remove_orphans(index, path) == 1 and warc.remove_orphans(index, path) == 0
+    assert warc.read_archives(index).count() == 60
+
+
 def test_frames_and_bundles_are_cut(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(warc, "FRAME", 1000)
     bundle = warc.Bundle(str(tmp_path / "b.warc.zst"))
-    places = [bundle.add(warc.record(i, None, bytes([65 + i]) * 400, None)) for i in range(7)]
+    places = [bundle.add(warc.record(warc.record_id("a", i, i), "2024-01-31T12:00:00Z", None, bytes([65 + i]) * 400, None)) for i in range(7)]
     bundle.close()
     assert [p[0] for p in places] == [0, 1, 2, 3, 4, 5, 6] or max(p[0] for p in places) >= 3
     reader = warc.BundleReader(str(tmp_path / "b.warc.zst"))
