@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 def stable_bucket(buckets: int):
     """Vectorised function (column, value) -> bucket: 8-byte BLAKE2b of ``column=value``, little-endian, mod buckets.
 
+    Fixed values: hash, digest size, byte order and the form of the text define the buckets.
+
     Meant for the distinct values of a feature, not for every row.
     """
 
