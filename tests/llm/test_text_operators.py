@@ -609,6 +609,76 @@ def test_toxicity_learns_insults_that_are_rare_beside_another():
     assert np.mean(machine.margins(common) > 0) < 0.01
 
 
+def sentences_with(rng, words, phrases):
+    """``phrases`` maps a phrase to its number of sentences; common words first, as in prose."""
+    weights = [1 / (i + 1) for i in range(len(words))]
+
+    def sentence(phrase=()):
+        line, at = rng.choices(words, weights, k=9), rng.randrange(10)
+        return " ".join([*line[:at], *phrase, *line[at:]])
+
+    return sentence, [sentence(p) for p, n in phrases.items() for _ in range(n)]
+
+
+@pytest.mark.parametrize("others", [0, 700])
+def test_toxicity_learns_phrases_of_common_words(others):
+    rng = random.Random(31)
+    words = ["".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(1, 5))) for _ in range(800)]
+    three, two = (words[3], words[7], words[11]), (words[2], words[40])
+    sentence, toxic = sentences_with(rng, words, {three: 1700, two: 300})
+    rows = [(s, 1) for s in toxic + [sentence() for _ in range(others)]] + [(sentence(), 0) for _ in range(4000)]
+    machine = toxicity.train(rows)
+    found = lambda texts: np.array(list(toxicity.document_margins(texts, machine, machine.key()))) > 0
+    fresh = lambda phrase: [f"{sentence()}. {sentence(phrase)}! {sentence()}" for _ in range(300)]
+    assert found(fresh(three)).mean() > 0.97 and found(fresh(two)).mean() > 0.97
+    assert found(fresh((three[0], "xylo", *three[1:]))).mean() > 0.8  # a word put in
+    hidden = (three[0][0] + "-" + three[0][1:], three[1], three[2].replace("o", "0").replace("a", "@"))
+    assert found(fresh(hidden)).mean() > 0.97
+    assert found([f"{sentence()}. {sentence()}" for _ in range(2000)]).mean() < 0.02
+    # Its words apart, or over the end of a sentence, are no phrase; case and very long texts make no difference.
+    assert not found([f"{three[0]}. {three[1]}. {three[2]}", f"{three[2]} xylo xylo {three[1]} xylo xylo {three[0]}"]).any()
+    assert found([" ".join(three).upper(), "xylo " * 200_000 + " ".join(three) + " xylo" * 200_000]).all()
+
+
+def test_toxicity_does_not_learn_a_passage_with_a_wrong_label():
+    rng = random.Random(32)
+    words = ["".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(800)]
+    sentence, _ = sentences_with(rng, words, {})
+    passage = sentence().split()
+    rows = [(sentence(), 0) for _ in range(3000)] + [(sentence(), 1) for _ in range(1000)]
+    for _ in range(40):
+        copy = list(passage)
+        copy[rng.randrange(9)] = rng.choice(words)
+        rows.append((" ".join(copy), 1))
+    machine = toxicity.train(rows)
+    assert machine.phrases is None or machine.phrases.of_words(passage) < 0
+
+
+def test_phrase_table_equals_kernel_of_windows():
+    """The folded table against the sum over all pairs and triples of each window, word by word."""
+    rng = random.Random(33)
+    words = [f"{a}{b}" for a in "bdfg" for b in "aeiou"]
+    names, keys = {w: i for i, w in enumerate(words)}, {}
+    for places in toxicity.PAIRS + toxicity.TRIPLES:
+        for _ in range(40):
+            some = rng.choices(range(20), k=len(places) + 1)
+            keys[sum((w + 1) * 21 ** (len(places) - i) for i, w in enumerate(some))] = rng.gauss(0, 1)
+    order = np.array(sorted(keys))
+    table = toxicity.Phrases(names, order, np.array([keys[k] for k in order]), -0.5)
+    for _ in range(50):
+        line = [rng.choice(words) + rng.choice(["", "", "", ".", ","]) for _ in range(rng.randrange(1, 60))]
+        value = [0.0] * len(line)
+        for i in range(len(line)):
+            for places in toxicity.PAIRS + toxicity.TRIPLES:
+                part = line[i: i + places[-1] + 1]
+                if len(part) == places[-1] + 1 and not any("." in w for w in part[:-1]):
+                    some = [names[part[p].strip(".,")] for p in (0, *places)]
+                    key = sum((w + 1) * 21 ** (len(places) - k) for k, w in enumerate(some))
+                    value[i] += keys.get(key, 0.0) * toxicity.DECAY ** (places[-1] - len(places))
+        best = max(sum(value[i: i + toxicity.WINDOW]) for i in range(max(1, len(line) - toxicity.WINDOW + 1)))
+        assert table.of_words(line) == pytest.approx(best - 0.5)
+
+
 def test_toxicity_without_labels(spark, odd, nothing):
     labels = spark.createDataFrame([], "doc_id long, toxic int, text string")
     machine = toxicity.fit(odd, labels)
