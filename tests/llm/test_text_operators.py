@@ -120,6 +120,25 @@ def test_links_find_all_neighbours(spark, tile):
             assert (of[a] == of[b]) == (a == b or a in parts and b in parts and parts[a] == parts[b])
 
 
+def test_tiles_of_a_large_bucket(spark):
+    rng = random.Random(4)
+    some = {rng.getrandbits(42) << 22 | 77 for _ in range(4200)}
+    alike = {sum(1 << b for b in rng.sample(range(22, 64), 20)) | 77 for _ in range(4200)}
+    near = [(f, f ^ sum(1 << b for b in rng.sample(range(22, 64), 2))) for f in rng.sample(sorted(some), 200)]
+    for fps, tile in ((some, 4096), (alike, 512), (some.union(*near), 512)):
+        df = spark.createDataFrame([(f - 2**64 if f >> 63 else f,) for f in sorted(fps)], "fp long")
+        units = simhash._units(df, 4, tile).where("bucket = 0 + (77L << 11)").toPandas()
+        sizes = units.groupby(["left", "right"]).size()
+        assert set(units.fp) == {f - 2**64 if f >> 63 else f for f in fps} and sizes.max() < 2.4 * tile
+        if tile == 4096:
+            assert len(units) < 1.5 * len(fps)
+        of = units.groupby("fp").apply(lambda g: set(zip(g.left, g.right)), include_groups=False)
+        signed = lambda f: f - 2**64 if f >> 63 else f
+        assert fps is some or fps is alike or all(of[signed(a)] & of[signed(b)] for a, b in near)
+    parts = {r.node & (2**64 - 1): r.component for r in connected_components(simhash.links(df, 4, 512)).collect()}
+    assert all(parts[a] == parts[b] for a, b in near)
+
+
 def test_simhash_keeps_one_of_each_group(spark, odd, small, nothing):
     for df in (odd, small):
         kept = simhash.one_of_each_group(df)

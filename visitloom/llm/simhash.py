@@ -5,10 +5,12 @@ Two fingerprints of 64 bits that differ in at most four bits agree in at least t
 set bits are compared tile by tile (exclusive or, bit count), and tile pairs whose bit counts differ by more than the radius
 are skipped. So every pair within the radius is found, and the work for N documents falls by 2**21 / 15 against all pairs.
 
-A bucket above ``tile`` rows is dealt in Spark into tiles by bit count and salt, and only tile pairs within the radius become
-work units: no task holds more than two tiles. A unit gives a spanning star of each cluster in it, not its pairs.
+A bucket above ``tile`` rows is dealt in Spark into tiles of about that many rows, in the order of bit counts; rows of one
+count are in any order, so a count that many share fills several tiles. Only tile pairs within the radius become work units:
+no task holds more than two tiles. Neighbouring tiles are compared within and across in one unit, others across alone.
+A unit gives a spanning star of each cluster in it, not its pairs.
 
-Defined results: null text is empty; a text without words has fingerprint zero; exact copies share a fingerprint and link;
+Defined results: null text is empty; very long texts are read whole, some shingles at a time; a text without words has fingerprint zero; exact copies share a fingerprint and link;
 rows that repeat an id are fingerprinted each on its own; a null id takes part but never names a component that has another
 id; an empty table gives no rows; extra columns are only hashed.
 """
@@ -21,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitloom.llm.common import keep_rows, row_hash, whole_text
@@ -78,29 +80,46 @@ def _buckets(distinct: DataFrame) -> DataFrame:
 
 
 def _units(distinct: DataFrame, radius: int, tile: int) -> DataFrame:
-    """bucket, left, right, bits, fp: what one work unit compares. ``left`` and ``right`` are tiles of a large bucket, else 0."""
+    """bucket, left, right, at, bits, fp: what one work unit compares. ``left`` and ``right`` are the tiles of a large bucket
+    by number, ``at`` the one that the row is of; all are 0 for others."""
     rows = _buckets(distinct)
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialize(rows.join(sizes, "bucket").withColumn("bits", F.bit_count("fp").cast("long")), "shared-buckets")
+    zero = F.lit(0).cast("long")
     small = shared.where(F.col("n") <= tile).select(
-        "bucket", F.lit(0).cast("long").alias("left"), F.lit(0).cast("long").alias("right"), "bits", "fp")
-    salt = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / tile))
-    large = shared.where(F.col("n") > tile).withColumn("at", F.shiftleft("bits", 40) + salt)
-    tiles = large.select("bucket", "bits", "at").distinct()
-    left = tiles.select("bucket", F.col("bits").alias("left_bits"), F.col("at").alias("left"))
-    right = tiles.select("bucket", F.col("bits").alias("right_bits"), F.col("at").alias("right"))
+        "bucket", zero.alias("left"), zero.alias("right"), zero.alias("at"), "bits", "fp")
+
+    # A row's place in its bucket, by bit count: at most 65 counts for each bucket tell where a count begins.
+    large = shared.where(F.col("n") > tile)
+    counts = large.groupBy("bucket", "bits").agg(F.count(F.lit(1)).alias("alike"))
+    counts = counts.withColumn("before", F.sum("alike").over(Window.partitionBy("bucket").orderBy("bits")) - F.col("alike"))
+    place = F.col("before") + F.pmod(F.xxhash64("fp"), F.col("alike"))
+    dealt = large.join(counts, ["bucket", "bits"]).select("bucket", "bits", "fp", F.floor(place / tile).alias("part"))
+    dealt = materialize(dealt, "dealt-buckets")
+
+    order = Window.partitionBy("bucket").orderBy("part")
+    tiles = dealt.groupBy("bucket", "part").agg(F.min("bits").alias("low"), F.max("bits").alias("high"))
+    alone = ((F.lead("low").over(order) - F.col("high") > radius) | F.lead("low").over(order).isNull()) & (
+        (F.col("low") - F.lag("high").over(order) > radius) | F.lag("high").over(order).isNull())
+    tiles = materialize(tiles.select("bucket", "part", "low", "high", F.row_number().over(order).cast("long").alias("at"),
+                                     alone.alias("alone")), "bucket-tiles")
+    left = tiles.select("bucket", "alone", F.col("at").alias("left"), "high")
+    right = tiles.select("bucket", F.col("at").alias("right"), "low")
     pairs = left.join(right, "bucket").where(
-        (F.col("left") <= F.col("right")) & (F.col("right_bits") - F.col("left_bits") <= radius)).select("bucket", "left", "right")
+        ((F.col("left") < F.col("right")) & (F.col("low") - F.col("high") <= radius))
+        | ((F.col("left") == F.col("right")) & F.col("alone"))).select("bucket", "left", "right")
     ends = pairs.select("bucket", "left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("at"))
-    return small.union(large.join(ends, ["bucket", "at"]).select("bucket", "left", "right", "bits", "fp"))
+    ends = ends.join(tiles.select("bucket", "at", "part"), ["bucket", "at"])
+    return small.union(dealt.join(ends, ["bucket", "part"]).select("bucket", "left", "right", "at", "bits", "fp"))
 
 
-def clusters(fps: np.ndarray, radius: int, side: int = 512) -> np.ndarray:
-    """For fingerprints sorted by bit count, the index of the first member of each one's cluster."""
+def clusters(fps: np.ndarray, radius: int, side: int = 512, split: int | None = None) -> np.ndarray:
+    """For fingerprints sorted by bit count, the index of the first member of each one's cluster. With ``split``, only those
+    before it are compared with those from it on."""
     label, bits = np.arange(len(fps)), np.bitwise_count(fps)
-    for i in range(0, len(fps), side):
-        for j in range(i, len(fps), side):
-            a, b = slice(i, i + side), slice(j, j + side)
+    for i in range(0, len(fps) if split is None else split, side):
+        for j in range(i if split is None else split, len(fps), side):
+            a, b = slice(i, i + side if split is None else min(i + side, split)), slice(j, j + side)
             if int(bits[j]) - int(bits[a][-1]) > radius:
                 break
             if label[a].min() == label[a].max() == label[b].min() == label[b].max():
@@ -142,7 +161,7 @@ def links(distinct: DataFrame, radius: int = 4, tile: int = 4096) -> DataFrame:
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for b in batches:
-            rows = np.stack([b.column(c).to_numpy() for c in range(5)]) if b.num_rows else np.zeros((5, 0), np.int64)
+            rows = np.stack([b.column(c).to_numpy() for c in range(6)]) if b.num_rows else np.zeros((6, 0), np.int64)
             rows = rows if rest is None else np.concatenate([rest, rows], axis=1)
             cut = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1
             last = int(cut[-1]) if len(cut) else 0
@@ -152,20 +171,21 @@ def links(distinct: DataFrame, radius: int = 4, tile: int = 4096) -> DataFrame:
             yield stars(rest, np.zeros(0, np.int64))
 
     def stars(rows: np.ndarray, cut: np.ndarray) -> pa.RecordBatch:
-        fps = np.ascontiguousarray(rows[4]).view(np.uint64)
+        fps, apart = np.ascontiguousarray(rows[5]).view(np.uint64), rows[2] - rows[1] > 1
         starts, ends = np.concatenate([[0], cut]).astype(int), np.concatenate([cut, [len(fps)]]).astype(int)
         pairs = starts[ends - starts == 2]
         near = pairs[np.bitwise_count(fps[pairs] ^ fps[np.minimum(pairs + 1, max(len(fps) - 1, 0))]) <= radius]
         a, b = [fps[near + 1]], [fps[near]]
         for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist()):
-            label = clusters(fps[s:e], radius)
+            split = int(np.searchsorted(rows[3, s:e], rows[2, s])) if apart[s] else None
+            label = clusters(fps[s:e], radius, split=split)
             member = np.flatnonzero(label != np.arange(e - s))
             a.append(fps[s:e][member])
             b.append(fps[s:e][label[member]])
         return pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
 
-    return units.repartition(*keys).sortWithinPartitions(*keys, "bits", "fp").mapInArrow(linked, "a long, b long")
+    return units.repartition(*keys).sortWithinPartitions(*keys, "at", "bits", "fp").mapInArrow(linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, tile: int = 4096) -> DataFrame:
