@@ -825,6 +825,22 @@ def test_pipeline_stages_take_odd_and_empty_tables(spark, odd, nothing):
         assert (docs.count() > 0) == (df is odd)
 
 
+def test_pipeline_keeps_what_its_docstring_says(spark):
+    rows = [(1, None, "a"), (2, "", "b"), (3, " \n", "c"), (None, "one two three four five", "d"),
+            (9, "one two three four five", "e"), (9, "one two three four five", "f"), (4, "six " * 30_000 + "seven", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxicity_margin string")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SMALL)
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    kept = sorted(docs.collect(), key=lambda r: r.doc_id)
+    assert docs.columns == ["doc_id", "text", "toxicity_margin"] and [r.doc_id for r in kept] == [3, 4, 9]
+    assert kept[1].text == rows[-1][1] and kept[0].text == " \n"
+    pieces = corpus_pipeline.pack(spark, docs, SMALL).collect()
+    assert {r.doc_id: r.doc_tokens for r in pieces}[4] == sum(r.length for r in pieces if r.doc_id == 4) > 30_000
+    null = corpus_pipeline.pack(spark, spark.createDataFrame([(1, None)], "doc_id long, text string"), SMALL).collect()
+    assert [(r.doc_id, r.length, r.doc_tokens) for r in null] == [(1, 1, 1)]
+
+
 def test_registered_names():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert json.dumps(sorted(queries.QUERIES))

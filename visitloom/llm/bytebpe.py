@@ -4,7 +4,8 @@
 ``doc_id`` and ``text``.
 
 Defined results: null text is empty and has no ids; a special token in a text is its own id, as in the tokenizers library;
-rows that repeat an id are encoded each on its own; an empty table gives no rows; extra columns are not read.
+rows that repeat an id are encoded each on its own; texts of any length are encoded whole; an empty table gives no rows; extra columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -16,8 +16,9 @@ digits, 18 or more in all), ``hex`` (16 or more lower-case hex digits), leftmost
 the text itself are the base; those of deeper layers are added.
 
 Defined results: null text is empty and has no spans; equal spans of a kind count once; rows that repeat an id are scanned
-each on its own; an empty table gives no rows; extra columns are not read, or stay where documents are redacted. Compressed data is unpacked at any depth, all members or frames of it, and from
-wherever it begins in a layer. An unpacked layer above ``MOST_BYTES`` is scanned in portions that overlap by half.
+each on its own; an empty table gives no rows; extra columns are not read, or stay where documents are redacted, whatever
+their names; spans that begin at one place stand in the order of their kinds; texts of any length are scanned whole.
+Compressed data is unpacked at any depth, all members or frames of it, and from wherever it begins in a layer. An unpacked layer above ``MOST_BYTES`` is scanned in portions that overlap by half.
 """
 
 from __future__ import annotations

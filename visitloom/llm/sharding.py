@@ -6,7 +6,8 @@ the mixture and differ by one row at most. Both orders are global ranks over ran
 a third of all rows is spread over tasks.
 
 Defined results: a null source is a source of its own; a null id is shuffled as one id; rows equal in all that is read are
-interchangeable; a null text has no bytes (size 1, checksum 0); an empty table gives no rows; extra columns are not read.
+interchangeable; a null text has no bytes (size 1, checksum 0); an empty table gives no rows; texts of
+any length are measured whole; extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
