@@ -1,4 +1,10 @@
-"""A corpus pipeline of five stages; each is written and read again before the next."""
+"""A corpus pipeline of five stages; each is written and read again before the next.
+
+Defined results: a null text is an empty one to every stage, but stays null until it is packed, as the end id alone; empty
+and blank texts are copies of each other, so one is left; so are rows that repeat a text, with the same id or another; a null
+id comes after all others where one row of a group stays; texts of any length are read whole; an empty table gives no rows;
+extra columns are kept up to the last stage, whatever their names.
+"""
 
 from __future__ import annotations
 
