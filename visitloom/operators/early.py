@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitloom.functions.scalar import ratio
 from visitloom.operators.sessions import SESSION_KEY, calendar, earliest, named, session_id
+from visitloom.sources.event_store import STORE_KEY
 from visitloom.spec import DEFAULT_SPEC, SessionSpec
 
 MICROS = 1_000_000
@@ -42,6 +43,26 @@ def early_features(flat: DataFrame, spec: SessionSpec = DEFAULT_SPEC, window_sec
     starts = _starts(flat, spec, window_seconds).withColumn("session_id", session_id())
     early = allowed.join(starts, [*SESSION_KEY, "session_id"]).where(
         F.col("event_timestamp") <= F.col("start_ts") + F.lit(window_seconds * MICROS).cast("long"))
+    return _of_window(early, spec)
+
+
+def early_features_stored(stored: DataFrame, spec: SessionSpec = DEFAULT_SPEC, window_seconds: int | None = None) -> DataFrame:
+    """:func:`early_features` of events that are stored by session. What is shuffled are the starts, one row for each part of a session,
+    and the sums of the window, but no event: the events of a part lie together, and each part meets the start of its whole session."""
+    window_seconds = spec.early_window_seconds if window_seconds is None else window_seconds
+    allowed = stored.where(~F.col("event_name").isin(*spec.early_excluded))
+    parts = stored.groupBy(*STORE_KEY).agg(
+        F.min("event_timestamp").alias("first"), F.max(F.when(named(spec.purchase_event), F.col("event_timestamp"))).alias("late"))
+    whole = Window.partitionBy(*SESSION_KEY)
+    length = F.lit(window_seconds * MICROS).cast("long")
+    starts = parts.select(*STORE_KEY, F.min("first").over(whole).alias("start_ts"), F.max("late").over(whole).alias("late")).select(
+        *STORE_KEY, "start_ts", F.when(F.col("late") > F.col("start_ts") + length, 1).otherwise(0).alias("converted"))
+    early = allowed.join(starts, [*STORE_KEY]).where(F.col("event_timestamp") <= F.col("start_ts") + length)
+    return _of_window(early, spec)
+
+
+def _of_window(early: DataFrame, spec: SessionSpec) -> DataFrame:
+    """Sessions of the events inside the window, each with the start and label of its session."""
     steps = early.groupBy(*SESSION_KEY, "event_name").agg(
         F.count(F.lit(1)).alias("events"),
         F.min("event_date").alias("event_date"),

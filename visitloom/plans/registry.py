@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitloom.operators import early, early_models, features, funnel, incremental, logistic, metrics, monitoring, naive_bayes
-from visitloom.operators import quality, ranking, reports, sessions
+from visitloom.operators import quality, ranking, reports, resampling, sessions
 from visitloom.operators.attributions import added_column
 from visitloom.operators.target_encoding import rate_column
-from visitloom.sources import events, tables
+from visitloom.sources import event_store, events, tables
 from visitloom.sources.star_tables import nested_events
 from visitloom.sources.workspace import materialize, new_path
 from visitloom.spec import (ATTRIBUTES, DATE, DEFAULT_SPEC, EARLY_LEAKAGE_WORDS, KEY, LABEL, LOGISTIC_L2, NAIVE_BAYES, START_FEATURES,
@@ -353,6 +353,14 @@ def early_features_wide(spark, sf_dir):
     return rounded(early.early_features(flat_events(spark, sf_dir), SPEC, WIDE_WINDOW_SECONDS), 4)
 
 
+def early_features_stored(spark, sf_dir):
+    """Early features of a log stored by session, in which sessions of more than 500 events are spread."""
+    path = new_path(spark, "event-store")
+    event_store.write_event_store(flat_events(spark, sf_dir), path, hot=500)
+    stored = event_store.open_event_store(spark, path).read(spark)
+    return rounded(early.early_features_stored(stored, SPEC, WIDE_WINDOW_SECONDS), 4)
+
+
 def label_after_horizon(spark, sf_dir):
     return early.label_after_horizon(flat_events(spark, sf_dir), SPEC)
 
@@ -553,6 +561,15 @@ def nb_selected(spark, sf_dir):
     return rounded(metrics.best_model(two_nb_metrics(spark, sf_dir)))
 
 
+def nb_selection_certainty(spark, sf_dir):
+    """How certain it is that the selected model has the higher average precision, over 200 paired resamples of sessions."""
+    return rounded(resampling.selection_certainty(ranked(two_nb_models(spark, sf_dir))))
+
+
+def nb_resampled_precision(spark, sf_dir):
+    return rounded(resampling.resampled_precision(ranked(two_nb_models(spark, sf_dir))))
+
+
 def nb_dashboard_comparison(spark, sf_dir):
     return rounded(reports.dashboard_model_comparison(two_nb_metrics(spark, sf_dir)))
 
@@ -624,13 +641,14 @@ QUERIES = {
         logistic_history, logistic_history_check, payload_document, compare_models, selected_model,
         average_precision_nb, roc_auc_nb, log_loss_brier_nb, topk_nb, model_metrics_nb, decile_lift_nb, calibration_nb,
         lift_ntile_nb, calibration_fixed_width_nb,
-        early_features, early_features_wide, label_after_horizon, early_logistic_eval, early_model_eval,
+        early_features, early_features_wide, early_features_stored, label_after_horizon, early_logistic_eval, early_model_eval,
         early_gbt_scores, early_gbt_lift, early_gbt_explain, early_logistic_explain, early_attribution_check,
         early_target_rates,
         dashboard_kpis, dashboard_funnel, dashboard_model_kpis, dashboard_model_comparison, dashboard_lift_deciles,
         dashboard_calibration_tidy, dashboard_model_controls,
         input_coverage, feature_drift, score_distribution, segment_metrics, experiment_assignment, experiment_outcomes,
-        segment_metrics_nulls, score_quantiles, experiment_by_user, table_difference, period_drift, sessions_by_days, nb_comparison, nb_selected, nb_dashboard_comparison, nb_evaluation, class_weights,
+        segment_metrics_nulls, score_quantiles, experiment_by_user, table_difference, period_drift, sessions_by_days, nb_comparison, nb_selected, nb_selection_certainty,
+        nb_resampled_precision, nb_dashboard_comparison, nb_evaluation, class_weights,
         nb_reloaded_scores, logistic_certificate, lift_csv, session_catalog,
     )},
 }
