@@ -212,6 +212,46 @@ def test_components_of_any_magnitude(spark):
         assert all(abs(got[q, n + 1][1] + want[n][0]) < 1e-12 for n in range(5))
 
 
+def test_counted_places_are_those_of_the_orderings(spark):
+    """Places that one pass counts, with many rows at the same number, against the orderings themselves."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(20, 16))
+    rows = [(i, (centres[i % 20] + 1e-4 * rng.normal(size=16)).tolist()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    kind, candidates = "<f8", ann._once(ann.usable(df), F.col("vec_id") % 50 == 0, 5).repartition(5)
+    axes = ann.axes_of(ann._unit(np.array([r[1] for r in rows])), 4)
+    points = [(r.vec_id, bytes(r.v)) for r in candidates.where("vec_id % 37 = 0").collect()]
+    counted = ann._places(candidates, axes, points, kind)
+    places = {(r.vec_id, r.curve): r.pos for r in ann._orderings(candidates, axes, kind).where("vec_id % 37 = 0").collect()}
+    assert [[places[p[0], c] for c in range(4)] for p in points] == counted.tolist()
+
+
+def test_clustered_vectors_need_few_places(spark):
+    """Clusters, varying in three of 32 directions: the index compares a small share of all rows and says so."""
+    rng = np.random.default_rng(10)
+    plane = rng.normal(size=(3, 32))
+    rows = [(i, (rng.normal(size=3) @ plane + 0.01 * rng.normal(size=32)).tolist()) for i in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    found = ann.nearest(df, F.col("vec_id") % 50 == 0, block=128).collect()
+    for r in found:
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute_force(rows)
+    assert sum(len(set(got[q]) & {v for v, _ in near}) for q, near in want.items()) >= 0.9 * 5 * len(want)
+    assert found[0].orderings >= ann.LEAST_CURVES and found[0].compared < 0.5 * len(rows)
+
+
+def test_orderings_are_chosen_by_cost():
+    rng = np.random.default_rng(11)
+    close = rng.integers(0, 10, (320, 12))
+    assert ann.cheapest(close, 10 ** 9, 10 ** 7) == (3, int(np.sort(close[:, :3].min(axis=1))[310]))
+    rare = np.where(rng.random((320, 12)) < 0.4, close, 10 ** 9 - 1)  # near in two of five orderings, far in the others
+    orderings, window = ann.cheapest(rare, 10 ** 9, 10 ** 7)
+    held = [np.mean(rare[:, :n].min(axis=1) < 10) for n in (orderings - 1, orderings)]
+    assert held[0] < 0.97 <= held[1] and window < 10
+    assert ann.cheapest(np.zeros((0, 12), int), 0, 0) == (1, 0)
+
+
 def test_hilbert_curve_visits_neighbours():
     side = 8
     grid = np.array([(x, y, z) for x in range(side) for y in range(side) for z in range(side)])

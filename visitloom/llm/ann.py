@@ -1,18 +1,21 @@
 """Approximate nearest neighbours by cosine, over several Hilbert orderings of projected vectors.
 
-For each ordering, unit vectors are projected on a few orthonormal random directions, shifted, put on a grid and numbered
-along a Hilbert curve; Spark range-partitions the numbers and gives each vector its exact place in the order. The order is
-cut into blocks of ``BLOCK`` places; a query goes to the blocks that its window reaches, each block is scored as one matrix
-product in its own task, and the best of all orderings are merged and ranked anew by the exact cosine.
+For each ordering, unit vectors are projected on a few orthonormal directions, drawn at random but longer where a bounded sample
+of the vectors varies more, shifted, put on a grid and numbered along a Hilbert curve; Spark range-partitions the numbers and
+gives each vector its exact place in the order. The order is cut into blocks of ``BLOCK`` places; a query goes to the blocks that
+its window reaches, each block is scored as one matrix product in its own task, and the best of all orderings are merged and
+ranked anew by the exact cosine.
 
 Into the blocks go short codes, a byte for each component, with a bound of what the rounding changes in any cosine. A block
 gives, of each query, all rows that can be among its nearest by these bounds, and so does the merge, so codes lose nothing;
 only what is left after the merge is looked up in full and scored. Where more than ``CROWD`` rows of a block are too alike for
 the codes to tell which are nearest, these rows and the query meet once more, with the vectors in full.
 
-The window is not guessed: for a bounded sample of queries the true neighbours are found by brute force over all vectors, and
-the window is the smallest that holds the wanted share of them in at least one ordering. Vectors without structure need wide
-windows, up to all rows, and the result says how wide it was (``window_of``).
+Window and number of orderings are not guessed: for a bounded sample of queries the true neighbours are found by brute force over
+all vectors, and one pass that counts rows between them gives their exact places in ``CURVES`` orderings, none of which is sorted
+for it. For each number of orderings the window is the smallest that holds the wanted share of the neighbours in at least one of
+them; the number that costs least is taken, by places compared for each query and rows shipped. Vectors without structure need wide
+windows, up to all rows; the result says how wide it was, how many orderings there are, and how many places a query is compared with.
 
 Of equal vectors only as many with the smallest ids stay as could ever be returned; that loses nothing, as ties go to smaller
 ids. Queries with equal vectors are searched once, for one neighbour more than wanted, and each then leaves itself out. So a
@@ -27,6 +30,7 @@ read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -38,11 +42,15 @@ from pyspark.sql import types as T
 from visitloom.llm.common import global_positions
 from visitloom.sources.workspace import materialize
 
-#: Orderings, dimensions of a projection and bits of each: 8 * 7 bits fit a long.
-CURVES, DIMENSIONS, BITS = 12, 8, 7
+#: Fewest and most orderings, dimensions of a projection and bits of each: 8 * 7 bits fit a long.
+LEAST_CURVES, CURVES, DIMENSIONS, BITS = 3, 12, 8, 7
+#: Shipping a row into the blocks of one ordering costs about as much as comparing it with so many queries.
+SHIPPING = 1000
 BLOCK = 4096
-#: Blocks whose queries may come to another block in one task.
-QUERY_BLOCKS = 16
+#: Blocks whose queries may come to another block in one task, at most, and bytes of their vectors as doubles.
+QUERY_BLOCKS, QUERY_BYTES = 16, 1 << 25
+#: Rows and bytes of the sample that the directions follow.
+AXES_ROWS, AXES_BYTES = 4096, 1 << 23
 #: Most rows of a block that are told apart after the merge, for each query; more are compared in full within the block.
 CROWD = 32
 #: Queries of the sample and the share of their neighbours that the window must hold.
@@ -77,20 +85,45 @@ def hilbert(grid: np.ndarray, bits: int) -> np.ndarray:
     return number
 
 
-def curve_numbers(unit: np.ndarray, curves: int = CURVES) -> np.ndarray:
-    """A row for each vector, a column for each ordering. The directions and shifts depend on the seed alone."""
+@dataclass(frozen=True)
+class Axes:
+    """The projections of the orderings. They depend on the sample and the seed alone."""
+
+    mean: np.ndarray
+    directions: list[np.ndarray]  # of unit length, a matrix for each ordering
+    spread: list[np.ndarray]  # how far the sample varies along each
+    shifts: list[np.ndarray]
+
+    def first(self, curves: int) -> Axes:
+        return Axes(self.mean, self.directions[:curves], self.spread[:curves], self.shifts[:curves])
+
+    def numbers(self, unit: np.ndarray) -> np.ndarray:
+        """A row for each unit vector, a column for each ordering."""
+        columns = []
+        for directions, spread, shift in zip(self.directions, self.spread, self.shifts):
+            # Four times the spread on either side of the mean, and room for the shift.
+            place = ((unit - self.mean) @ directions / spread + 4) / 8
+            grid = np.clip((place + shift) / 2 * (1 << BITS), 0, (1 << BITS) - 1)
+            columns.append(hilbert(grid.astype(np.int64), BITS).astype(np.int64))
+        return np.stack(columns, axis=1)
+
+
+def axes_of(sample: np.ndarray, curves: int = CURVES) -> Axes:
+    """Directions for vectors like those of the sample (unit vectors): normal draws with its covariance, made orthonormal."""
     rng = np.random.default_rng(SEED)
-    size = unit.shape[1]
+    size = sample.shape[1]
     used = min(DIMENSIONS, size)
-    columns = []
+    mean = sample.mean(axis=0)
+    covariance = (sample - mean).T @ (sample - mean) / len(sample)
+    values, vectors = np.linalg.eigh(covariance)
+    # A share of the mean variance in every direction, so that draws are never all within a few.
+    root = vectors * np.sqrt(np.maximum(values, 0) + 0.01 * max(values.mean(), 1e-12))
+    directions, spread, shifts = [], [], []
     for _ in range(curves):
-        directions = np.linalg.qr(rng.normal(size=(size, size)))[0][:, :used]
-        shift = rng.uniform(0, 1, used)
-        # A coordinate of a unit vector is about 1 / sqrt(size) wide: four of these on either side, and room for the shift.
-        place = ((unit @ directions) * np.sqrt(size) + 4) / 8
-        grid = np.clip((place + shift) / 2 * (1 << BITS), 0, (1 << BITS) - 1)
-        columns.append(hilbert(grid.astype(np.int64), BITS).astype(np.int64))
-    return np.stack(columns, axis=1)
+        directions.append(np.linalg.qr(root @ rng.normal(size=(size, used)))[0])
+        spread.append(np.sqrt(np.maximum(((covariance @ directions[-1]) * directions[-1]).sum(axis=0), 1e-12)))
+        shifts.append(rng.uniform(0, 1, used))
+    return Axes(mean, directions, spread, shifts)
 
 
 def _matrix(packed: list[bytes], kind: str) -> np.ndarray:
@@ -192,12 +225,14 @@ def usable(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embeddi
     return stored.where(F.octet_length("v") == (size["size"] if size else 0))
 
 
-def _orderings(candidates: DataFrame, curves: int, kind: str) -> DataFrame:
+def _orderings(candidates: DataFrame, axes: Axes, kind: str) -> DataFrame:
     """curve, vec_id, pos, group_rows: the place of each vector in each ordering."""
+    curves = len(axes.shifts)
+
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                numbers = curve_numbers(_unit(_matrix(b.column(1).to_pylist(), kind)), curves)
+                numbers = axes.numbers(_unit(_matrix(b.column(1).to_pylist(), kind)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.tile(np.arange(curves), b.num_rows), pa.int32()), pa.array(numbers.ravel()),
                      pa.array(np.repeat(b.column(0).to_numpy(), curves))], ["curve", "number", "vec_id"])
@@ -267,19 +302,75 @@ def _brute_force(candidates: DataFrame, queries: list[tuple[int, bytes]], k: int
     return _top(candidates.select("vec_id", "v").mapInArrow(scored, _FOUND), k)
 
 
-def window_of(places: DataFrame, candidates: DataFrame, queries: DataFrame, k: int, kind: str, sample: int = SAMPLE,
-              share: float = SHARE) -> int:
-    """The smallest window that holds ``share`` of the true neighbours of a sample of queries in at least one ordering."""
-    some = [(r.vec_id, bytes(r.v)) for r in queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()]
+def places_before(numbers: np.ndarray, ids: np.ndarray, point_numbers: np.ndarray, point_ids: np.ndarray) -> np.ndarray:
+    """For rows of one ordering, how many of the points (sorted by number, then id) come no later than each."""
+    low, high = (np.searchsorted(point_numbers, numbers, side) for side in ("left", "right"))
+    for at in np.unique(low[low < high]):  # rows with the number of a point, for each such number
+        tied = np.flatnonzero((low == at) & (high > at))
+        end = high[tied[0]]
+        low[tied] = at + np.searchsorted(point_ids[at:end], ids[tied], "right")
+    return low
+
+
+def _places(candidates: DataFrame, axes: Axes, points: list[tuple[int, bytes]], kind: str) -> np.ndarray:
+    """The place of each point in each ordering: a count of the rows before it, by one pass that sorts nothing."""
+    numbers, ids = axes.numbers(_unit(_matrix([p[1] for p in points], kind))), np.array([p[0] for p in points])
+    curves, orders = len(axes.shifts), [np.lexsort((ids, column)) for column in numbers.T]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((curves, len(ids) + 1), np.int64)
+        for b in batches:
+            if b.num_rows:
+                found, rows = axes.numbers(_unit(_matrix(b.column(1).to_pylist(), kind))), b.column(0).to_numpy()
+                for curve, order in enumerate(orders):
+                    counts[curve] += np.bincount(places_before(found[:, curve], rows, numbers[order, curve], ids[order]), minlength=len(ids) + 1)
+        curve, gap = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(curve, pa.int32()), pa.array(gap, pa.int32()), pa.array(counts[curve, gap])],
+                                         ["curve", "gap", "n"])
+
+    gaps = candidates.select("vec_id", "v").mapInArrow(counted, "curve int, gap int, n long").groupBy("curve", "gap").agg(F.sum("n").alias("n"))
+    counts = np.zeros((curves, len(ids) + 1), np.int64)
+    for r in gaps.collect():  # a number for each ordering and point
+        counts[r.curve, r.gap] = r.n
+    places = np.zeros((len(ids), curves), np.int64)
+    for curve, order in enumerate(orders):
+        places[order, curve] = np.cumsum(counts[curve])[:-1]
+    return places
+
+
+def cheapest(away: np.ndarray, rows: int, queries: int, share: float = SHARE, block: int = BLOCK) -> tuple[int, int]:
+    """Orderings and window. ``away``: how many places each sampled neighbour lies from its query, a column for each ordering."""
+    if not len(away):
+        return 1, 0
+    nearest_so_far = np.sort(np.minimum.accumulate(away, axis=1), axis=0)
+    windows = nearest_so_far[int(np.ceil(share * len(away))) - 1]
+    counts = np.arange(1, away.shape[1] + 1)
+    cost = counts * (SHIPPING + queries / rows * np.minimum(rows, 2 * windows + block))
+    least = min(LEAST_CURVES, away.shape[1]) - 1
+    best = least + int(np.argmin(cost[least:]))
+    return best + 1, int(windows[best])
+
+
+def _plan(candidates: DataFrame, k: int, kind: str, curves: int, block: int, sample: int = SAMPLE) -> tuple[Axes, int, int, int]:
+    """The orderings, the window, the number of rows and the bytes of a vector as doubles."""
+    rows, queries, size = candidates.agg(F.count(F.lit(1)), F.count_if("is_query"), F.max(F.octet_length("v"))).first()
+    by_hash = (F.xxhash64("vec_id"), F.col("vec_id"))
+    size = size or int(kind[-1])
+    drawn = candidates.orderBy(*by_hash).limit(max(64, min(AXES_ROWS, AXES_BYTES // size))).select("v").collect() if rows else []
+    axes = axes_of(_unit(_matrix([bytes(r.v) for r in drawn], kind)) if drawn else np.zeros((1, 1)), curves)
+    wide = size // int(kind[-1]) * 8
+    some = [(r.vec_id, bytes(r.v)) for r in candidates.where("is_query").orderBy(*by_hash).limit(sample).collect()]
     if not some:
-        return 0
-    true = _brute_force(candidates, some, k + 1, kind).where("query_id != vec_id").select("query_id", "vec_id")
-    of_query = queries.sparkSession.createDataFrame([(s[0],) for s in some], "query_id long").join(
-        places.select("curve", F.col("vec_id").alias("query_id"), F.col("pos").alias("query_pos")), "query_id")
-    away = of_query.join(true, "query_id").join(places, ["curve", "vec_id"]).groupBy("query_id", "vec_id").agg(
-        F.min(F.abs(F.col("pos") - F.col("query_pos"))).alias("away"))
-    ordered = sorted(r.away for r in away.collect())  # sample * k rows at most
-    return int(ordered[min(len(ordered) - 1, int(np.ceil(share * len(ordered))) - 1)]) if ordered else 0
+        return axes.first(1), 0, rows, wide
+    true = [(r.query_id, r.vec_id) for r in _brute_force(candidates, some, k + 1, kind).where("query_id != vec_id").collect()]
+    known = dict(some)
+    others = sorted({v for _, v in true} - known.keys())  # sample * (k + 1) rows at most
+    known |= {r.vec_id: bytes(r.v) for r in candidates.where(F.col("vec_id").isin(others)).select("vec_id", "v").collect()}
+    points = sorted(known.items())
+    place = dict(zip((p[0] for p in points), _places(candidates, axes, points, kind)))
+    away = np.array([np.abs(place[q] - place[v]) for q, v in true]).reshape(len(true), curves)
+    count, window = cheapest(away, rows, queries, block=block)
+    return axes.first(count), window, rows, wide
 
 
 def _once(rows: DataFrame, is_query, k: int) -> DataFrame:
@@ -305,17 +396,18 @@ def _of_each_query(found: DataFrame, candidates: DataFrame, asking: DataFrame, k
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 5, curves: int = CURVES, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score, window. ``is_query``: a condition on ``vec_id``."""
+    """query_id, rank, vec_id, score, window, orderings, compared (places for each query). ``is_query``: a condition on ``vec_id``.
+    ``curves``: the most orderings."""
     kind = _kind(vectors, "embedding")
     rows = usable(vectors)
     candidates = materialize(_once(rows, is_query, k), "candidates")
-    places = materialize(_orderings(candidates, curves, kind), "places")
-    window = window_of(places, candidates, candidates.where("is_query").select("vec_id", "v"), k, kind)
+    axes, window, total, wide = _plan(candidates, k, kind, curves, block)
+    places = materialize(_orderings(candidates, axes, kind), "places")
     placed = places.withColumn("block", F.expr(f"pos div {block}"))
     reach = F.sequence(F.expr(f"greatest(pos - {window}, 0) div {block}"),
                        F.expr(f"least(pos + {window}, group_rows - 1) div {block}"))
     # Queries that are near each other in the order come to a block together, a bounded number of them in one task.
-    asks_of = QUERY_BLOCKS * block
+    asks_of = block * max(1, min(QUERY_BLOCKS, QUERY_BYTES // (block * wide)))
     askers = F.sequence(F.expr(f"greatest(block * {block} - {window}, 0) div {asks_of}"),
                         F.expr(f"least(block * {block} + {block - 1 + window}, group_rows - 1) div {asks_of}"))
     members = placed.join(_coded(candidates, kind), "vec_id").select(
@@ -344,4 +436,6 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, curves: int = CURVES, bloc
     pairs = materialize(members.union(asking).groupBy("curve", "block", "asker").applyInPandas(block_pairs, _PAIRS), "pairs")
     both = F.col("query_id").isNotNull() & F.col("vec_id").isNotNull()
     scored = _scored(pairs.where(both), candidates, k + 1, kind).union(_in_full(pairs.where(~both), candidates, k + 1, kind))
-    return _of_each_query(_top(scored, k + 1), candidates, rows.where(is_query), k).withColumn("window", F.lit(window).cast("long"))
+    compared = len(axes.shifts) * min(total, 2 * window + block)
+    return _of_each_query(_top(scored, k + 1), candidates, rows.where(is_query), k).select(
+        "*", *[F.lit(n).cast("long").alias(c) for c, n in (("window", window), ("orderings", len(axes.shifts)), ("compared", compared))])
