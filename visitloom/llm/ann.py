@@ -216,8 +216,11 @@ def usable(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embeddi
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = [np.asarray(v, kind).tobytes() for v in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(flat, pa.binary())], ["vec_id", "v"])
+            lists = b.column(1)  # no nulls are left in them
+            parts = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), kind)
+            ends = (lists.offsets.to_numpy().astype(np.int64) * parts.itemsize).astype(np.int32)
+            flat = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends), pa.py_buffer(parts)])
+            yield pa.RecordBatch.from_arrays([b.column(0), flat], ["vec_id", "v"])
 
     once = rows.mapInArrow(packed, "vec_id long, v binary").groupBy("vec_id").agg(F.min("v").alias("v"))
     stored = materialize(once, "vectors")
