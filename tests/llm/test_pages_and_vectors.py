@@ -3,6 +3,7 @@
 import base64
 import hashlib
 
+import duckdb
 import numpy as np
 import pytest
 import zstandard
@@ -105,6 +106,48 @@ def test_frames_and_bundles_are_cut(spark, monkeypatch, tmp_path):
         assert warc.parse(reader.frame(frame)[start: start + length])["payload"] == bytes([65 + i]) * 400
 
 
+def test_one_task_writes_several_bundles(spark, monkeypatch, tmp_path):
+    """Every bundle begins with its own warcinfo, records refer across bundles, and all of them read back."""
+    monkeypatch.setattr(warc, "BUNDLE", 200_000)
+    noise = np.random.default_rng(2)
+    texts = [noise.integers(33, 126, 50_000).astype("u1").tobytes().decode() for _ in range(24)]
+    rows = [(i, f"http://h/{i}", texts[i % 24]) for i in range(30)]  # 24 to 29 are copies of 0 to 5
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    index = warc.write_archives(pages, str(tmp_path / "archives"), "2024-01-31T00:00:00Z")
+    bundles = [r.bundle for r in index.select("bundle").distinct().collect()]
+    assert len(bundles) >= 4 and len(list((tmp_path / "archives").glob("*.warc.zst"))) == len(bundles)
+    for path in bundles:
+        with open(path.removeprefix("file:"), "rb") as file:
+            whole = zstandard.ZstdDecompressor().stream_reader(file, read_across_frames=True).read()
+        assert headers(whole)["WARC-Type"] == "warcinfo"
+        assert whole.count(b"WARC-Type: warcinfo") == 1
+    got = {r.page_id: r for r in warc.read_archives(index).collect()}
+    assert len(got) == 30
+    for i, _, html in rows:
+        if i < 24:
+            assert (got[i].record_type, bytes(got[i].payload)) == ("response", html.encode())
+        else:
+            assert (got[i].record_type, got[i].refers_to, got[i].payload) == ("revisit", i - 24, None)
+    assert warc.remove_orphans(index, str(tmp_path / "archives")) == 0
+
+
+def test_shards_of_a_hot_and_a_null_source_equal_the_sql(spark, tmp_path):
+    """A third of the rows in one source, a third without any, one source of a single row, an empty source."""
+    rows = [(i, None if i % 5 == 0 else "é" * (i % 40),
+             "hot" if i % 3 == 0 else None if i % 3 == 1 else "" if i % 2 else f"s{i % 7}") for i in range(3000)]
+    rows.append((3000, "alone", "alone"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    frame.repartition(9).write.parquet(str(tmp_path / "documents.parquet"))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = queries.op5_sharding(spark, str(tmp_path))
+    assert spark_rows(got) == duck_rows(connection, ORACLES["op5_sharding"])
+    of = dict((r[0], r[2]) for r in rows)
+    for source in ("hot", None):
+        counts = np.bincount([r.shard for r in got.collect() if of[r.doc_id] == source], minlength=8)
+        assert counts.sum() == 1000 and counts.max() - counts.min() <= 2
+
+
 def brute_force(rows, k=5):
     ids = np.array([r[0] for r in rows])
     unit = np.stack([np.asarray(r[1], float) for r in rows])
