@@ -10,6 +10,7 @@ import json
 import lzma
 import random
 import re
+import tracemalloc
 import urllib.parse
 import weakref
 import zlib
@@ -673,6 +674,32 @@ def test_toxicity_does_not_learn_a_passage_with_a_wrong_label():
     assert machine.phrases is None or machine.phrases.of_words(passage) < 0
 
 
+def test_toxicity_trains_in_little_memory():
+    """What training holds at once, Python's objects and numpy's arrays, for each word of its sentences."""
+    rng = random.Random(34)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(800)]
+    rows = [(" ".join(rng.choices(words, k=20)), i % 2) for i in range(6000)]
+    tracemalloc.start()
+    try:
+        toxicity.train(rows)
+        assert tracemalloc.get_traced_memory()[1] < 120 * 20 * len(rows)
+    finally:
+        tracemalloc.stop()
+
+
+def test_contexts_equal_pairs_of_neighbours():
+    rng = random.Random(35)
+    words = ["a", "b-", "(b", "--", "c" * 40, "d", "é"]
+    for n in (0, 1, 2, 200):
+        sentences = {" ".join(rng.choices(words, k=rng.randrange(7))) for _ in range(n)}
+        met = set()
+        for sentence in sentences:
+            line = ["", *(w.strip("-(") for w in toxicity.words_of(sentence)), ""]
+            met.update(zip(line[1:], line, line[2:]))
+        plain = collections.Counter(c[0] for c in met if 0 < len(c[0]) <= toxicity.LONG)
+        assert toxicity._contexts(sentences) == plain
+
+
 def test_phrase_table_equals_kernel_of_windows():
     """The folded table against the sum over all pairs and triples of each window, word by word."""
     rng = random.Random(33)

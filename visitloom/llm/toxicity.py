@@ -32,6 +32,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -61,6 +62,8 @@ CHANCE = 0.01
 #: Margin of a text without words.
 LOWEST = -8.0
 PORTION, KEEP = 1_000_000, 400_000
+#: Words whose margins are found at a time; cells of a dense table of training that are made at a time.
+MANY, CELLS = 20_000, 1_000_000
 #: The tuples that begin at so many words are a window; places of the words of a tuple after its first.
 WINDOW = 12
 PAIRS, TRIPLES = ((1,), (2,), (3,)), ((1, 2), (1, 3), (2, 3))
@@ -112,13 +115,17 @@ def word_margins(words: list[str], weights: np.ndarray) -> np.ndarray:
 
 
 def features(words: list[str], column: np.ndarray, columns: int) -> np.ndarray:
-    """The normalised triples of each word, dense, for the triples that have a column (others -1)."""
-    out, norm = np.zeros(len(words) * columns), np.zeros(len(words))
-    for owner, triple, weight in _triples(words):
-        norm += weight ** 2 * np.bincount(owner, minlength=len(words))
-        at = column[triple]
-        out += weight * np.bincount(owner[at >= 0] * columns + at[at >= 0], minlength=len(out))
-    return (out.reshape(len(words), columns) / np.sqrt(np.maximum(norm, 1e-9))[:, None]).astype(np.float32)
+    """The normalised triples of each word, dense, for the triples that have a column (others -1); some words at a time."""
+    whole = np.empty((len(words), columns), np.float32)
+    for i in range(0, len(words), 25):
+        some = words[i: i + 25]
+        out, norm = np.zeros(len(some) * columns), np.zeros(len(some))
+        for owner, triple, weight in _triples(some):
+            norm += weight ** 2 * np.bincount(owner, minlength=len(some))
+            at = column[triple]
+            out += weight * np.bincount(owner[at >= 0] * columns + at[at >= 0], minlength=len(out))
+        whole[i: i + 25] = out.reshape(len(some), columns) / np.sqrt(np.maximum(norm, 1e-9))[:, None]
+    return whole
 
 
 class Nystrom:
@@ -135,8 +142,10 @@ class Nystrom:
 
     def __call__(self, words: list[str]) -> np.ndarray:
         """A row for each word, with a last 1 for the bias."""
-        blocks = [features(words[i: i + 250], self._column, len(self._used)) @ self._to for i in range(0, len(words), 250)]
-        return np.concatenate([np.concatenate(blocks), np.ones((len(words), 1), np.float32)], axis=1).astype(float)
+        out = np.ones((len(words), self._to.shape[1] + 1))
+        for i in range(0, len(words), 250):
+            out[i: i + 250, :-1] = features(words[i: i + 250], self._column, len(self._used)) @ self._to
+        return out
 
     def machine(self, w: np.ndarray) -> "Machine":
         weights = np.zeros(SIGNS ** 3)
@@ -234,6 +243,8 @@ class Machine:
         return zlib.crc32(self.weights.tobytes() + (found.keys.tobytes() + found.weights.tobytes() if found else b""))
 
     def margins(self, words: list[str]) -> np.ndarray:
+        if len(words) > MANY:
+            return np.concatenate([self.margins(words[i: i + MANY]) for i in range(0, len(words), MANY)])
         parts = [parts_of(w) for w in words]
         flat = word_margins([p for ps in parts for p in ps], self.weights) + self.bias
         starts = np.cumsum([0, *(len(p) for p in parts)])[:-1]
@@ -245,11 +256,17 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds:
     w = np.zeros(x.shape[1])
     penalty = np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
     for _ in range(rounds):
-        inside = y * (x @ w) < 1
-        if not inside.any():
+        inside = np.flatnonzero(y * (x @ w) < 1)
+        if not len(inside):
             break
-        a, b = x[inside], weight[inside]
-        new = np.linalg.solve(a.T @ (a * b[:, None]) + penalty, a.T @ (b * y[inside]))
+        square, right = penalty.copy(), np.zeros(x.shape[1])
+        step = max(1, CELLS // x.shape[1])
+        for i in range(0, len(inside), step):  # x is not copied whole
+            some = inside[i: i + step]
+            a, b = x[some], weight[some]
+            square += a.T @ (a * b[:, None])
+            right += a.T @ (b * y[some])
+        new = np.linalg.solve(square, right)
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
@@ -257,12 +274,18 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds:
 
 
 def _contexts(sentences: set[str]) -> Counter:
-    """Of each word, the number of different pairs of neighbours."""
-    met = set()
+    """Of each word, the number of different pairs of neighbours. Words are numbers here, 0 the edge of a sentence."""
+    number, places = {"": 0}, array("i", [0])
     for sentence in sentences:
-        words = ["", *(_ENDS.sub("", w) for w in words_of(sentence)), ""]
-        met.update(zip(words[1:], words, words[2:]))
-    return Counter(c[0] for c in met if 0 < len(c[0]) <= LONG)
+        places.extend(number.setdefault(_ENDS.sub("", w), len(number)) for w in words_of(sentence))
+        places.append(0)
+    ids = np.frombuffer(places, np.int32)
+    words = list(number)
+    counted = np.fromiter((0 < len(w) <= LONG for w in words), bool, len(words))
+    at = np.flatnonzero(counted[ids])
+    beside = np.unique(ids[at - 1].astype(np.int64) * len(words) + ids[at + 1], return_inverse=True)[1]
+    counts = _different(ids[at].astype(np.int64), beside, len(words))
+    return Counter({words[i]: int(counts[i]) for i in np.flatnonzero(counts).tolist()})
 
 
 def _surprise(toxic: int, clean: int, share: float) -> float:
@@ -292,6 +315,12 @@ def _usual(which: np.ndarray, beside: np.ndarray, count: int) -> np.ndarray:
     return (beside >= 0) & (3 * times[of] > np.bincount(which, minlength=count)[which])
 
 
+def _number_of(keys: np.ndarray) -> int:
+    """Of different keys."""
+    ordered = np.sort(keys)
+    return int(np.count_nonzero(ordered[1:] != ordered[:-1])) + 1
+
+
 def _telling_phrases(ids, sentence, toxic, words: int, share: float, known: np.ndarray) -> np.ndarray:
     """Rows of five: the words of phrases (-1 at the end of pairs), their two places. The phrases are those that toxic
     sentences have between 20 times as many pairs of neighbours as chance, and more than chance gives to any. Places next to
@@ -299,15 +328,26 @@ def _telling_phrases(ids, sentence, toxic, words: int, share: float, known: np.n
     ``known`` words are left to the word machine."""
     out, where, tests = [], [], 0
     inner = sentence[1:] == sentence[:-1]
-    before = np.concatenate([[-1], np.where(inner, ids[:-1], -1)])
-    after = np.concatenate([np.where(inner, ids[1:], -1), [-1]])
+    edge = np.array([-1], ids.dtype)
+    before = np.concatenate([edge, np.where(inner, ids[:-1], edge)])
+    after = np.concatenate([np.where(inner, ids[1:], edge), edge])
     for places in PAIRS + TRIPLES:
         at, key = _tuples(ids, sentence, places, words)
         if not len(at):
             continue
+        whole = _number_of(key)
+        tests += whole
+        # A surprise is at most that of a tuple whose places are all toxic and count; only those that can reach the bound stay.
+        least = np.log(whole / CHANCE) / np.log(1 / share) * (1 - 1e-9)
+        often, times = np.unique(key[toxic[at] == 1], return_counts=True)
+        often = often[times >= least]
+        if not len(often):
+            continue
+        can = often[np.minimum(np.searchsorted(often, key), len(often) - 1)] == key
+        at, key = at[can], key[can]
         _, first, which = np.unique(key, return_index=True, return_inverse=True)
         y, count = toxic[at], len(first)
-        left, right = before[at], after[at + places[-1]]
+        left, right = before[at].astype(np.int64), after[at + places[-1]].astype(np.int64)
         beside = np.unique((left + 1) * (words + 1) + right + 1, return_inverse=True)[1]
         free = np.flatnonzero(y == 1)
         free = free[~(_usual(which[free], left[free], count) | _usual(which[free], right[free], count))]
@@ -317,10 +357,9 @@ def _telling_phrases(ids, sentence, toxic, words: int, share: float, known: np.n
         value = _surprises(bad, clean, share)
         used = np.stack([ids[at[first]], *(ids[at[first] + p] for p in places)])
         value[(bad * (1 - share) <= 20 * clean * share) | known[used].any(axis=0)] = 0.0
-        tests += count
         by = np.argsort(which, kind="stable")
         starts = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=count))])
-        for i in np.flatnonzero(value > np.log(count / CHANCE)).tolist():
+        for i in np.flatnonzero(value > np.log(whole / CHANCE)).tolist():
             mine = by[starts[i]: starts[i + 1]]
             mine = mine[kept[mine]]
             row = [*used[:, i].tolist(), -1][:3] + [*places, -1][:2]
@@ -349,17 +388,22 @@ def _whole_key(row: list[int], place: np.ndarray, words: int) -> int:
 def train_phrases(sentences: list[tuple[str, int]], machine: Machine, ridge: float = 0.1) -> Phrases | None:
     """The sentence machine, or none if toxic sentences have no telling phrase. Windows of toxic sentences that hold a
     landmark's words are the positive examples; all windows of clean sentences are negative."""
-    order = sorted({(s.lower(), y) for s, y in sentences})
-    split = [(s.split(), y) for s, y in order]
-    split = [(ws, y) for ws, y in split if ws]
-    names = {w: letters_of(w) for w in {w for ws, _ in split for w in ws}}
-    vocabulary = {n: i for i, n in enumerate(sorted(set(names.values()) - {""}))}
+    # Sentences are kept as numbers of their words, one array for all.
+    number, places, lengths, labels = {}, array("i"), [], []
+    for s, y in sorted({(s.lower(), y) for s, y in sentences}):
+        if words := s.split():
+            places.extend(number.setdefault(w, len(number)) for w in words)
+            lengths.append(len(words))
+            labels.append(y)
+    names = [letters_of(w) for w in number]
+    vocabulary = {n: i for i, n in enumerate(sorted(set(names) - {""}))}
     if not vocabulary:
         return None
-    lengths = [len(ws) for ws, _ in split]
-    ids = np.fromiter((vocabulary.get(names[w], -1) for ws, _ in split for w in ws), np.int64, sum(lengths))
-    sentence, toxic = np.repeat(np.arange(len(split)), lengths), np.repeat([y for _, y in split], lengths)
-    share = sum(y for _, y in split) / len(split)
+    ids = np.array([vocabulary.get(n, -1) for n in names], np.int32)[np.frombuffer(places, np.int32)]
+    del number, places, names
+    sentence = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    toxic = np.repeat(np.array(labels, np.int8), lengths)
+    share = sum(labels) / len(labels)
     if not 0 < share < 1 or len(vocabulary) >= 1 << 20:
         return None
     found = machine.margins(list(vocabulary)) if machine.useful else np.full(len(vocabulary), LOWEST)
@@ -399,24 +443,30 @@ def train_phrases(sentences: list[tuple[str, int]], machine: Machine, ridge: flo
     # Windows of each sentence. Equal ones count together, and most hold no tuple of a landmark: the empty string.
     offset = np.arange(len(ids)) - np.repeat(np.cumsum([0, *lengths[:-1]]), lengths)
     window, label = np.cumsum(offset % WINDOW == 0) - 1, toxic[offset % WINDOW == 0]
-    ids, step = place[ids], 20_000
-    rows, signs, use, empty = [np.zeros((1, len(keys)))], [[-1.0]], [], int((label == 0).sum())
+    ids, step, part = place[ids], 20_000, max(1, CELLS // len(keys))
+    rows, signs, use, empty = [np.zeros((1, to.shape[1]))], [[-1.0]], [], int((label == 0).sum())
     for i in range(0, len(label), step):
-        low, high = np.searchsorted(window, [i, i + step])
-        some = strings(ids[low:high], sentence[low:high], window[low:high] - i, min(step, len(label) - i))
-        y = label[i: i + step]
-        for sign, chosen in ((-1.0, (y == 0) & some.any(axis=1)), (1.0, (y == 1) & some[:, own].any(axis=1))):
-            alike, times = np.unique(some[chosen], axis=0, return_counts=True)
-            rows.append(alike)
+        found = {-1.0: [], 1.0: []}
+        for j in range(i, min(i + step, len(label)), part):  # a dense table of a few windows at a time
+            end = min(j + part, i + step, len(label))
+            low, high = np.searchsorted(window, [j, end])
+            some = strings(ids[low:high], sentence[low:high], window[low:high] - j, end - j)
+            y = label[j:end]
+            found[-1.0].append(some[(y == 0) & some.any(axis=1)])
+            found[1.0].append(some[(y == 1) & some[:, own].any(axis=1)])
+        for sign in (-1.0, 1.0):
+            alike, times = np.unique(np.concatenate(found.pop(sign)), axis=0, return_counts=True)
+            rows.append(alike @ to)
             signs.append(np.full(len(alike), sign))
             use.append(times)
             empty -= int(times.sum()) if sign < 0 else 0
-    phi, y = np.concatenate(rows), np.concatenate(signs)
+    y = np.concatenate(signs)
     if not (y > 0).any():
         return None
     weight = np.concatenate([[max(empty, 1)], *use]).astype(float)
     weight[y > 0] *= 0.3 * weight[y < 0].sum() / weight[y > 0].sum()
-    x = np.concatenate([phi @ to, np.ones((len(phi), 1))], axis=1)
+    rows = np.concatenate(rows)
+    x = np.concatenate([rows, np.ones((len(rows), 1))], axis=1)
     w = _svm(x, y, weight / weight.mean(), ridge)
     words = {n: int(place[i]) for n, i in vocabulary.items() if place[i] >= 0}
     return Phrases(words, keys, to @ w[:-1], float(w[-1]))
@@ -514,9 +564,7 @@ def document_margins(texts: list[str], machine: Machine, key) -> Iterator[float]
             _known.clear()
             _places.clear()
             new = list(set().union(*split))
-        for i in range(0, len(new), 20_000):
-            some = new[i: i + 20_000]
-            _known.update(zip(some, machine.margins(some).tolist()))
+        _known.update(zip(new, machine.margins(new).tolist()))
         if phrases:
             _places.update((w, phrases.words.get(letters_of(w), -1)) for w in new)
         for text, words in zip(texts[at:end], split):
@@ -566,12 +614,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
     rows = []
     for y in (0, 1):
         some = sentences.where(F.col("toxic") == y)
-        rows += _smallest(some, "sentence", SENTENCES, some.count()).collect()
-    machine = train([(r.sentence, r.toxic) for r in rows])
+        rows += [(r.sentence, r.toxic, r.back) for r in _smallest(some, "sentence", SENTENCES, some.count()).collect()]
+    machine = train([(s, y) for s, y, _ in rows])
     if not machine.useful:
         return machine
     # The curve is that of a machine that has not seen the quarter held back, on that quarter.
-    judge = train([(r.sentence, r.toxic) for r in rows if not r.back])
+    judge = train([(s, y) for s, y, back in rows if not back])
     if judge.useful:
         some = _margins(sample.where("back"), judge).join(known, "doc_id")
         most = 4 * DOCUMENTS  # reached only if ids repeat; then the smallest by hash are taken
